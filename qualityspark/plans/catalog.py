@@ -106,6 +106,233 @@ def q_normalize_categories(spark, sf):
     return lots(spark, sf).groupBy("tank").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+# --------------------------------------------------------------------------- A1 / A2 / A6
+def _moment_sql(keys: str) -> str:
+    """Two-pass central moments in SQL (same maths as Spark's online moments)."""
+    kj = ", ".join(keys.split(", ")) if keys else ""
+    return f"""
+m AS (
+  SELECT {kj}, count(value) AS n, count(*) - count(value) AS n_missing, avg(value) AS mean,
+         stddev_samp(value) AS std, min(value) AS min, max(value) AS max,
+         quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS median,
+         quantile_cont(value, 0.75) AS q75
+  FROM long GROUP BY {kj}
+), c AS (
+  SELECT {", ".join("l." + k for k in keys.split(", "))}, sum(power(value - mean, 2)) / any_value(n) AS m2,
+         sum(power(value - mean, 3)) / any_value(n) AS m3, sum(power(value - mean, 4)) / any_value(n) AS m4
+  FROM long l JOIN m USING ({kj}) WHERE value IS NOT NULL GROUP BY {", ".join("l." + k for k in keys.split(", "))}
+)"""
+
+
+_SKEW = "CASE WHEN n < 3 THEN NULL WHEN m2 = 0 THEN 0.0 ELSE m3 / pow(m2, 1.5) * sqrt(n * (n - 1.0)) / (n - 2.0) END"
+_KURT = ("CASE WHEN n < 4 THEN NULL WHEN m2 = 0 THEN 0.0 ELSE (n - 1.0) / ((n - 2.0) * (n - 3.0)) * "
+         "((n + 1.0) * (m4 / (m2 * m2) - 3.0) + 6.0) END")
+
+
+@register("descriptive_stats", f"""
+WITH long AS (
+{unpivot("lots", MEASURES)}
+),{_moment_sql("feature")}
+SELECT feature, CAST(n AS BIGINT) AS non_null_count, CAST(n_missing AS BIGINT) AS missing_count,
+       round(mean, 6) AS mean, round(std, 6) AS std, round(min, 6) AS min, round(q25, 6) AS q25,
+       round(median, 6) AS median, round(q75, 6) AS q75, round(max, 6) AS max,
+       round({_SKEW}, 6) AS skew, round({_KURT}, 6) AS kurtosis
+FROM m LEFT JOIN c USING (feature)""")
+def q_descriptive_stats(spark, sf):
+    from qualityspark.operators.profile import descriptive_stats
+    d = descriptive_stats(lots(spark, sf), MEASURES)
+    return d.select("feature", "non_null_count", "missing_count",
+                    *[round6(c).alias(c) for c in ("mean", "std", "min", "q25", "median", "q75",
+                                                   "max", "skew", "kurtosis")])
+
+
+@register("monthly_boxplot", f"""
+WITH long AS (
+{unpivot("(SELECT *, CAST(month(date) AS INTEGER) AS month FROM lots)", MEASURES, ids=["month"])}
+),{_moment_sql("feature, month")}
+SELECT feature, month, CAST(n AS BIGINT) AS n, round(min, 6) AS min, round(q25, 6) AS q1,
+       round(median, 6) AS median, round(q75, 6) AS q3, round(max, 6) AS max, round(mean, 6) AS mean,
+       round(coalesce(std, 0.0), 6) AS std
+FROM m WHERE n > 0""")
+def q_monthly_boxplot(spark, sf):
+    from qualityspark.operators.profile import monthly_boxplot_stats
+    d = monthly_boxplot_stats(_lots_m(spark, sf), MEASURES)
+    return d.select("feature", "month", "n", *[round6(c).alias(c) for c in
+                                               ("min", "q1", "median", "q3", "max", "mean", "std")])
+
+
+_ALL_LOT_COLS = ["lot_id", "date", "yr", "ffa", "car_pv", "mi", "target", "type", "iv", "dobi", "tank"]
+
+
+@register("missing_counts", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST(count(*) - count({c}) AS BIGINT) AS n_missing, "
+    f"CAST(count(*) AS BIGINT) AS n_rows FROM lots" for c in _ALL_LOT_COLS))
+def q_missing_counts(spark, sf):
+    from qualityspark.operators.profile import missing_counts
+    return missing_counts(lots(spark, sf), _ALL_LOT_COLS)
+
+
+# --------------------------------------------------------------------------- P3 / S5
+YEAR_FILTER = "1995; 1997,2000"
+
+
+@register("year_filter", """
+SELECT CAST(year(date) AS INTEGER) AS yr, CAST(count(*) AS BIGINT) AS n_rows,
+       round(sum(target), 4) AS sum_target
+FROM lots WHERE year(date) IN (1995, 1997, 2000) GROUP BY 1""")
+def q_year_filter(spark, sf):
+    from qualityspark.operators.profile import filter_years, parse_year_filter
+    df = filter_years(lots(spark, sf), parse_year_filter(YEAR_FILTER))
+    return df.groupBy(F.year("date").alias("yr")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("target"), 4).alias("sum_target"))
+
+
+@register("ingest_metadata", """
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM lots) AS rows_loaded_before_year_filter,
+       CAST(count(*) AS BIGINT) AS rows_after_year_filter,
+       string_agg(DISTINCT CAST(year(date) AS VARCHAR), ',' ORDER BY CAST(year(date) AS VARCHAR)) AS years_present,
+       strftime(min(date), '%Y-%m-%d') AS date_min, strftime(max(date), '%Y-%m-%d') AS date_max
+FROM lots WHERE year(date) IN (1995, 1997, 2000)""")
+def q_ingest_metadata(spark, sf):
+    from qualityspark.operators.profile import filter_years, ingest_metadata, parse_year_filter
+    before = lots(spark, sf)
+    after = filter_years(before, parse_year_filter(YEAR_FILTER))
+    m = ingest_metadata(before, after)
+    return m.select("rows_loaded_before_year_filter", "rows_after_year_filter", "years_present",
+                    F.date_format("date_min", "yyyy-MM-dd").alias("date_min"),
+                    F.date_format("date_max", "yyyy-MM-dd").alias("date_max"))
+
+
+# --------------------------------------------------------------------------- W1 / W2 / W4 / A5
+def _ordered(spark, sf, series=(), df=None):
+    from qualityspark.operators.ordered import Ordered
+    return Ordered(df if df is not None else lots(spark, sf), "date", ["lot_id"], series)
+
+
+@register("trend_rownum", """
+SELECT lot_id, CAST(row_number() OVER (ORDER BY date, lot_id) AS BIGINT) AS time_trend FROM lots""")
+def q_trend_rownum(spark, sf):
+    return _ordered(spark, sf).row_number("time_trend").select("lot_id", "time_trend")
+
+
+_INTERP_COLS = ["dobi", "iv"]
+
+
+def _interp_sql(c):
+    return f"""
+    round(CASE WHEN {c} IS NOT NULL THEN {c}
+         WHEN pi_{c} IS NOT NULL AND ni_{c} IS NOT NULL
+              THEN (nv_{c} - pv_{c}) / (ni_{c} - pi_{c}) * (idx - pi_{c}) + pv_{c}
+         WHEN pi_{c} IS NOT NULL THEN pv_{c} ELSE nv_{c} END, 6) AS {c}"""
+
+
+def _nb_sql(c):
+    up = "OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    dn = "OVER (ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    return (f"last_value(CASE WHEN {c} IS NOT NULL THEN idx END IGNORE NULLS) {up} AS pi_{c}, "
+            f"last_value({c} IGNORE NULLS) {up} AS pv_{c}, "
+            f"first_value(CASE WHEN {c} IS NOT NULL THEN idx END IGNORE NULLS) {dn} AS ni_{c}, "
+            f"first_value({c} IGNORE NULLS) {dn} AS nv_{c}")
+
+
+@register("interpolate_both", f"""
+WITH x AS (SELECT lot_id, dobi, iv, row_number() OVER (ORDER BY date, lot_id) AS idx FROM lots),
+y AS (SELECT *, {", ".join(_nb_sql(c) for c in _INTERP_COLS)} FROM x)
+SELECT lot_id, {", ".join(_interp_sql(c) for c in _INTERP_COLS)} FROM y""")
+def q_interpolate_both(spark, sf):
+    out = _ordered(spark, sf).interpolate(_INTERP_COLS)
+    return out.select("lot_id", *[round6(c).alias(c) for c in _INTERP_COLS])
+
+
+@register("fill_categorical", """
+WITH x AS (SELECT lot_id, tank, row_number() OVER (ORDER BY date, lot_id) AS idx FROM lots),
+md AS (SELECT tank AS m FROM lots WHERE tank IS NOT NULL GROUP BY tank ORDER BY count(*) DESC, tank LIMIT 1),
+y AS (SELECT lot_id, coalesce(tank,
+        last_value(tank IGNORE NULLS) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+        first_value(tank IGNORE NULLS) OVER (ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+        (SELECT m FROM md), 'UNKNOWN') AS tank FROM x)
+SELECT lot_id, tank FROM y""")
+def q_fill_categorical(spark, sf):
+    from qualityspark.operators.ordered import mode_of
+    df = lots(spark, sf)
+    # the mode is one row: safe to broadcast
+    o = _ordered(spark, sf, df=df.crossJoin(F.broadcast(mode_of(df, "tank"))))
+    out = o.fill_forward_backward(["tank"], fallback={"tank": F.col("tank_mode")})
+    return out.select("lot_id", "tank")
+
+
+@register("mode_category", """
+SELECT tank AS tank_mode FROM lots WHERE tank IS NOT NULL GROUP BY tank ORDER BY count(*) DESC, tank LIMIT 1""")
+def q_mode_category(spark, sf):
+    from qualityspark.operators.ordered import mode_of
+    return mode_of(lots(spark, sf), "tank")
+
+
+# --------------------------------------------------------------------------- W5 / W6 / W7 / L3 input
+LAG_SERIES = ["type", "tank"]
+_W_SERIES = "PARTITION BY type, tank ORDER BY date, lot_id"
+
+
+@register("lag1_gap", f"""
+SELECT lot_id, type, tank, CAST(date_diff('day', lag(date) OVER w, date) AS BIGINT) AS date_diff_days,
+       round(CASE WHEN date_diff('day', lag(date) OVER w, date) > 2 THEN NULL ELSE lag(target) OVER w END, 6)
+         AS target_lag1
+FROM lots WINDOW w AS ({_W_SERIES})""")
+def q_lag1_gap(spark, sf):
+    out = _ordered(spark, sf, LAG_SERIES).lag_features("target")
+    return out.select("lot_id", "type", "tank", "date_diff_days", round6("target_lag1").alias("target_lag1"))
+
+
+@register("roll3", f"""
+WITH a AS (
+  SELECT lot_id, type, tank, date,
+         CASE WHEN date_diff('day', lag(date) OVER w, date) > 2 THEN NULL ELSE lag(target) OVER w END AS lag1
+  FROM lots WINDOW w AS ({_W_SERIES})
+)
+SELECT lot_id, round(lag1, 6) AS target_lag1,
+       round(CASE WHEN count(lag1) OVER r >= 2 THEN avg(lag1) OVER r END, 6) AS target_roll3
+FROM a WINDOW r AS ({_W_SERIES} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
+def q_roll3(spark, sf):
+    out = _ordered(spark, sf, LAG_SERIES).lag_features("target")
+    return out.select("lot_id", round6("target_lag1").alias("target_lag1"),
+                      round6("target_roll3").alias("target_roll3"))
+
+
+@register("lag_frame", """
+WITH a AS (
+  SELECT lot_id, target,
+         CASE WHEN date_diff('day', lag(date) OVER w, date) > 2 THEN NULL ELSE lag(target) OVER w END AS lag1
+  FROM lots WINDOW w AS (ORDER BY date, lot_id)
+)
+SELECT lot_id, round(target, 6) AS target, round(lag1, 6) AS target_lag1 FROM a WHERE lag1 IS NOT NULL""")
+def q_lag_frame(spark, sf):
+    out = _ordered(spark, sf).lag_features("target")
+    return out.where(F.col("target_lag1").isNotNull()).select(
+        "lot_id", round6("target").alias("target"), round6("target_lag1").alias("target_lag1"))
+
+
+# --------------------------------------------------------------------------- W11
+@register("acf_40", """
+WITH x AS (SELECT target AS v, row_number() OVER (ORDER BY date, lot_id) AS idx FROM lots WHERE target IS NOT NULL),
+mu AS (SELECT avg(v) AS m, count(*) AS n FROM x),
+c AS (
+  SELECT b.idx - a.idx AS lag, sum((a.v - mu.m) * (b.v - mu.m)) AS c
+  FROM x a JOIN x b ON b.idx - a.idx BETWEEN 0 AND 40, mu GROUP BY 1
+),
+r AS (SELECT lag, c / first_value(c) OVER (ORDER BY lag) AS acf FROM c),
+s AS (
+  SELECT lag, acf, CASE WHEN lag = 0 THEN 0.0 ELSE (1 + 2 * coalesce(sum(CASE WHEN lag > 0 THEN acf * acf END)
+         OVER (ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (SELECT n FROM mu) END AS var
+  FROM r
+)
+SELECT CAST(lag AS INTEGER) AS lag, round(acf, 6) AS acf, round(sqrt(var), 6) AS se,
+       round(acf - 1.959963984540054 * sqrt(var), 6) AS lower, round(acf + 1.959963984540054 * sqrt(var), 6) AS upper
+FROM s""")
+def q_acf_40(spark, sf):
+    out = _ordered(spark, sf).acf("target", 40)
+    return out.select("lag", *[round6(c).alias(c) for c in ("acf", "se", "lower", "upper")])
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REGISTRY)
 
