@@ -27,6 +27,8 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from qualityspark.session import materialize
+
 DEFAULT_MAX_BUCKET_ROWS = 1_000_000
 BKT = ["_b0", "_b1", "_b2"]
 
@@ -125,8 +127,9 @@ class Ordered:
             bt = self.buckets()
             rows = join_keys(self._bucketed_rows, bt, self.series + BKT)
             rows = rows.withColumn("_lrn", F.row_number().over(self._bucket_window()).cast("long"))
-            self._indexed = rows.withColumn("_idx", F.col("_boff") + F.col("_lrn")) \
-                                .withColumn("_n", F.col("_ntot"))
+            # written once: fills, halos and splits all start from it
+            self._indexed = materialize(rows.withColumn("_idx", F.col("_boff") + F.col("_lrn"))
+                                        .withColumn("_n", F.col("_ntot")))
         return self._indexed
 
     # ------------------------------------------------------------------ W1 / W8

@@ -26,6 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from qualityspark.session import materialize
+
 DEFAULT_MAX_BIN = 200_000
 
 
@@ -62,6 +64,7 @@ def cumulative(freq: DataFrame, keys, value: str, max_bin: int = DEFAULT_MAX_BIN
     """Add ``_before`` (weight of strictly smaller values in the group) and
     ``_n`` (group total) to a value-count frame; also returns bin columns."""
     keys = _keys(keys)
+    freq = materialize(freq)     # the value table is read by every level below
     f1 = _bin_level(freq, keys, value, keys, max_bin, "_b1", nb_scale=2)
     f2 = _bin_level(f1, keys, value, keys + ["_b1"], max_bin, "_b2", nb_scale=2)
     bins = f2.groupBy(*keys, "_b1", "_b2").agg(F.sum("_w").alias("_bw"))
@@ -95,6 +98,22 @@ def average_ranks(df: DataFrame, keys, value: str, max_bin: int = DEFAULT_MAX_BI
                       (F.col("_before") + (F.col("_w") + 1) / 2.0).alias("_rank"))
 
 
+def value_at_rank(cum: DataFrame, keys, value: str, targets: DataFrame) -> DataFrame:
+    """For each target row (keys..., _r, ...) return the ``value`` holding the
+    0-based rank ``_r`` in its group.  ``cum`` comes from :func:`cumulative`.
+    The rank is located in the bin table first, then inside one bin (an
+    equi-join on the bin key, so no group is gathered in one task)."""
+    keys = _keys(keys)
+    bins = bin_table(cum, keys).drop("_n")
+    located = targets.join(bins, on=keys).where(
+        (F.col("_boff") <= F.col("_r")) & (F.col("_r") < F.col("_boff") + F.col("_bw"))
+    ).drop("_boff", "_bw")
+    return located.join(cum.select(*keys, "_b1", "_b2", value, "_w", "_before"),
+                        on=keys + ["_b1", "_b2"]).where(
+        (F.col("_before") <= F.col("_r")) & (F.col("_r") < F.col("_before") + F.col("_w"))
+    ).drop("_b1", "_b2", "_w", "_before")
+
+
 def quantiles(df: DataFrame, keys, value: str, probs: Sequence[float],
               max_bin: int = DEFAULT_MAX_BIN, freq: DataFrame | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (same rule as pandas ``quantile`` and
@@ -106,24 +125,16 @@ def quantiles(df: DataFrame, keys, value: str, probs: Sequence[float],
         return out.drop("_g")
     freq = freq if freq is not None else value_counts(df, keys, value)
     cum = cumulative(freq, keys, value, max_bin)
-    bins = bin_table(cum, keys)
-    groups = bins.select(*keys, "_n").dropDuplicates(keys)
-    probs_df = df.sparkSession.createDataFrame([(float(p),) for p in probs], "prob double")
+    groups = bin_table(cum, keys).select(*keys, "_n").dropDuplicates(keys)
+    groups = groups.select(*keys, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
     pos = F.col("prob") * (F.col("_n") - 1)
-    targets = groups.crossJoin(F.broadcast(probs_df)).select(
+    targets = groups.select(
         *keys, "prob", "_n", (pos - F.floor(pos)).alias("_frac"),
         F.explode(F.array(
             F.struct(F.lit(0).alias("_side"), F.floor(pos).cast("long").alias("_r")),
             F.struct(F.lit(1).alias("_side"), F.ceil(pos).cast("long").alias("_r")))).alias("_t"),
     ).select(*keys, "prob", "_n", "_frac", "_t._side", "_t._r")
-    # locate the bin holding each target rank (bin table is small per group)
-    located = targets.join(bins.drop("_n"), on=keys).where(
-        (F.col("_boff") <= F.col("_r")) & (F.col("_r") < F.col("_boff") + F.col("_bw"))
-    ).select(*keys, "prob", "_n", "_frac", "_side", "_r", "_b1", "_b2")
-    # then the value inside that bin (equi-join on the bin key: bounded size)
-    picked = located.join(cum.select(*keys, "_b1", "_b2", value, "_w", "_before"),
-                          on=keys + ["_b1", "_b2"]).where(
-        (F.col("_before") <= F.col("_r")) & (F.col("_r") < F.col("_before") + F.col("_w")))
+    picked = value_at_rank(cum, keys, value, targets)
     wide = picked.groupBy(*keys, "prob").agg(
         F.first("_n").alias("n"), F.first("_frac").alias("_frac"),
         F.max(F.when(F.col("_side") == 0, F.col(value))).alias("_lo"),

@@ -333,6 +333,171 @@ def q_acf_40(spark, sf):
     return out.select("lag", *[round6(c).alias(c) for c in ("acf", "se", "lower", "upper")])
 
 
+# --------------------------------------------------------------------------- V1 / V2 / V4 / V6-V10
+# model frame: lots + gap-aware lag over all dated rows (one series), then valid target
+_MF_SQL = """
+mf AS (
+  SELECT lot_id, date, CAST(year(date) AS INTEGER) AS year, target,
+         CASE WHEN date_diff('day', lag(date) OVER (ORDER BY date, lot_id), date) > 2 THEN NULL
+              ELSE lag(target) OVER (ORDER BY date, lot_id) END AS target_lag1
+  FROM lots
+)"""
+# pseudo-random split key both engines compute identically (unique per lot)
+_RK_SQL = "((lot_id * 7919) % 10007) * 4294967296 + lot_id"
+
+
+def _rk():
+    return ((F.col("lot_id") * 7919) % 10007) * F.lit(4294967296) + F.col("lot_id")
+
+
+def model_frame(spark, sf):
+    o = _ordered(spark, sf)
+    mf = o.lag_features("target").where(F.col("target").isNotNull())
+    return mf.select("lot_id", "date", F.year("date").alias("year"), "target", "target_lag1", "target_roll3")
+
+
+def _m_sql(prefix):
+    sse = "sum((actual - predicted) * (actual - predicted))"
+    sst = "(var_pop(actual) * count(*))"
+    return (f"round(CASE WHEN {sst} = 0 THEN CASE WHEN {sse} = 0 THEN 1.0 ELSE 0.0 END ELSE 1 - {sse} / {sst} END, 6)"
+            f" AS {prefix}_r2, round(sqrt({sse} / count(*)), 6) AS {prefix}_rmse, "
+            f"round(avg(abs(actual - predicted)), 6) AS {prefix}_mae, CAST(count(*) AS BIGINT) AS n_{prefix}")
+
+
+_METRIC_COLS = ["validation", "feature_group", "model", "train_r2", "train_rmse", "train_mae", "test_r2",
+                "test_rmse", "test_mae", "r2_gap_train_minus_test", "rmse_gap_test_minus_train", "n_train", "n_test"]
+_GAPS = ("round(train_r2 - test_r2, 6) AS r2_gap_train_minus_test, "
+         "round(test_rmse - train_rmse, 6) AS rmse_gap_test_minus_train")
+
+_RANDOM_SQL = f"""
+s AS (
+  SELECT *, CASE WHEN row_number() OVER (ORDER BY {_RK_SQL}) <= ceil(0.2 * count(*) OVER ()) THEN 'test'
+                 ELSE 'train' END AS split FROM mf
+),
+rc AS (SELECT 'mean' AS model, avg(target) AS value FROM s WHERE split = 'train'
+       UNION ALL SELECT 'median', quantile_cont(target, 0.5) FROM s WHERE split = 'train'),
+rsc AS (SELECT rc.model, s.split, s.lot_id, s.date, s.target AS actual, rc.value AS predicted FROM s, rc
+        UNION ALL SELECT 'previous_value', split, lot_id, date, target, target_lag1 FROM s WHERE target_lag1 IS NOT NULL)"""
+
+
+@register("baseline_random", f"""
+WITH {_MF_SQL.strip()},{_RANDOM_SQL},
+tr AS (SELECT model, {_m_sql("train")} FROM rsc WHERE split = 'train' GROUP BY model),
+te AS (SELECT model, {_m_sql("test")} FROM rsc WHERE split = 'test' GROUP BY model)
+SELECT 'random_split' AS validation, 'baseline' AS feature_group, model, train_r2, train_rmse, train_mae,
+       test_r2, test_rmse, test_mae, {_GAPS}, n_train, n_test
+FROM tr JOIN te USING (model) WHERE model <> 'previous_value' OR (n_train >= 2 AND n_test >= 2)""")
+def q_baseline_random(spark, sf):
+    from qualityspark.operators.validation import constant_and_previous_baselines, random_split
+    lab = random_split(model_frame(spark, sf), key=_rk()).withColumn("_all", F.lit(0))
+    m, _ = constant_and_previous_baselines(lab, ["_all"], "target", "target_lag1", "random_split")
+    return m.select(*_METRIC_COLS)
+
+
+_YEAR_SQL = """
+yc AS (SELECT year AS y FROM mf GROUP BY year HAVING count(*) >= 20),
+pairs AS (SELECT a.y AS train_year, b.y AS test_year FROM yc a JOIN yc b ON a.y <> b.y),
+yconst AS (SELECT year AS y, 'mean' AS model, avg(target) AS value FROM mf GROUP BY year
+           UNION ALL SELECT year, 'median', quantile_cont(target, 0.5) FROM mf GROUP BY year),
+ylag AS (SELECT year AS y FROM mf WHERE target_lag1 IS NOT NULL GROUP BY year HAVING count(*) >= 2),
+ytr AS (SELECT k.y AS train_year, k.model, m.target AS actual, k.value AS predicted FROM yconst k JOIN mf m ON m.year = k.y
+        UNION ALL SELECT year, 'previous_value', target, target_lag1 FROM mf WHERE target_lag1 IS NOT NULL),
+ypred AS (SELECT p.train_year, p.test_year, k.model, m.lot_id, m.date, m.target AS actual, k.value AS predicted
+          FROM pairs p JOIN yconst k ON k.y = p.train_year JOIN mf m ON m.year = p.test_year
+          UNION ALL
+          SELECT p.train_year, p.test_year, 'previous_value', m.lot_id, m.date, m.target, m.target_lag1
+          FROM pairs p JOIN mf m ON m.year = p.test_year
+          WHERE m.target_lag1 IS NOT NULL AND p.train_year IN (SELECT y FROM ylag) AND p.test_year IN (SELECT y FROM ylag))"""
+
+
+@register("baseline_year", f"""
+WITH {_MF_SQL.strip()},{_YEAR_SQL},
+tr AS (SELECT train_year, model, {_m_sql("train")} FROM ytr GROUP BY train_year, model),
+te AS (SELECT train_year, test_year, model, {_m_sql("test")} FROM ypred GROUP BY train_year, test_year, model)
+SELECT 'year_holdout' AS validation, 'baseline' AS feature_group, model, train_year, test_year,
+       train_r2, train_rmse, train_mae, test_r2, test_rmse, test_mae, {_GAPS}, n_train, n_test
+FROM te JOIN tr USING (train_year, model)""")
+def q_baseline_year(spark, sf):
+    from qualityspark.operators.validation import year_holdout_baselines
+    m, _ = year_holdout_baselines(model_frame(spark, sf), "target", "target_lag1")
+    return m.select(*_METRIC_COLS[:3], "train_year", "test_year", *_METRIC_COLS[3:])
+
+
+_BLOCKED_SQL = """
+bo AS (SELECT *, row_number() OVER (ORDER BY date, lot_id) AS idx, count(*) OVER () AS n FROM mf),
+bs AS (SELECT *, CASE WHEN idx <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM bo
+       WHERE floor(n * 0.8) >= 20 AND n - floor(n * 0.8) >= 20),
+bc AS (SELECT 'mean' AS model, avg(target) AS value FROM bs WHERE split = 'train'
+       UNION ALL SELECT 'median', quantile_cont(target, 0.5) FROM bs WHERE split = 'train'),
+bsc AS (SELECT bc.model, bs.split, bs.lot_id, bs.date, bs.target AS actual, bc.value AS predicted FROM bs, bc
+        UNION ALL SELECT 'previous_value', split, lot_id, date, target, target_lag1 FROM bs WHERE target_lag1 IS NOT NULL),
+bmeta AS (SELECT strftime(min(CASE WHEN split = 'train' THEN date END), '%Y-%m-%d') AS train_date_min,
+                 strftime(max(CASE WHEN split = 'train' THEN date END), '%Y-%m-%d') AS train_date_max,
+                 strftime(min(CASE WHEN split = 'test' THEN date END), '%Y-%m-%d') AS test_date_min,
+                 strftime(max(CASE WHEN split = 'test' THEN date END), '%Y-%m-%d') AS test_date_max FROM bs)"""
+
+
+@register("baseline_blocked", f"""
+WITH {_MF_SQL.strip()},{_BLOCKED_SQL},
+tr AS (SELECT model, {_m_sql("train")} FROM bsc WHERE split = 'train' GROUP BY model),
+te AS (SELECT model, {_m_sql("test")} FROM bsc WHERE split = 'test' GROUP BY model)
+SELECT 'blocked_time_holdout' AS validation, 'baseline' AS feature_group, model, train_r2, train_rmse, train_mae,
+       test_r2, test_rmse, test_mae, {_GAPS}, n_train, n_test,
+       train_date_min, train_date_max, test_date_min, test_date_max
+FROM tr JOIN te USING (model), bmeta WHERE model <> 'previous_value' OR (n_train >= 2 AND n_test >= 2)""")
+def q_baseline_blocked(spark, sf):
+    from qualityspark.operators.validation import blocked_labelled, constant_and_previous_baselines
+    from qualityspark.operators.ordered import Ordered
+    lab = blocked_labelled(Ordered(model_frame(spark, sf), "date", ["lot_id"])).withColumn("_all", F.lit(0))
+    m, _ = constant_and_previous_baselines(lab, ["_all"], "target", "target_lag1", "blocked_time_holdout")
+    meta = lab.select("train_date_min", "train_date_max", "test_date_min", "test_date_max").limit(1)
+    return m.select(*_METRIC_COLS).crossJoin(F.broadcast(meta))
+
+
+_MONTHLY_SQL = """
+mp AS (SELECT *, date_trunc('month', date) AS period FROM mf),
+mt AS (
+  SELECT period, cnt, row_number() OVER (ORDER BY period) - 1 AS pidx,
+         coalesce(sum(cnt) OVER (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ntr,
+         sum(s) OVER (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS str,
+         first_value(period) OVER (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS p0,
+         lag(period) OVER (ORDER BY period) AS pend
+  FROM (SELECT period, count(*) AS cnt, sum(target) AS s FROM mp GROUP BY period)
+),
+wins AS (SELECT period, str / ntr AS mean_v, strftime(period, '%Y-%m') AS test_period,
+                strftime(p0, '%Y-%m') AS train_period_start, strftime(pend, '%Y-%m') AS train_period_end
+         FROM mt WHERE pidx >= 3 AND ntr >= 60 AND cnt >= 5),
+med AS (SELECT w.period, quantile_cont(m.target, 0.5) AS median_v FROM wins w JOIN mp m ON m.period < w.period
+        GROUP BY w.period),
+lagok AS (SELECT period FROM mp WHERE target_lag1 IS NOT NULL GROUP BY period HAVING count(*) >= 5),
+mpred AS (
+  SELECT 'mean' AS model, m.lot_id, m.date, m.target AS actual, w.mean_v AS predicted, w.test_period,
+         w.train_period_start, w.train_period_end FROM mp m JOIN wins w USING (period)
+  UNION ALL
+  SELECT 'median', m.lot_id, m.date, m.target, d.median_v, w.test_period, w.train_period_start, w.train_period_end
+  FROM mp m JOIN wins w USING (period) JOIN med d USING (period)
+  UNION ALL
+  SELECT 'previous_value', m.lot_id, m.date, m.target, m.target_lag1, w.test_period, w.train_period_start,
+         w.train_period_end
+  FROM mp m JOIN wins w USING (period) WHERE m.target_lag1 IS NOT NULL AND m.period IN (SELECT period FROM lagok)
+)"""
+
+
+@register("baseline_monthly", f"""
+WITH {_MF_SQL.strip()},{_MONTHLY_SQL}
+SELECT 'monthly_rolling' AS validation, 'baseline' AS feature_group, model,
+       CAST(NULL AS DOUBLE) AS train_r2, CAST(NULL AS DOUBLE) AS train_rmse, CAST(NULL AS DOUBLE) AS train_mae,
+       {_m_sql("test")}, CAST(NULL AS DOUBLE) AS r2_gap_train_minus_test,
+       CAST(NULL AS DOUBLE) AS rmse_gap_test_minus_train, CAST(0 AS BIGINT) AS n_train,
+       CAST(count(DISTINCT test_period) AS BIGINT) AS n_windows, min(test_period) AS test_period_start,
+       max(test_period) AS test_period_end
+FROM mpred GROUP BY model""")
+def q_baseline_monthly(spark, sf):
+    from qualityspark.operators.validation import monthly_rolling_baselines
+    m, _ = monthly_rolling_baselines(model_frame(spark, sf), "target", "target_lag1")
+    return m.select(*_METRIC_COLS, "n_windows", "test_period_start", "test_period_end")
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REGISTRY)
 

@@ -26,6 +26,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.driver.memory", os.environ.get("QS_DRIVER_MEMORY", "8g"))
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -56,3 +57,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder for intermediate tables under the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` to the shared checkpoint folder and continue
+    from the written copy (reliable checkpoint; survives executor loss, keeps
+    plans of multi-pass operators small)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
