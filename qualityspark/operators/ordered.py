@@ -27,6 +27,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from qualityspark.operators.joins import join_keys
 from qualityspark.session import materialize
 
 DEFAULT_MAX_BUCKET_ROWS = 1_000_000
@@ -39,19 +40,6 @@ def _l(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` treating NULL keys as equal (series keys may be
-    NULL); planned as a hash / sort-merge join on the keys."""
-    keys = list(keys)
-    r = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(r[f"__r_{k}"])
-        cond = c if cond is None else (cond & c)
-    j = left.join(r, cond, how)
-    return j.drop(*[f"__r_{k}" for k in keys])
-
-
 class Ordered:
     """A frame with a total order ``(date, *tie)`` inside optional ``series``."""
 

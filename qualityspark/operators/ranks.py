@@ -26,6 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from qualityspark.operators.joins import join_keys
 from qualityspark.session import materialize
 
 DEFAULT_MAX_BIN = 200_000
@@ -54,7 +55,7 @@ def _bin_level(freq: DataFrame, keys, value, group_cols, max_bin, out_col, nb_sc
     nb = F.greatest(F.lit(1), F.ceil(F.col("_d") * nb_scale / F.lit(max_bin))).cast("long")
     cell = cell.where(F.col("_d") > F.lit(max_bin) if out_col != "_b1" else F.lit(True)) \
         .select(*group_cols, "_lo", "_hi", nb.alias("_nb"))
-    j = freq.join(cell, on=group_cols, how="left")
+    j = join_keys(freq, cell, group_cols, "left")
     b = (F.when(F.col("_nb").isNull() | (F.col("_hi") == F.col("_lo")), F.lit(0))
          .otherwise(F.expr(f"width_bucket(`{value}`, _lo, _hi, _nb)")))
     return j.withColumn(out_col, b.cast("long")).drop("_lo", "_hi", "_nb")
@@ -75,7 +76,7 @@ def cumulative(freq: DataFrame, keys, value: str, max_bin: int = DEFAULT_MAX_BIN
                    F.lit(0)).alias("_boff"),
         F.sum("_bw").over(Window.partitionBy(*keys)).alias("_n"),
     )
-    j = f2.join(bins, on=keys + ["_b1", "_b2"])
+    j = join_keys(f2, bins, keys + ["_b1", "_b2"])
     wv = Window.partitionBy(*keys, "_b1", "_b2").orderBy(value)
     return j.withColumn(
         "_before",
@@ -105,11 +106,11 @@ def value_at_rank(cum: DataFrame, keys, value: str, targets: DataFrame) -> DataF
     equi-join on the bin key, so no group is gathered in one task)."""
     keys = _keys(keys)
     bins = bin_table(cum, keys).drop("_n")
-    located = targets.join(bins, on=keys).where(
+    located = join_keys(targets, bins, keys).where(
         (F.col("_boff") <= F.col("_r")) & (F.col("_r") < F.col("_boff") + F.col("_bw"))
     ).drop("_boff", "_bw")
-    return located.join(cum.select(*keys, "_b1", "_b2", value, "_w", "_before"),
-                        on=keys + ["_b1", "_b2"]).where(
+    return join_keys(located, cum.select(*keys, "_b1", "_b2", value, "_w", "_before"),
+                     keys + ["_b1", "_b2"]).where(
         (F.col("_before") <= F.col("_r")) & (F.col("_r") < F.col("_before") + F.col("_w"))
     ).drop("_b1", "_b2", "_w", "_before")
 

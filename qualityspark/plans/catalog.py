@@ -371,7 +371,7 @@ _GAPS = ("round(train_r2 - test_r2, 6) AS r2_gap_train_minus_test, "
 
 _RANDOM_SQL = f"""
 s AS (
-  SELECT *, CASE WHEN row_number() OVER (ORDER BY {_RK_SQL}) <= ceil(0.2 * count(*) OVER ()) THEN 'test'
+  SELECT *, CASE WHEN row_number() OVER (ORDER BY {_RK_SQL}) <= ceil(count(*) OVER () * CAST(0.2 AS DOUBLE)) THEN 'test'
                  ELSE 'train' END AS split FROM mf
 ),
 rc AS (SELECT 'mean' AS model, avg(target) AS value FROM s WHERE split = 'train'
@@ -425,8 +425,8 @@ def q_baseline_year(spark, sf):
 
 _BLOCKED_SQL = """
 bo AS (SELECT *, row_number() OVER (ORDER BY date, lot_id) AS idx, count(*) OVER () AS n FROM mf),
-bs AS (SELECT *, CASE WHEN idx <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM bo
-       WHERE floor(n * 0.8) >= 20 AND n - floor(n * 0.8) >= 20),
+bs AS (SELECT *, CASE WHEN idx <= floor(n * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'test' END AS split FROM bo
+       WHERE floor(n * CAST(0.8 AS DOUBLE)) >= 20 AND n - floor(n * CAST(0.8 AS DOUBLE)) >= 20),
 bc AS (SELECT 'mean' AS model, avg(target) AS value FROM bs WHERE split = 'train'
        UNION ALL SELECT 'median', quantile_cont(target, 0.5) FROM bs WHERE split = 'train'),
 bsc AS (SELECT bc.model, bs.split, bs.lot_id, bs.date, bs.target AS actual, bc.value AS predicted FROM bs, bc
@@ -498,6 +498,121 @@ def q_baseline_monthly(spark, sf):
     return m.select(*_METRIC_COLS, "n_windows", "test_period_start", "test_period_end")
 
 
+# --------------------------------------------------------------------------- R1-R7, A8, J1, U2
+_PREDS_SQL = """
+preds AS (
+  SELECT 'random_split' AS validation, 'baseline' AS feature_group, model, CAST(NULL AS INTEGER) AS train_year,
+         CAST(NULL AS INTEGER) AS test_year, lot_id, actual, predicted
+  FROM rsc WHERE split = 'test' AND (model <> 'previous_value' OR
+       ((SELECT count(*) FROM rsc WHERE model = 'previous_value' AND split = 'train') >= 2 AND
+        (SELECT count(*) FROM rsc WHERE model = 'previous_value' AND split = 'test') >= 2))
+  UNION ALL SELECT 'year_holdout', 'baseline', model, train_year, test_year, lot_id, actual, predicted FROM ypred
+  UNION ALL SELECT 'blocked_time_holdout', 'baseline', model, NULL, NULL, lot_id, actual, predicted
+  FROM bsc WHERE split = 'test'
+  UNION ALL SELECT 'monthly_rolling', 'baseline', model, NULL, NULL, lot_id, actual, predicted FROM mpred
+),"""
+_TH_SQL = """
+th AS (SELECT 'p75' AS threshold_name, round(quantile_cont(target, 0.75), 6) AS t FROM mf
+       UNION ALL SELECT 'p80', round(quantile_cont(target, 0.80), 6) FROM mf
+       UNION ALL SELECT 'p90', round(quantile_cont(target, 0.90), 6) FROM mf)"""
+_ALL_PRED_CTES = f"WITH {_MF_SQL.strip()},{_RANDOM_SQL},{_YEAR_SQL},{_BLOCKED_SQL},{_MONTHLY_SQL},{_PREDS_SQL}{_TH_SQL}"
+_RKEYS = "validation, feature_group, model, train_year, test_year"
+_RK = _RKEYS.split(", ")
+
+
+def _prec(tp="tp", fp="fp"):
+    return f"(CASE WHEN {tp} + {fp} > 0 THEN {tp} / ({tp} + {fp}) ELSE 0.0 END)"
+
+
+_CONF_SQL = f"""
+conf AS (
+  SELECT {_RKEYS}, threshold_name, any_value(t) AS risk_threshold_ppm, count(*) AS n_samples,
+         count_if(predicted >= t AND actual >= t) AS tp, count_if(predicted >= t AND actual < t) AS fp,
+         count_if(predicted < t AND actual < t) AS tn, count_if(predicted < t AND actual >= t) AS fn
+  FROM preds, th GROUP BY {_RKEYS}, threshold_name
+),
+rk AS (
+  SELECT p.*, th.threshold_name, th.t,
+         row_number() OVER (PARTITION BY {_RKEYS}, threshold_name ORDER BY predicted DESC, lot_id) AS r,
+         count(*) OVER (PARTITION BY {_RKEYS}, threshold_name) AS n
+  FROM preds p, th
+),
+tk AS (
+  SELECT {_RKEYS}, threshold_name,
+         {", ".join(f"CAST(greatest(1, ceil(any_value(n) * CAST({f} AS DOUBLE))) AS BIGINT) AS top_{p}pct_alert_count, "
+                    f"sum(CASE WHEN r <= greatest(1, ceil(n * CAST({f} AS DOUBLE))) AND actual >= t THEN 1 ELSE 0 END) AS h{p}"
+                    for f, p in ((0.05, 5), (0.10, 10), (0.20, 20)))}
+  FROM rk GROUP BY {_RKEYS}, threshold_name
+),
+risk AS (
+  SELECT {", ".join("conf." + k for k in _RK)}, conf.threshold_name, risk_threshold_ppm,
+         CAST(n_samples AS BIGINT) AS n_samples,
+         CAST(tp + fn AS BIGINT) AS actual_high_count, CAST(tp + fp AS BIGINT) AS predicted_high_count,
+         CAST(tp AS BIGINT) AS true_positive, CAST(fp AS BIGINT) AS false_positive,
+         CAST(tn AS BIGINT) AS true_negative, CAST(fn AS BIGINT) AS false_negative,
+         round({_prec()}, 6) AS precision,
+         round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 6) AS recall,
+         round(CASE WHEN tp + fn > 0 THEN fn / (tp + fn) END, 6) AS false_negative_rate,
+         round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) END, 6) AS specificity,
+         round(CASE WHEN tp + fn > 0 AND {_prec()} + tp / (tp + fn) > 0
+               THEN 2 * {_prec()} * (tp / (tp + fn)) / ({_prec()} + tp / (tp + fn)) END, 6) AS f1,
+         {", ".join(f"top_{p}pct_alert_count, round(h{p} / top_{p}pct_alert_count, 6) AS top_{p}pct_precision, "
+                    f"round(CASE WHEN tp + fn > 0 THEN h{p} / (tp + fn) END, 6) AS top_{p}pct_recall"
+                    for p in (5, 10, 20))}
+  FROM conf JOIN tk ON {" AND ".join(f"conf.{k} IS NOT DISTINCT FROM tk.{k}" for k in _RK + ["threshold_name"])}
+)"""
+
+_RISK_COLS = ["validation", "feature_group", "model", "train_year", "test_year", "threshold_name",
+              "risk_threshold_ppm", "n_samples", "actual_high_count", "predicted_high_count", "true_positive",
+              "false_positive", "true_negative", "false_negative", "precision", "recall", "false_negative_rate",
+              "specificity", "f1"]
+_TOPK_COLS = [f"top_{p}pct_{m}" for p in (5, 10, 20) for m in ("alert_count", "precision", "recall")]
+
+
+def baseline_tables(spark, sf):
+    """(model frame, metrics of all designs, test predictions of all designs)."""
+    from qualityspark.operators.ordered import Ordered
+    from qualityspark.operators.validation import (blocked_labelled, constant_and_previous_baselines,
+                                                   monthly_rolling_baselines, random_split,
+                                                   year_holdout_baselines)
+    from qualityspark.session import materialize
+    mf = materialize(model_frame(spark, sf))
+    lab_r = random_split(mf, key=_rk()).withColumn("_all", F.lit(0))
+    m_r, p_r = constant_and_previous_baselines(lab_r, ["_all"], "target", "target_lag1", "random_split")
+    m_y, p_y = year_holdout_baselines(mf, "target", "target_lag1")
+    lab_b = blocked_labelled(Ordered(mf, "date", ["lot_id"])).withColumn("_all", F.lit(0))
+    m_b, p_b = constant_and_previous_baselines(lab_b, ["_all"], "target", "target_lag1", "blocked_time_holdout")
+    m_m, p_m = monthly_rolling_baselines(mf, "target", "target_lag1")
+    metrics = m_r.drop("_all").unionByName(m_y, allowMissingColumns=True) \
+        .unionByName(m_b.drop("_all"), allowMissingColumns=True).unionByName(m_m, allowMissingColumns=True)
+    preds = p_r.drop("_all").unionByName(p_y, allowMissingColumns=True) \
+        .unionByName(p_b.drop("_all"), allowMissingColumns=True).unionByName(p_m, allowMissingColumns=True)
+    return mf, metrics, preds
+
+
+@register("risk_thresholds", f"WITH {_MF_SQL.strip()},{_TH_SQL}\n"
+          "SELECT threshold_name, CASE threshold_name WHEN 'p75' THEN 0.75 WHEN 'p80' THEN 0.8 ELSE 0.9 END"
+          " AS quantile, t AS threshold_ppm FROM th")
+def q_risk_thresholds(spark, sf):
+    from qualityspark.operators.risk import risk_thresholds
+    return risk_thresholds(model_frame(spark, sf), "target")
+
+
+@register("risk_metrics", _ALL_PRED_CTES + "," + _CONF_SQL.strip() + "\nSELECT " + ", ".join(_RISK_COLS) + " FROM risk")
+def q_risk_metrics(spark, sf):
+    from qualityspark.operators.risk import alert_metrics, risk_thresholds
+    mf, _, preds = baseline_tables(spark, sf)
+    return alert_metrics(preds, risk_thresholds(mf, "target"), _RK, fractions=()).select(*_RISK_COLS)
+
+
+@register("risk_topk", _ALL_PRED_CTES + "," + _CONF_SQL.strip() + "\nSELECT "
+          + ", ".join(_RISK_COLS[:6] + _TOPK_COLS) + " FROM risk")
+def q_risk_topk(spark, sf):
+    from qualityspark.operators.risk import alert_metrics, risk_thresholds
+    mf, _, preds = baseline_tables(spark, sf)
+    return alert_metrics(preds, risk_thresholds(mf, "target"), _RK).select(*(_RISK_COLS[:6] + _TOPK_COLS))
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REGISTRY)
 
