@@ -48,6 +48,13 @@ def value_counts(df: DataFrame, keys, value: str, weight: str | None = None) ->
     return src.groupBy(*keys, value).agg(w.cast("long").alias("_w"))
 
 
+def max_distinct(freq: DataFrame, keys) -> int:
+    """Largest number of distinct values in any group (one small job)."""
+    keys = _keys(keys)
+    row = freq.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()
+    return int(row[0] or 0)
+
+
 def _bin_level(freq: DataFrame, keys, value, group_cols, max_bin, out_col, nb_scale=1):
     """Add ``out_col`` = width_bucket of value inside each group_cols cell."""
     cell = freq.groupBy(*group_cols).agg(
@@ -66,6 +73,16 @@ def cumulative(freq: DataFrame, keys, value: str, max_bin: int = DEFAULT_MAX_BIN
     ``_n`` (group total) to a value-count frame; also returns bin columns."""
     keys = _keys(keys)
     freq = materialize(freq)     # the value table is read by every level below
+    if max_distinct(freq, keys) <= max_bin:
+        # every group has a bounded number of distinct values: one window per
+        # group is exact and bounded (a single bin per group)
+        w = Window.partitionBy(*keys).orderBy(value)
+        return freq.select(
+            "*", F.lit(0).cast("long").alias("_b1"), F.lit(0).cast("long").alias("_b2"),
+            F.lit(0).cast("long").alias("_boff"),
+            F.sum("_w").over(Window.partitionBy(*keys)).alias("_n"),
+            F.coalesce(F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        ).withColumn("_bw", F.col("_n"))
     f1 = _bin_level(freq, keys, value, keys, max_bin, "_b1", nb_scale=2)
     f2 = _bin_level(f1, keys, value, keys + ["_b1"], max_bin, "_b2", nb_scale=2)
     bins = f2.groupBy(*keys, "_b1", "_b2").agg(F.sum("_w").alias("_bw"))
@@ -124,7 +141,18 @@ def quantiles(df: DataFrame, keys, value: str, probs: Sequence[float],
         out = quantiles(df.withColumn("_g", F.lit(0)), ["_g"], value, probs, max_bin,
                         None if freq is None else freq.withColumn("_g", F.lit(0)))
         return out.drop("_g")
-    freq = freq if freq is not None else value_counts(df, keys, value)
+    freq = materialize(freq if freq is not None else value_counts(df, keys, value))
+    if max_distinct(freq, keys) <= max_bin:
+        # bounded groups: Spark's exact weighted percentile holds at most
+        # max_bin distinct values per group in its buffer
+        ps = [float(p) for p in probs]
+        agg = freq.groupBy(*keys).agg(
+            F.percentile(F.col(value), F.array(*[F.lit(p) for p in ps]), F.col("_w")).alias("_q"),
+            F.sum("_w").alias("n"))
+        return agg.select(*keys, F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in ps]).alias("prob"),
+                                                        F.col("_q").alias("quantile"))).alias("_z"), "n") \
+            .select(*keys, F.col("_z.prob").alias("prob"), F.col("_z.quantile").cast("double").alias("quantile"),
+                    F.col("n").cast("long").alias("n"))
     cum = cumulative(freq, keys, value, max_bin)
     groups = bin_table(cum, keys).select(*keys, "_n").dropDuplicates(keys)
     groups = groups.select(*keys, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))

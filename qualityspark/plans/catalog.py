@@ -136,7 +136,7 @@ WITH long AS (
 SELECT feature, CAST(n AS BIGINT) AS non_null_count, CAST(n_missing AS BIGINT) AS missing_count,
        round(mean, 6) AS mean, round(std, 6) AS std, round(min, 6) AS min, round(q25, 6) AS q25,
        round(median, 6) AS median, round(q75, 6) AS q75, round(max, 6) AS max,
-       round({_SKEW}, 6) AS skew, round({_KURT}, 6) AS kurtosis
+       round({_SKEW}, 6) + 0.0 AS skew, round({_KURT}, 6) + 0.0 AS kurtosis
 FROM m LEFT JOIN c USING (feature)""")
 def q_descriptive_stats(spark, sf):
     from qualityspark.operators.profile import descriptive_stats
@@ -325,8 +325,8 @@ s AS (
          OVER (ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (SELECT n FROM mu) END AS var
   FROM r
 )
-SELECT CAST(lag AS INTEGER) AS lag, round(acf, 6) AS acf, round(sqrt(var), 6) AS se,
-       round(acf - 1.959963984540054 * sqrt(var), 6) AS lower, round(acf + 1.959963984540054 * sqrt(var), 6) AS upper
+SELECT CAST(lag AS INTEGER) AS lag, round(acf, 6) + 0.0 AS acf, round(sqrt(var), 6) AS se,
+       round(acf - 1.959963984540054 * sqrt(var), 6) + 0.0 AS lower, round(acf + 1.959963984540054 * sqrt(var), 6) + 0.0 AS upper
 FROM s""")
 def q_acf_40(spark, sf):
     out = _ordered(spark, sf).acf("target", 40)
@@ -360,14 +360,14 @@ def _m_sql(prefix):
     sse = "sum((actual - predicted) * (actual - predicted))"
     sst = "(var_pop(actual) * count(*))"
     return (f"round(CASE WHEN {sst} = 0 THEN CASE WHEN {sse} = 0 THEN 1.0 ELSE 0.0 END ELSE 1 - {sse} / {sst} END, 6)"
-            f" AS {prefix}_r2, round(sqrt({sse} / count(*)), 6) AS {prefix}_rmse, "
+            f" + 0.0 AS {prefix}_r2, round(sqrt({sse} / count(*)), 6) AS {prefix}_rmse, "
             f"round(avg(abs(actual - predicted)), 6) AS {prefix}_mae, CAST(count(*) AS BIGINT) AS n_{prefix}")
 
 
 _METRIC_COLS = ["validation", "feature_group", "model", "train_r2", "train_rmse", "train_mae", "test_r2",
                 "test_rmse", "test_mae", "r2_gap_train_minus_test", "rmse_gap_test_minus_train", "n_train", "n_test"]
-_GAPS = ("round(train_r2 - test_r2, 6) AS r2_gap_train_minus_test, "
-         "round(test_rmse - train_rmse, 6) AS rmse_gap_test_minus_train")
+_GAPS = ("round(train_r2 - test_r2, 6) + 0.0 AS r2_gap_train_minus_test, "
+         "round(test_rmse - train_rmse, 6) + 0.0 AS rmse_gap_test_minus_train")
 
 _RANDOM_SQL = f"""
 s AS (
@@ -587,7 +587,8 @@ def baseline_tables(spark, sf):
         .unionByName(m_b.drop("_all"), allowMissingColumns=True).unionByName(m_m, allowMissingColumns=True)
     preds = p_r.drop("_all").unionByName(p_y, allowMissingColumns=True) \
         .unionByName(p_b.drop("_all"), allowMissingColumns=True).unionByName(p_m, allowMissingColumns=True)
-    return mf, metrics, preds
+    # the metric rows and the prediction fact table are the outputs every report reads: write them once
+    return mf, materialize(metrics), materialize(preds)
 
 
 @register("risk_thresholds", f"WITH {_MF_SQL.strip()},{_TH_SQL}\n"
@@ -613,6 +614,89 @@ def q_risk_topk(spark, sf):
     return alert_metrics(preds, risk_thresholds(mf, "target"), _RK).select(*(_RISK_COLS[:6] + _TOPK_COLS))
 
 
+def _baseline_comparison(metrics):
+    """Random-split baseline rows with each baseline model as its own group."""
+    return metrics.where(F.col("validation") == "random_split") \
+        .withColumn("feature_group", F.col("model")).withColumn("cv_best_rmse", F.lit(None).cast("double"))
+
+
+_GROUP_SQL = """
+rtr AS (SELECT model, {tr} FROM rsc WHERE split = 'train' GROUP BY model),
+rte AS (SELECT model, {te} FROM rsc WHERE split = 'test' GROUP BY model),
+cmp AS (SELECT model AS feature_group, model, test_r2, test_rmse, round(test_rmse - train_rmse, 6) AS gap
+        FROM rtr JOIN rte USING (model) WHERE model <> 'previous_value' OR (n_train >= 2 AND n_test >= 2)),
+ytr2 AS (SELECT train_year, model, {tr} FROM ytr GROUP BY train_year, model),
+yte2 AS (SELECT train_year, test_year, model, {te} FROM ypred GROUP BY train_year, test_year, model),
+yall AS (SELECT model AS feature_group, test_r2, test_rmse FROM yte2 JOIN ytr2 USING (train_year, model)),
+gsum AS (
+  SELECT c.feature_group, max(test_r2) AS best_random_split_test_r2, min(test_rmse) AS best_random_split_test_rmse,
+         CAST(NULL AS DOUBLE) AS best_cv_rmse, any_value(y.b) AS best_cross_year_test_r2,
+         any_value(y.m) AS mean_cross_year_test_r2, any_value(y.w) AS worst_cross_year_test_r2,
+         any_value(y.r) AS mean_cross_year_test_rmse
+  FROM cmp c LEFT JOIN (SELECT feature_group, max(test_r2) AS b, round(avg(test_r2), 6) AS m, min(test_r2) AS w,
+                               round(avg(test_rmse), 6) AS r FROM yall GROUP BY feature_group) y
+       USING (feature_group)
+  GROUP BY c.feature_group
+)""".format(tr=_m_sql("train"), te=_m_sql("test"))
+
+
+@register("feature_group_summary", f"WITH {_MF_SQL.strip()},{_RANDOM_SQL},{_YEAR_SQL},{_GROUP_SQL}\nSELECT * FROM gsum")
+def q_feature_group_summary(spark, sf):
+    from qualityspark.operators.risk import summarize_feature_groups
+    _, metrics, _ = baseline_tables(spark, sf)
+    year_all = metrics.where(F.col("validation") == "year_holdout").withColumn("feature_group", F.col("model"))
+    return summarize_feature_groups(_baseline_comparison(metrics), year_all)
+
+
+_DEC_SQL = """
+best AS (SELECT feature_group, model FROM cmp ORDER BY test_rmse, gap, feature_group, model LIMIT 1),
+foc AS (SELECT r.* REPLACE (r.model AS feature_group),
+               CASE validation WHEN 'monthly_rolling' THEN 0 WHEN 'random_split' THEN 1 ELSE 2 END AS pref
+        FROM risk r WHERE threshold_name = 'p80'),
+foc_all AS (SELECT * FROM foc WHERE pref = (SELECT min(pref) FROM foc)),
+foc_sel0 AS (SELECT * FROM foc WHERE (feature_group, model) IN (SELECT feature_group, model FROM best)),
+foc_sel AS (SELECT * FROM foc_sel0 WHERE pref = (SELECT min(pref) FROM foc_sel0)),
+qsig AS (SELECT coalesce(best_cross_year_test_r2, best_random_split_test_r2) AS ref FROM gsum WHERE feature_group = 'mean'),
+lg AS (SELECT max(CASE WHEN contains(feature_group, 'previous') THEN test_r2 END) AS bl,
+              max(CASE WHEN NOT contains(feature_group, 'previous') THEN test_r2 END) AS bn FROM cmp),
+sr AS (SELECT max(recall) AS sr, min(false_negative_rate) AS sf FROM foc_sel),
+ar AS (SELECT max(recall) AS ar, min(false_negative_rate) AS af FROM foc_all)
+SELECT 'ppm_prediction_plus_high_risk_alert_prototype' AS business_positioning,
+       'automatic_dosing_optimization' AS not_supported,
+       round(ref, 6) + 0.0 AS quality_only_signal_reference_r2,
+       CASE WHEN ref IS NULL THEN 'not_evaluated'
+            WHEN ref <= 0.10 THEN 'quality_only_features_insufficient_for_precise_ppm_prediction'
+            WHEN ref <= 0.30 THEN 'quality_only_features_have_limited_signal'
+            ELSE 'quality_only_features_have_material_signal' END AS quality_only_conclusion,
+       round(bn, 6) + 0.0 AS best_non_lag_random_split_test_r2, round(bl, 6) + 0.0 AS best_lag_random_split_test_r2,
+       round(bl - bn, 6) + 0.0 AS lag_random_split_test_r2_gain,
+       CASE WHEN bl - bn IS NULL THEN 'not_evaluated'
+            WHEN bl - bn >= 0.15 THEN 'lag_features_materially_improve_prediction'
+            WHEN bl - bn >= 0.05 THEN 'lag_features_modestly_improve_prediction'
+            ELSE 'lag_features_do_not_materially_improve_prediction' END AS lag_conclusion,
+       'p80' AS prototype_risk_threshold,
+       round(sr, 6) AS selected_model_p80_recall, round(sf, 6) AS selected_model_p80_false_negative_rate,
+       round(ar, 6) AS best_available_p80_recall, round(af, 6) AS best_available_p80_false_negative_rate,
+       CASE WHEN sr IS NULL THEN 'risk_alert_not_evaluated'
+            WHEN sr >= 0.80 THEN 'risk_alert_promising_for_manual_review'
+            WHEN sr >= 0.60 THEN 'risk_alert_marginal_requires_business_review'
+            ELSE 'risk_alert_recall_too_low_prioritize_data_or_features' END AS risk_alert_conclusion
+FROM (SELECT 1) LEFT JOIN qsig ON TRUE, lg, sr, ar"""
+
+
+@register("decision_table", _ALL_PRED_CTES + "," + _CONF_SQL.strip() + "," + _GROUP_SQL + "," + _DEC_SQL)
+def q_decision_table(spark, sf):
+    from qualityspark.operators.risk import alert_metrics, decision_summary, risk_thresholds, summarize_feature_groups
+    mf, metrics, preds = baseline_tables(spark, sf)
+    from qualityspark.session import materialize
+    risk = materialize(alert_metrics(preds, risk_thresholds(mf, "target"), _RK, fractions=()))
+    risk = risk.withColumn("feature_group", F.col("model"))
+    cmp = _baseline_comparison(metrics)
+    year_all = metrics.where(F.col("validation") == "year_holdout").withColumn("feature_group", F.col("model"))
+    summary = summarize_feature_groups(cmp, year_all)
+    return decision_summary(cmp, summary, risk, quality_group="mean", lag_marker="previous")
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REGISTRY)
 

@@ -64,4 +64,10 @@ def materialize(df):
     from the written copy (reliable checkpoint; survives executor loss, keeps
     plans of multi-pass operators small)."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persist first so the checkpoint write reuses the computed partitions
+    # instead of recomputing the plan a second time
+    df = df.persist()
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
