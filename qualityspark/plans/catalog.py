@@ -697,6 +697,169 @@ def q_decision_table(spark, sf):
     return decision_summary(cmp, summary, risk, quality_group="mean", lag_marker="previous")
 
 
+# --------------------------------------------------------------------------- P13 / O3 / O4
+_BP_COLS = ["ffa", "mi", "iv", "dobi", "target"]
+_BP_SQL = f"""
+yw AS (
+  SELECT CAST(year(date) AS INTEGER) AS year,
+         max(CASE WHEN month(date) = 8 THEN 1 ELSE 0 END) = 1 AS has_aug,
+         max(CASE WHEN month(date) = 9 THEN 1 ELSE 0 END) = 1 AS has_sep,
+         max(CASE WHEN month(date) = 10 THEN 1 ELSE 0 END) = 1 AS has_oct,
+         count_if((month(date) = 7 AND day(date) >= 22) OR (month(date) = 8 AND day(date) <= 15)) < 6 AS wide_pre,
+         count_if(month(date) = 10 AND day(date) <= 10) < 6 AS wide_post
+  FROM lots GROUP BY 1
+),
+wr AS (
+  SELECT l.*, yw.year,
+         CASE WHEN (wide_pre AND month(date) = 8) OR (NOT wide_pre AND ((month(date) = 7 AND day(date) >= 22)
+                   OR (month(date) = 8 AND day(date) <= 15))) THEN 'pre'
+              WHEN (wide_post AND month(date) = 10) OR (NOT wide_post AND month(date) = 10 AND day(date) <= 10)
+              THEN 'post' END AS side
+  FROM lots l JOIN yw ON CAST(year(l.date) AS INTEGER) = yw.year WHERE has_aug AND has_oct
+),
+long AS ({unpivot("wr", _BP_COLS, ids=["year", "side"])}),
+st AS (
+  SELECT y.year, f.feature,
+         count(CASE WHEN side = 'pre' THEN value END) AS pre_n, count(CASE WHEN side = 'post' THEN value END) AS post_n,
+         avg(CASE WHEN side = 'pre' THEN value END) AS m1, avg(CASE WHEN side = 'post' THEN value END) AS m2,
+         var_samp(CASE WHEN side = 'pre' THEN value END) AS v1, var_samp(CASE WHEN side = 'post' THEN value END) AS v2
+  FROM (SELECT year FROM yw WHERE has_aug AND has_oct) y
+  CROSS JOIN (VALUES {", ".join(f"('{c}')" for c in _BP_COLS)}) f(feature)
+  LEFT JOIN long l ON l.year = y.year AND l.feature = f.feature
+  GROUP BY y.year, f.feature
+),
+bp AS (
+  SELECT year, feature, CAST(pre_n AS BIGINT) AS pre_n, CAST(post_n AS BIGINT) AS post_n,
+         pre_n >= 3 AND post_n >= 3 AS tested, pre_n >= 8 AND post_n >= 8 AS big,
+         m1, m2, m2 - m1 AS diff, abs(m2 - m1) / (abs(m1) + 1e-9) AS rel,
+         CASE WHEN (sqrt(v1) + sqrt(v2)) / 2 > 0 THEN abs(m2 - m1) / ((sqrt(v1) + sqrt(v2)) / 2)
+              WHEN m2 - m1 <> 0 THEN CAST('inf' AS DOUBLE) ELSE 0.0 END AS effect,
+         v1 / pre_n + v2 / post_n AS se2, v1, v2
+  FROM st
+)"""
+
+
+@register("breakpoint_stats", f"WITH {_BP_SQL.strip()}" + """
+SELECT year, feature, pre_n, post_n,
+       round(CASE WHEN tested THEN m1 END, 6) AS pre_mean, round(CASE WHEN tested THEN m2 END, 6) AS post_mean,
+       round(CASE WHEN tested THEN diff END, 6) + 0.0 AS mean_diff_post_minus_pre,
+       round(CASE WHEN tested THEN rel END, 6) AS relative_change,
+       round(CASE WHEN tested THEN effect END, 6) AS effect_size_like,
+       round(CASE WHEN tested AND big AND se2 > 0 THEN (m1 - m2) / sqrt(se2) END, 6) + 0.0 AS t_stat,
+       round(CASE WHEN tested AND big AND se2 > 0 THEN se2 * se2 / (power(v1 / pre_n, 2) / (pre_n - 1)
+             + power(v2 / post_n, 2) / (post_n - 1)) END, 6) AS welch_df
+FROM bp""")
+def q_breakpoint_stats(spark, sf):
+    from qualityspark.operators.breakpoint import breakpoint_stats
+    st = breakpoint_stats(lots(spark, sf), _BP_COLS, with_p=False)
+    return st.select("year", "feature", "pre_n", "post_n",
+                     *[round6(c).alias(c) for c in ("pre_mean", "post_mean", "mean_diff_post_minus_pre",
+                                                    "relative_change", "effect_size_like", "t_stat", "welch_df")])
+
+
+@register("transition_flag")
+def q_transition_flag(spark, sf):
+    """O4 (rows-only: the jump rule uses a Welch t-test p-value)."""
+    from qualityspark.operators.breakpoint import apply_transition_flag, transition_report
+    df = lots(spark, sf)
+    rep = transition_report(df, _BP_COLS)
+    return apply_transition_flag(df, rep).select("lot_id", "missing_transition_phase")
+
+
+@register("transition_report")
+def q_transition_report(spark, sf):
+    """O3 year level with p-values (rows-only)."""
+    from qualityspark.operators.breakpoint import transition_report
+    return transition_report(lots(spark, sf), _BP_COLS).withColumn(
+        "months_present", F.array_join("months_present", ","))
+
+
+# --------------------------------------------------------------------------- D1-D5
+CORR_COLS = ["dobi", "ffa", "mi", "iv", "car_pv", "target"]
+
+
+def _pairs_sql(expr_fn):
+    import itertools
+    parts = []
+    for a, b in itertools.combinations(CORR_COLS, 2):
+        e = expr_fn(a, b)
+        parts.append(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {e}")
+        parts.append(f"SELECT '{b}' AS feature_a, '{a}' AS feature_b, {e}")
+    for c in CORR_COLS:
+        parts.append(f"SELECT '{c}', '{c}', CASE WHEN stddev_samp({c}) > 0 THEN 1.0 END FROM lots")
+    return "\nUNION ALL ".join(parts)
+
+
+def _pearson_sql(a, b):
+    return (f"round(CASE WHEN stddev_samp(CASE WHEN {b} IS NOT NULL THEN {a} END) * "
+            f"stddev_samp(CASE WHEN {a} IS NOT NULL THEN {b} END) > 0 THEN covar_samp({a}, {b}) / "
+            f"(stddev_samp(CASE WHEN {b} IS NOT NULL THEN {a} END) * stddev_samp(CASE WHEN {a} IS NOT NULL THEN {b} END))"
+            f" END, 6) + 0.0 AS r FROM lots")
+
+
+def _spearman_sql(a, b):
+    ra = f"rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0"
+    rb = f"rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0"
+    return (f"round(CASE WHEN stddev_samp(ra) * stddev_samp(rb) > 0 THEN covar_samp(ra, rb) / "
+            f"(stddev_samp(ra) * stddev_samp(rb)) END, 6) + 0.0 AS r FROM "
+            f"(SELECT {ra} AS ra, {rb} AS rb FROM lots WHERE {a} IS NOT NULL AND {b} IS NOT NULL)")
+
+
+@register("pearson_matrix", _pairs_sql(_pearson_sql))
+def q_pearson_matrix(spark, sf):
+    from qualityspark.operators.correlation import pearson_matrix
+    return pearson_matrix(lots(spark, sf), CORR_COLS).select("feature_a", "feature_b", round6("r").alias("r"))
+
+
+@register("spearman_matrix", _pairs_sql(_spearman_sql))
+def q_spearman_matrix(spark, sf):
+    from qualityspark.operators.correlation import spearman_matrix
+    return spearman_matrix(lots(spark, sf), CORR_COLS).select("feature_a", "feature_b", round6("r").alias("r"))
+
+
+def _k2_sql():
+    n = "CAST(n AS DOUBLE)"
+    return f"""
+WITH long AS ({unpivot("lots", CORR_COLS)}),
+mu AS (SELECT feature, count(value) AS n, avg(value) AS mean FROM long GROUP BY feature),
+mo AS (SELECT l.feature, any_value(n) AS n, sum(power(value - mean, 2)) / any_value(n) AS m2,
+              sum(power(value - mean, 3)) / any_value(n) AS m3, sum(power(value - mean, 4)) / any_value(n) AS m4
+       FROM long l JOIN mu USING (feature) WHERE value IS NOT NULL GROUP BY l.feature),
+s1 AS (SELECT *, m3 / pow(m2, 1.5) * sqrt(({n} + 1) * ({n} + 3) / (6.0 * ({n} - 2))) AS y0,
+              3.0 * ({n} * {n} + 27 * {n} - 70) * ({n} + 1) * ({n} + 3) / (({n} - 2) * ({n} + 5) * ({n} + 7) * ({n} + 9)) AS beta2,
+              (m4 / (m2 * m2) - 3.0 * ({n} - 1) / ({n} + 1)) / sqrt(24.0 * {n} * ({n} - 2) * ({n} - 3) /
+                (({n} + 1) * ({n} + 1) * ({n} + 3) * ({n} + 5))) AS x,
+              6.0 * ({n} * {n} - 5 * {n} + 2) / (({n} + 7) * ({n} + 9)) *
+                sqrt(6.0 * ({n} + 3) * ({n} + 5) / ({n} * ({n} - 2) * ({n} - 3))) AS sb1 FROM mo),
+s2 AS (SELECT *, -1 + sqrt(2 * (beta2 - 1)) AS w2, CASE WHEN y0 = 0 THEN 1.0 ELSE y0 END AS y,
+              6.0 + 8.0 / sb1 * (2.0 / sb1 + sqrt(1 + 4.0 / (sb1 * sb1))) AS a FROM s1),
+s3 AS (SELECT *, 1 / sqrt(0.5 * ln(w2)) AS delta, sqrt(2.0 / (w2 - 1)) AS alpha,
+              1 + x * sqrt(2 / (a - 4.0)) AS den FROM s2),
+s4 AS (SELECT feature, n,
+              delta * ln(y / alpha + sqrt((y / alpha) * (y / alpha) + 1)) AS zs,
+              ((1 - 2 / (9.0 * a)) - sign(den) * CASE WHEN den <> 0 THEN pow((1 - 2 / a) / abs(den), 1 / 3.0) END)
+                / sqrt(2 / (9.0 * a)) AS zk FROM s3)
+SELECT feature, CAST(n AS BIGINT) AS n_obs, 'dagostino_k2' AS test, round(zs * zs + zk * zk, 6) AS stat,
+       round(exp(-(zs * zs + zk * zk) / 2), 6) AS p_value, exp(-(zs * zs + zk * zk) / 2) >= 0.05 AS is_normal_at_0_05
+FROM s4"""
+
+
+@register("normality_k2", _k2_sql())
+def q_normality_k2(spark, sf):
+    from qualityspark.operators.correlation import normality_report
+    r = normality_report(lots(spark, sf), CORR_COLS)
+    return r.select("feature", "n_obs", "test", round6("stat").alias("stat"), round6("p_value").alias("p_value"),
+                    "is_normal_at_0_05")
+
+
+@register("correlation_method", "WITH nk AS (" + _k2_sql().replace("WITH long AS", "SELECT * FROM (WITH long AS", 1)
+          + ")) SELECT CASE WHEN count(is_normal_at_0_05) > 0 AND bool_and(is_normal_at_0_05) THEN 'pearson' "
+            "ELSE 'spearman' END AS correlation_primary_method FROM nk")
+def q_correlation_method(spark, sf):
+    from qualityspark.operators.correlation import normality_report, primary_method
+    return primary_method(normality_report(lots(spark, sf), CORR_COLS))
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REGISTRY)
 
