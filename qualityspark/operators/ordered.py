@@ -207,7 +207,7 @@ class Ordered:
         ix = self.indexed()
         keys = self.series + BKT
         keep = list(dict.fromkeys(self.series + BKT + self.order + _l(cols) + ["_idx", "_n", "_bord"]))
-        base = ix.select(*keep).withColumn("_halo", F.lit(0))
+        base = ix.withColumn("_halo", F.lit(0))
         tails = ix.where(F.col("_lrn") > F.col("_bn") - k).select(
             *keep, F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_step"))
         tails = tails.withColumn("_tord", F.col("_bord") + F.col("_step")).drop(*BKT, "_bord", "_step")
@@ -216,7 +216,7 @@ class Ordered:
         wt = Window.partitionBy(*keys).orderBy(F.col("_idx").desc())
         halo = halo.withColumn("_r", F.row_number().over(wt)).where(F.col("_r") <= k) \
                    .drop("_r").withColumnRenamed("_tord", "_bord").withColumn("_halo", F.lit(1))
-        return base.unionByName(halo.select(*base.columns))
+        return base.unionByName(halo.select(*keep, "_halo"), allowMissingColumns=True)
 
     def halo_window(self):
         return Window.partitionBy(*self.series, *BKT).orderBy("_idx")
@@ -238,7 +238,7 @@ class Ordered:
         wr = w.rowsBetween(-(roll - 1), 0)
         lagc = F.col(f"{prefix}_lag1")
         h = h.withColumn(f"{prefix}_roll{roll}", F.when(F.count(lagc).over(wr) >= roll_min, F.avg(lagc).over(wr)))
-        return h.where(F.col("_halo") == 0).drop("_halo")
+        return self._clean(h.where(F.col("_halo") == 0))
 
     def acf(self, value: str, nlags: int = 40, alpha: float = 0.05) -> DataFrame:
         """Biased autocorrelation r_0..r_nlags of ``value`` (rows with NULL
@@ -272,9 +272,10 @@ class Ordered:
                            (F.col("acf") - z * se).alias("lower"), (F.col("acf") + z * se).alias("upper"))
 
     # ------------------------------------------------------------------ helpers
+    _INTERNAL = set(BKT) | {"_bn", "_bord", "_boff", "_ntot", "_lrn", "_halo", "_us", "_tord"}
+
     def _clean(self, df: DataFrame) -> DataFrame:
-        drop = [c for c in df.columns if c.startswith("_") and c not in ("_idx", "_n")]
-        return df.drop(*drop)
+        return df.drop(*[c for c in df.columns if c in self._INTERNAL])
 
 
 def mode_of(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ output edge on both sides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -860,6 +861,128 @@ def q_correlation_method(spark, sf):
     return primary_method(normality_report(lots(spark, sf), CORR_COLS))
 
 
+# --------------------------------------------------------------------------- D6 / D7 / L1-L5
+VIF3 = ["ffa", "mi", "dobi"]
+
+
+def _vif3_sql():
+    a, b, c = VIF3
+    cte = (f"WITH c AS (SELECT corr({a}, {b}) AS r12, corr({a}, {c}) AS r13, corr({b}, {c}) AS r23 FROM lots "
+           f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL AND {c} IS NOT NULL)\n")
+    rows = [(a, "r12", "r13", "r23"), (b, "r12", "r23", "r13"), (c, "r13", "r23", "r12")]
+    return cte + "\nUNION ALL ".join(
+        f"SELECT '{f}' AS feature, round(1 / (1 - ({x} * {x} + {y} * {y} - 2 * {x} * {y} * {z}) / (1 - {z} * {z})), 6)"
+        f" AS vif FROM c" for f, x, y, z in rows)
+
+
+@register("vif_3var", _vif3_sql())
+def q_vif_3var(spark, sf):
+    from qualityspark.operators.gram import gram, vif_from_gram
+    g = gram(lots(spark, sf), VIF3)
+    return spark.createDataFrame([(f, float(round(v, 6))) for f, v in vif_from_gram(g, VIF3)],
+                                 "feature string, vif double")
+
+
+@register("vif_select")
+def q_vif_select(spark, sf):
+    """D7 (rows-only): iterative elimination over all measures + a near-copy of ffa."""
+    from qualityspark.operators.gram import gram, select_by_vif
+    df = lots(spark, sf).withColumn("ffa_x2", F.col("ffa") * 2 + F.col("dobi") * 1e-3)
+    feats = ["dobi", "ffa", "mi", "iv", "car_pv", "ffa_x2"]
+    sel = select_by_vif(gram(df, feats), feats, severe=10.0)
+    rows = [("kept", f, None) for f in sel["kept_features"]]
+    rows += [("removed", h["removed_feature"], float(h["vif_at_removal"])) for h in sel["removal_history"]]
+    rows += [("final_vif", f, float(v)) for f, v in sel["final_vif"]]
+    return spark.createDataFrame(rows, "kind string, feature string, vif double")
+
+
+@register("ols_simple", """
+SELECT CAST(regr_count(target, ffa) AS BIGINT) AS n, round(regr_intercept(target, ffa), 6) AS const,
+       round(regr_slope(target, ffa), 6) AS coef_ffa, round(regr_r2(target, ffa), 6) AS r2 FROM lots""")
+def q_ols_simple(spark, sf):
+    from qualityspark.operators.gram import gram, ols_from_gram
+    r = ols_from_gram(gram(lots(spark, sf), ["target", "ffa"]), "target", ["ffa"])
+    return spark.createDataFrame([(r.n, round(float(r.coef["const"]), 6), round(float(r.coef["ffa"]), 6),
+                                   round(float(r.r2), 6))],
+                                 "n long, const double, coef_ffa double, r2 double")
+
+
+def _ols_frame(spark, sf):
+    """OLS input: lots with the fixed effects (row-number trend, transition
+    flag, month dummies) and the candidate quality measures."""
+    from qualityspark.functions.numeric import month_dummies
+    from qualityspark.operators.breakpoint import apply_transition_flag, transition_report
+    df = lots(spark, sf)
+    df = apply_transition_flag(df, transition_report(df, _BP_COLS))
+    df = _ordered(spark, sf, df=df).row_number("time_trend")
+    return df.select("*", *month_dummies(F.month("date")))
+
+
+OLS_CANDIDATES = ["ffa", "mi", "iv", "dobi", "car_pv"]
+FIXED = ["time_trend", "missing_transition_phase"] + [f"month_{i}" for i in range(2, 13)]
+
+
+def _coef_df(spark, res, model):
+    rows = [(model, c, *(None if v is None or (isinstance(v, float) and math.isnan(v)) else float(v)
+                         for v in vals)) for c, *vals in res.coef_rows()]
+    return spark.createDataFrame(rows, "model string, variable string, coef double, se double, t double, "
+                                        "p_value double, ci_low double, ci_high double")
+
+
+@register("ols_subsets")
+def q_ols_subsets(spark, sf):
+    """L1/L2/L5 (rows-only): 2^5 subsets of the candidates on top of the
+    non-constant fixed effects, all from one Gram aggregate."""
+    from qualityspark.operators.gram import best_subset, gram, non_constant
+    from qualityspark.session import materialize
+    df = materialize(_ols_frame(spark, sf))
+    fixed = non_constant(df, FIXED)
+    g = gram(df, ["target"] + fixed + OLS_CANDIDATES)
+    best, log = best_subset(g, "target", fixed, OLS_CANDIDATES)
+    rows = [(" + ".join(e["variables"]), float(e["rsquared"]), float(e["rsquared_adj"]), float(e["aic"]),
+             float(e["bic"]), e["variables"] == best.features) for e in log]
+    return spark.createDataFrame(rows, "variables string, rsquared double, rsquared_adj double, aic double, "
+                                       "bic double, is_best boolean")
+
+
+@register("ols_lag")
+def q_ols_lag(spark, sf):
+    """L3/L4 (rows-only): best subset + target lag (gap-aware) and the
+    residual diagnostics of that fit."""
+    from qualityspark.operators.gram import best_subset, gram, non_constant, ols_from_gram, residual_diagnostics
+    from qualityspark.operators.ordered import Ordered
+    from qualityspark.session import materialize
+    df = materialize(_ols_frame(spark, sf))
+    fixed = non_constant(df, FIXED)
+    best, _ = best_subset(gram(df, ["target"] + fixed + OLS_CANDIDATES), "target", fixed, OLS_CANDIDATES)
+    lagged = Ordered(df, "date", ["lot_id"]).lag_features("target")
+    lagged = materialize(lagged.where(F.col("target_lag1").isNotNull()))
+    feats = best.features + ["target_lag1"]
+    res = ols_from_gram(gram(lagged, ["target"] + feats), "target", feats)
+    diag = residual_diagnostics(lagged, res, ordered=lambda f: Ordered(f, "date", ["lot_id"]))
+    out = _coef_df(spark, res, "ols_lag")
+    stats = [("r2", res.r2), ("adj_r2", res.adj_r2), ("f_stat", res.f_stat), ("aic", res.aic), ("bic", res.bic),
+             ("n", float(res.n))] + [(k, float(v)) for k, v in diag.items()]
+    st = spark.createDataFrame([("ols_lag", k, float(v), None, None, None, None, None) for k, v in stats],
+                               out.schema)
+    return out.unionByName(st)
+
+
+@register("durbin_watson", """
+WITH f AS (SELECT regr_intercept(target, ffa) AS a, regr_slope(target, ffa) AS b FROM lots),
+e AS (SELECT target - (a + b * ffa) AS e, date, lot_id FROM lots, f),
+l AS (SELECT e, lag(e) OVER (ORDER BY date, lot_id) AS pe FROM e)
+SELECT round(sum(CASE WHEN pe IS NOT NULL THEN (e - pe) * (e - pe) END) / sum(e * e), 6) AS durbin_watson,
+       CAST(count(*) AS BIGINT) AS n FROM l""")
+def q_durbin_watson(spark, sf):
+    from qualityspark.operators.gram import gram, ols_from_gram, residual_diagnostics
+    from qualityspark.operators.ordered import Ordered
+    df = lots(spark, sf)
+    res = ols_from_gram(gram(df, ["target", "ffa"]), "target", ["ffa"])
+    d = residual_diagnostics(df, res, ordered=lambda f: Ordered(f, "date", ["lot_id"]))
+    return spark.createDataFrame([(round(float(d["durbin_watson"]), 6), res.n)], "durbin_watson double, n long")
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REGISTRY)
 
