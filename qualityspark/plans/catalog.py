@@ -983,6 +983,126 @@ def q_durbin_watson(spark, sf):
     return spark.createDataFrame([(round(float(d["durbin_watson"]), 6), res.n)], "durbin_watson double, n long")
 
 
+# --------------------------------------------------------------------------- X*, M*, V2-V5, V12 (rows-only)
+ML_QUALITY = ["ffa", "mi", "iv", "dobi", "car_pv"]
+ML_CATS = ["tank", "type"]
+
+
+def ml_frame(spark, sf):
+    """Model source: typed lots + gap-aware lag / rolling mean over all dated
+    rows, then rows with a target; split and CV folds from the hashed key."""
+    from qualityspark.operators.models import with_folds
+    from qualityspark.session import materialize
+    o = _ordered(spark, sf)
+    mf = o.lag_features("target").where(F.col("target").isNotNull()).withColumn("year", F.year("date"))
+    return materialize(with_folds(mf, _rk()))
+
+
+def _groups():
+    from qualityspark.operators.features import feature_groups
+    return {g.name: g for g in feature_groups(ML_QUALITY, ML_CATS, "target_lag1", "target_roll3")}
+
+
+def _specs():
+    from qualityspark.operators.models import model_specs
+    return {s.name: s for s in model_specs()}
+
+
+def _compare(spark, sf, groups, specs):
+    from qualityspark.operators.models import compare_configurations
+    g, s = _groups(), _specs()
+    cmp, _ = compare_configurations(ml_frame(spark, sf), [g[x] for x in groups], [s[x] for x in specs],
+                                    "target", ML_QUALITY)
+    return cmp
+
+
+@register("linear_cv")
+def q_linear_cv(spark, sf):
+    """Context-aware features, OLS and ridge grid, 5 folds."""
+    return _compare(spark, sf, ["context_aware"], ["linear_regression", "ridge"])
+
+
+@register("sparse_linear_cv")
+def q_sparse_linear_cv(spark, sf):
+    """M3/M4: lasso and elastic-net grids on the lag-aware group."""
+    return _compare(spark, sf, ["lag_aware"], ["lasso", "elastic_net"])
+
+
+@register("rf_cv")
+def q_rf_cv(spark, sf):
+    """M5/M8/M9: random-forest grid (300 trees) with CV rows per configuration."""
+    from qualityspark.operators.models import cv_search, pipeline_for
+    spec, grp = _specs()["rf_regularized"], _groups()["quality_only"]
+    tr = ml_frame(spark, sf).where(F.col("split") == "train").withColumn("label", F.col("target"))
+    _, rows = cv_search(tr, pipeline_for(grp, spec, "target", ML_QUALITY), spec)
+    return spark.createDataFrame([(r["params"], r["mean_test_rmse"], r["std_test_rmse"]) for r in rows],
+                                 "params string, mean_test_rmse double, std_test_rmse double")
+
+
+@register("tree_ensembles_cv")
+def q_tree_ensembles_cv(spark, sf):
+    """M6/M7: extremely-randomised-trees stand-in and gradient boosting."""
+    return _compare(spark, sf, ["time_aware"], ["extra_trees_regularized", "hist_gradient_boosting"])
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    """M13 + X10: importances of the refitted random forest, named."""
+    from qualityspark.operators.models import cv_search, importances, pipeline_for
+    spec, grp = _specs()["rf_regularized"], _groups()["context_aware"]
+    mf = ml_frame(spark, sf)
+    tr = mf.where(F.col("split") == "train").withColumn("label", F.col("target"))
+    m, _ = cv_search(tr, pipeline_for(grp, spec, "target", ML_QUALITY), spec)
+    return spark.createDataFrame(importances(m.bestModel, tr), "feature string, importance double")
+
+
+@register("perm_importance")
+def q_perm_importance(spark, sf):
+    """Permutation importance over the raw source columns on test rows."""
+    from qualityspark.operators.models import permutation_importance, pipeline_for
+    spec, grp = _specs()["linear_regression"], _groups()["context_aware"]
+    mf = ml_frame(spark, sf).withColumn("label", F.col("target"))
+    model = pipeline_for(grp, spec, "target", ML_QUALITY).fit(mf.where(F.col("split") == "train"))
+    return permutation_importance(model, mf.where(F.col("split") == "test"), grp.source_columns())
+
+
+@register("blocked_model")
+def q_blocked_model(spark, sf):
+    """V4 with a fitted pipeline (time-aware OLS)."""
+    from qualityspark.operators.models import blocked_model, pipeline_for
+    from qualityspark.operators.ordered import Ordered
+    from qualityspark.operators.validation import blocked_labelled
+    mf = ml_frame(spark, sf)
+    lab = blocked_labelled(Ordered(mf, "date", ["lot_id"]))
+    row, _ = blocked_model(lab, pipeline_for(_groups()["time_aware"], _specs()["linear_regression"], "target",
+                                             ML_QUALITY), "target")
+    return spark.createDataFrame([row])
+
+
+@register("year_holdout_model")
+def q_year_holdout_model(spark, sf):
+    """V2/V3: refit per train year, score every other year."""
+    from qualityspark.operators.models import pipeline_for, year_holdout_models
+    res = year_holdout_models(ml_frame(spark, sf), pipeline_for(_groups()["quality_only"],
+                                                                _specs()["linear_regression"], "target",
+                                                                ML_QUALITY), "target")
+    return spark.createDataFrame([r for r, _ in res])
+
+
+@register("monthly_rolling_model")
+def q_monthly_rolling_model(spark, sf):
+    """V5: expanding-window refit per month, pooled metrics per model."""
+    from qualityspark.operators.models import monthly_rolling_models, pipeline_for
+    preds = monthly_rolling_models(ml_frame(spark, sf), pipeline_for(
+        _groups()["quality_only"], _specs()["linear_regression"], "target", ML_QUALITY), "target")
+    from qualityspark.operators.validation import regression_metrics
+    m = regression_metrics(preds.withColumn("model", F.lit("linear_regression")), ["model"], prefix="test_")
+    ex = preds.groupBy().agg(F.count_distinct("test_period").alias("n_windows"),
+                             F.min("test_period").alias("test_period_start"),
+                             F.max("test_period").alias("test_period_end"))
+    return m.crossJoin(ex)
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REGISTRY)
 
