@@ -67,42 +67,48 @@ def pearson_matrix(df: DataFrame, columns) -> DataFrame:
 def spearman_matrix(df: DataFrame, columns, nullable: list[str] | None = None) -> DataFrame:
     """Spearman over every ordered pair.  ``nullable`` (columns that contain
     NULL/NaN) decides which pairs share complete-row sets; when not given it is
-    read with one small aggregate."""
+    read with one small aggregate.  All (signature, column) rank sets come
+    from ONE rank-engine pass over a long (signature, row, feature, value)
+    frame; ranks are pivoted back per row for the correlation aggregate."""
+    from qualityspark.session import materialize
     columns = list(columns)
     if nullable is None:
         cnt = df.agg(*[F.count_if(~_nn(c)).alias(c) for c in columns]).first()
         nullable = [c for c in columns if cnt[c] > 0]
     pairs = list(itertools.combinations(columns, 2))
-    sig_of = {(a, b): tuple(sorted({a, b} & set(nullable))) for a, b in pairs}
-    parts = []
-    for sig in sorted(set(sig_of.values())):
-        cols = sorted({c for p, s in sig_of.items() if s == sig for c in p}, key=columns.index)
-        sub = df.select(*cols)
-        for c in sig:
+    sig_of = {(a, b): "|".join(sorted({a, b} & set(nullable))) for a, b in pairs}
+    sigs = sorted(set(sig_of.values()))
+    # stable row ids: written once, so a recomputed task sees the same ids
+    rows = materialize(df.select(*columns).withColumn("_rid", F.monotonically_increasing_id()))
+    longs = []
+    for sig in sigs:
+        cols = sorted({c for p, sg in sig_of.items() if sg == sig for c in p}, key=columns.index)
+        sub = rows
+        for c in [x for x in sig.split("|") if x]:
             sub = sub.where(_nn(c))
-        ranked = sub
-        for c in cols:
-            r = average_ranks(sub, [], c).select(F.col(c).alias(f"_v_{c}"), F.col("_rank").alias(f"_r_{c}"))
-            ranked = ranked.join(r, ranked[c] == r[f"_v_{c}"], "left").drop(f"_v_{c}")
-        my_pairs = [p for p, s in sig_of.items() if s == sig]
-        aggs = [_pair_corr(F.col(f"_r_{a}"), F.col(f"_r_{b}"), _nn(a) & _nn(b)).alias(f"{a}__{b}")
-                for a, b in my_pairs]
-        wide = ranked.agg(*aggs)
-        ent = []
-        for a, b in my_pairs:
-            ent += [(a, b), (b, a)]
-        parts.append(wide.select(F.explode(F.array(*[
-            F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                     F.col(f"{min(a, b, key=columns.index)}__{max(a, b, key=columns.index)}").cast("double").alias("r"))
-            for a, b in ent])).alias("e")).select("e.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    ones = df.agg(*[F.when(F.stddev_samp(F.when(_nn(c), F.col(c))) > 0, F.lit(1.0)).alias(c) for c in columns])
-    ones = ones.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature_a"), F.lit(c).alias("feature_b"), F.col(c).cast("double").alias("r"))
-        for c in columns])).alias("e")).select("e.*")
-    return out.unionByName(ones)
+        longs.append(to_long(sub, cols, ids=["_rid"]).withColumn("_sig", F.lit(sig)))
+    long = longs[0]
+    for part in longs[1:]:
+        long = long.unionByName(part)
+    ranks = average_ranks(long, ["_sig", "feature"], "value").select("_sig", "feature", "value", "_rank")
+    ranked = long.join(ranks, ["_sig", "feature", "value"])
+    wide = ranked.groupBy("_sig", "_rid").pivot("feature", columns).agg(F.first("_rank"))
+    out = []
+    for a, b in pairs:
+        sig = sig_of[(a, b)]
+        both = (F.col("_sig") == sig) & F.col(a).isNotNull() & F.col(b).isNotNull()
+        out.append(_pair_corr(F.col(a), F.col(b), both).alias(f"{a}__{b}"))
+    for c in columns:
+        s = F.stddev_samp(F.when(_nn(c), F.col(c)))
+        out.append(s.alias(f"_sd_{c}"))
+    agg = wide.agg(*out[:len(pairs)]).crossJoin(rows.agg(*out[len(pairs):]))
+    ent = []
+    for a, b in pairs:
+        ent += [(a, b, F.col(f"{a}__{b}")), (b, a, F.col(f"{a}__{b}"))]
+    ent += [(c, c, F.when(F.col(f"_sd_{c}") > 0, F.lit(1.0))) for c in columns]
+    return agg.select(F.explode(F.array(*[
+        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), v.cast("double").alias("r"))
+        for a, b, v in ent])).alias("e")).select("e.*")
 
 
 # --------------------------------------------------------------------------- D2

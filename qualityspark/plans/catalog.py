@@ -1103,6 +1103,36 @@ def q_monthly_rolling_model(spark, sf):
     return m.crossJoin(ex)
 
 
+# --------------------------------------------------------------------------- E1 chain: P8, A7, W3, X1 (rows-only)
+def _preprocess(spark, sf):
+    from qualityspark.plans.preprocess import run_preprocess
+    from qualityspark.schema import LOTS
+    return run_preprocess(
+        lots(spark, sf), LOTS, iqr_columns=CLIP_COLS + ["target"], transition_columns=_BP_COLS[:-1],
+        corr_columns=CORR_COLS, vif_columns=["dobi", "ffa", "mi", "iv", "car_pv"],
+        base_features=["ffa", "mi", "iv", "dobi", "car_pv", "target", "log_ffa", "log_target", "time_trend",
+                       "missing_transition_phase"],
+        log_columns=["ffa", "target"])
+
+
+@register("processed_full")
+def q_processed_full(spark, sf):
+    """Clipped, imputed, log-featured frame with time features (rows-only)."""
+    return _preprocess(spark, sf)["processed_full"]
+
+
+@register("model_ready")
+def q_model_ready(spark, sf):
+    """P8 projection after VIF selection, one-hot categoricals (rows-only)."""
+    return _preprocess(spark, sf)["model_ready"]
+
+
+@register("run_summary")
+def q_run_summary(spark, sf):
+    """A7 (rows-only)."""
+    return _preprocess(spark, sf)["summary"]
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REGISTRY)
 
