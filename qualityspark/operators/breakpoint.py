@@ -19,6 +19,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from qualityspark.operators.outliers import to_long
 from qualityspark.operators.tails import t_sf2
@@ -28,7 +29,7 @@ REL_CHANGE_THRESHOLD = 0.2
 P_THRESHOLD = 0.01
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def welch_p(t: pd.Series, df: pd.Series) -> pd.Series:
     out = []
     for a, b in zip(t, df):
