@@ -62,9 +62,13 @@ class Ordered:
         s, m = self.series, self.max_rows
         df = self._src.withColumn("_b0", F.unix_date(F.to_date(F.col(self.date))).cast("long")) \
                       .withColumn("_us", self._micros())
-        # level 1: hot days split by time of day
+        # level 1: hot days split by time of day.  The day-count table is small
+        # (days x series); one job tells whether any day is hot at all.
         days = df.groupBy(*s, "_b0").agg(F.count(F.lit(1)).alias("_c"), F.min("_us").alias("_ulo"),
                                          F.max("_us").alias("_uhi"))
+        if days.where(F.col("_c") > m).isEmpty():
+            return df.withColumn("_b1", F.lit(0).cast("long")).withColumn("_b2", F.lit(0).cast("long")) \
+                     .drop("_us")
         hot_days = days.where(F.col("_c") > m).select(
             *s, "_b0", "_ulo", "_uhi",
             F.ceil(F.col("_c") * 2.0 / m).cast("long").alias("_nb1"))
