@@ -60,14 +60,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df):
-    """Cut lineage: write ``df`` to the shared checkpoint folder and continue
-    from the written copy (reliable checkpoint; survives executor loss, keeps
-    plans of multi-pass operators small)."""
-    checkpoint_dir(df.sparkSession)
-    # persist first so the checkpoint write reuses the computed partitions
-    # instead of recomputing the plan a second time
-    df = df.persist()
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
+    """Cut lineage: write ``df`` as a Parquet table under the shared
+    checkpoint folder and continue from the written copy.  One computation,
+    no shared cache entries (safe when several threads materialize identical
+    plans), and a recomputed task after an executor loss reads the files."""
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, uuid.uuid4().hex)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
