@@ -183,3 +183,63 @@ def quantiles_wide(df: DataFrame, keys, value: str, probs: dict[str, float],
     if keys:
         return long.groupBy(*keys).agg(*aggs, F.max("n").alias("n"))
     return long.agg(*aggs, F.max("n").alias("n"))
+
+
+PREFIX_BIN = 2048
+
+
+def prefix_quantiles(df: DataFrame, period: str, value: str, targets: DataFrame, probs: Sequence[float],
+                     max_bin: int = PREFIX_BIN) -> DataFrame:
+    """Exact quantiles of ``value`` over all rows with ``period < t`` for every
+    ``t`` in ``targets`` (one column named ``period``) - expanding windows.
+
+    Distinct values are cut into global value bins once (bounded distinct
+    count per bin).  Per (period, bin) counts form a small table; prefix counts
+    per target come from a join of that table with the (few) targets.  A
+    target rank is located in a bin there, and only the candidate values of
+    that one bin from earlier periods are ranked.  Work is O(rows + periods x
+    bins + periods x bin size), not O(periods x rows).
+    Returns (period, prob, quantile, n)."""
+    freq = materialize(value_counts(df, [period], value))
+    glob = freq.groupBy(value).agg(F.sum("_w").alias("_w")).withColumn("_g", F.lit(0))
+    g1 = _bin_level(glob, ["_g"], value, ["_g"], max_bin, "_b1", nb_scale=2)
+    g2 = _bin_level(g1, ["_g"], value, ["_g", "_b1"], max_bin, "_b2", nb_scale=2)
+    vbin = materialize(g2.select(value, "_b1", "_b2"))                 # distinct value -> bin
+    fb = freq.join(vbin, value)
+    pb = fb.groupBy(period, "_b1", "_b2").agg(F.sum("_w").alias("_c"))  # periods x bins
+    tg = targets.select(F.col(period).alias("_t")).distinct()
+    # prefix counts per (target, bin); the target list is one row per period
+    pre = pb.join(F.broadcast(tg), F.col(period) < F.col("_t")).groupBy("_t", "_b1", "_b2") \
+            .agg(F.sum("_c").alias("_bw"))
+    wb = Window.partitionBy("_t").orderBy("_b1", "_b2")
+    pre = pre.select("_t", "_b1", "_b2", "_bw",
+                     F.coalesce(F.sum("_bw").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+                     .alias("_boff"), F.sum("_bw").over(Window.partitionBy("_t")).alias("_n"))
+    n = pre.select("_t", "_n").dropDuplicates(["_t"])
+    pos = F.col("prob") * (F.col("_n") - 1)
+    tr = n.select("_t", "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")).select(
+        "_t", "prob", "_n", (pos - F.floor(pos)).alias("_frac"),
+        F.explode(F.array(F.struct(F.lit(0).alias("_side"), F.floor(pos).cast("long").alias("_r")),
+                          F.struct(F.lit(1).alias("_side"), F.ceil(pos).cast("long").alias("_r")))).alias("_x")
+    ).select("_t", "prob", "_n", "_frac", "_x._side", "_x._r")
+    loc = tr.join(pre.drop("_n"), "_t").where((F.col("_boff") <= F.col("_r")) &
+                                               (F.col("_r") < F.col("_boff") + F.col("_bw")))
+    loc = loc.select("_t", "prob", "_n", "_frac", "_side", (F.col("_r") - F.col("_boff")).alias("_rr"),
+                     "_b1", "_b2")
+    # candidates: values of the located bin from earlier periods (bounded by the bin size)
+    cand = fb.join(loc, ["_b1", "_b2"]).where(F.col(period) < F.col("_t")) \
+             .groupBy("_t", "prob", "_side", "_rr", value).agg(F.sum("_w").alias("_w"),
+                                                                F.first("_n").alias("_n"),
+                                                                F.first("_frac").alias("_frac"))
+    wv = Window.partitionBy("_t", "prob", "_side").orderBy(value)
+    cand = cand.withColumn("_before", F.coalesce(F.sum("_w").over(wv.rowsBetween(Window.unboundedPreceding, -1)),
+                                                 F.lit(0)))
+    picked = cand.where((F.col("_before") <= F.col("_rr")) & (F.col("_rr") < F.col("_before") + F.col("_w")))
+    wide = picked.groupBy("_t", "prob").agg(
+        F.first("_n").alias("n"), F.first("_frac").alias("_frac"),
+        F.max(F.when(F.col("_side") == 0, F.col(value))).alias("_lo"),
+        F.max(F.when(F.col("_side") == 1, F.col(value))).alias("_hi"))
+    q = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")
+    return wide.select(F.col("_t").alias(period), "prob",
+                       F.when(F.col("_frac") == 0, F.col("_lo")).otherwise(q).cast("double").alias("quantile"),
+                       F.col("n").cast("long").alias("n"))

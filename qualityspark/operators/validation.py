@@ -226,13 +226,10 @@ def monthly_rolling_baselines(df: DataFrame, target: str, lag_col: str | None, d
         F.date_format("_period", "yyyy-MM").alias("test_period"),
         F.date_format("_p0", "yyyy-MM").alias("train_period_start"),
         F.date_format("_pend", "yyyy-MM").alias("train_period_end"))
-    # expanding median: value counts of earlier months, keyed by the test month
-    vc = value_counts(d, ["_period"], target)
-    tgt = windows.select(F.col("_period").alias("_tp"))
-    prior = vc.join(F.broadcast(tgt), vc["_period"] < tgt["_tp"]).groupBy("_tp", target) \
-        .agg(F.sum("_w").alias("_w"))
-    medl = quantiles(prior, ["_tp"], target, [0.5], freq=prior).select(
-        F.col("_tp").alias("_period"), F.col("quantile").alias("_median"))
+    # expanding median: exact prefix quantile over earlier months (rank engine bins)
+    from qualityspark.operators.ranks import prefix_quantiles
+    medl = prefix_quantiles(d, "_period", target, windows.select("_period"), [0.5]).select(
+        "_period", F.col("quantile").alias("_median"))
     win = windows.join(medl, "_period")
     rows = d.join(F.broadcast(win), "_period")
     base = [F.col(target).alias("actual"), "date", "test_period", "train_period_start", "train_period_end",
