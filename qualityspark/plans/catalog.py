@@ -36,8 +36,15 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def _lots(spark, sf):
+    """The lots view written once: multi-pass queries read it several times,
+    and re-reading a written table is cheaper than re-aggregating lineitem."""
+    from qualityspark.session import materialize
+    return materialize(lots(spark, sf))
+
+
 def _lots_m(spark, sf):
-    return lots(spark, sf).withColumn("month", F.month("date"))
+    return _lots(spark, sf).withColumn("month", F.month("date"))
 
 
 # --------------------------------------------------------------------------- O1 / A13 / J4
@@ -141,7 +148,7 @@ SELECT feature, CAST(n AS BIGINT) AS non_null_count, CAST(n_missing AS BIGINT) A
 FROM m LEFT JOIN c USING (feature)""")
 def q_descriptive_stats(spark, sf):
     from qualityspark.operators.profile import descriptive_stats
-    d = descriptive_stats(lots(spark, sf), MEASURES)
+    d = descriptive_stats(_lots(spark, sf), MEASURES)
     return d.select("feature", "non_null_count", "missing_count",
                     *[round6(c).alias(c) for c in ("mean", "std", "min", "q25", "median", "q75",
                                                    "max", "skew", "kurtosis")])
@@ -196,7 +203,7 @@ SELECT (SELECT CAST(count(*) AS BIGINT) FROM lots) AS rows_loaded_before_year_fi
 FROM lots WHERE year(date) IN (1995, 1997, 2000)""")
 def q_ingest_metadata(spark, sf):
     from qualityspark.operators.profile import filter_years, ingest_metadata, parse_year_filter
-    before = lots(spark, sf)
+    before = _lots(spark, sf)
     after = filter_years(before, parse_year_filter(YEAR_FILTER))
     m = ingest_metadata(before, after)
     return m.select("rows_loaded_before_year_filter", "rows_after_year_filter", "years_present",
@@ -207,7 +214,7 @@ def q_ingest_metadata(spark, sf):
 # --------------------------------------------------------------------------- W1 / W2 / W4 / A5
 def _ordered(spark, sf, series=(), df=None):
     from qualityspark.operators.ordered import Ordered
-    return Ordered(df if df is not None else lots(spark, sf), "date", ["lot_id"], series)
+    return Ordered(df if df is not None else _lots(spark, sf), "date", ["lot_id"], series)
 
 
 @register("trend_rownum", """
@@ -255,7 +262,7 @@ y AS (SELECT lot_id, coalesce(tank,
 SELECT lot_id, tank FROM y""")
 def q_fill_categorical(spark, sf):
     from qualityspark.operators.ordered import mode_of
-    df = lots(spark, sf)
+    df = _lots(spark, sf)
     # the mode is one row: safe to broadcast
     o = _ordered(spark, sf, df=df.crossJoin(F.broadcast(mode_of(df, "tank"))))
     out = o.fill_forward_backward(["tank"], fallback={"tank": F.col("tank_mode")})
@@ -752,7 +759,7 @@ SELECT year, feature, pre_n, post_n,
 FROM bp""")
 def q_breakpoint_stats(spark, sf):
     from qualityspark.operators.breakpoint import breakpoint_stats
-    st = breakpoint_stats(lots(spark, sf), _BP_COLS, with_p=False)
+    st = breakpoint_stats(_lots(spark, sf), _BP_COLS, with_p=False)
     return st.select("year", "feature", "pre_n", "post_n",
                      *[round6(c).alias(c) for c in ("pre_mean", "post_mean", "mean_diff_post_minus_pre",
                                                     "relative_change", "effect_size_like", "t_stat", "welch_df")])
@@ -762,7 +769,7 @@ def q_breakpoint_stats(spark, sf):
 def q_transition_flag(spark, sf):
     """O4 (rows-only: the jump rule uses a Welch t-test p-value)."""
     from qualityspark.operators.breakpoint import apply_transition_flag, transition_report
-    df = lots(spark, sf)
+    df = _lots(spark, sf)
     rep = transition_report(df, _BP_COLS)
     return apply_transition_flag(df, rep).select("lot_id", "missing_transition_phase")
 
@@ -771,7 +778,7 @@ def q_transition_flag(spark, sf):
 def q_transition_report(spark, sf):
     """O3 year level with p-values (rows-only)."""
     from qualityspark.operators.breakpoint import transition_report
-    return transition_report(lots(spark, sf), _BP_COLS).withColumn(
+    return transition_report(_lots(spark, sf), _BP_COLS).withColumn(
         "months_present", F.array_join("months_present", ","))
 
 
@@ -815,7 +822,7 @@ def q_pearson_matrix(spark, sf):
 @register("spearman_matrix", _pairs_sql(_spearman_sql))
 def q_spearman_matrix(spark, sf):
     from qualityspark.operators.correlation import spearman_matrix
-    return spearman_matrix(lots(spark, sf), CORR_COLS).select("feature_a", "feature_b", round6("r").alias("r"))
+    return spearman_matrix(_lots(spark, sf), CORR_COLS).select("feature_a", "feature_b", round6("r").alias("r"))
 
 
 def _k2_sql():
@@ -848,7 +855,7 @@ FROM s4"""
 @register("normality_k2", _k2_sql())
 def q_normality_k2(spark, sf):
     from qualityspark.operators.correlation import normality_report
-    r = normality_report(lots(spark, sf), CORR_COLS)
+    r = normality_report(_lots(spark, sf), CORR_COLS)
     return r.select("feature", "n_obs", "test", round6("stat").alias("stat"), round6("p_value").alias("p_value"),
                     "is_normal_at_0_05")
 
@@ -858,7 +865,7 @@ def q_normality_k2(spark, sf):
             "ELSE 'spearman' END AS correlation_primary_method FROM nk")
 def q_correlation_method(spark, sf):
     from qualityspark.operators.correlation import normality_report, primary_method
-    return primary_method(normality_report(lots(spark, sf), CORR_COLS))
+    return primary_method(normality_report(_lots(spark, sf), CORR_COLS))
 
 
 # --------------------------------------------------------------------------- D6 / D7 / L1-L5
@@ -878,7 +885,7 @@ def _vif3_sql():
 @register("vif_3var", _vif3_sql())
 def q_vif_3var(spark, sf):
     from qualityspark.operators.gram import gram, vif_from_gram
-    g = gram(lots(spark, sf), VIF3)
+    g = gram(_lots(spark, sf), VIF3)
     return spark.createDataFrame([(f, float(round(v, 6))) for f, v in vif_from_gram(g, VIF3)],
                                  "feature string, vif double")
 
@@ -887,7 +894,7 @@ def q_vif_3var(spark, sf):
 def q_vif_select(spark, sf):
     """D7 (rows-only): iterative elimination over all measures + a near-copy of ffa."""
     from qualityspark.operators.gram import gram, select_by_vif
-    df = lots(spark, sf).withColumn("ffa_x2", F.col("ffa") * 2 + F.col("dobi") * 1e-3)
+    df = _lots(spark, sf).withColumn("ffa_x2", F.col("ffa") * 2 + F.col("dobi") * 1e-3)
     feats = ["dobi", "ffa", "mi", "iv", "car_pv", "ffa_x2"]
     sel = select_by_vif(gram(df, feats), feats, severe=10.0)
     rows = [("kept", f, None) for f in sel["kept_features"]]
@@ -901,7 +908,7 @@ SELECT CAST(regr_count(target, ffa) AS BIGINT) AS n, round(regr_intercept(target
        round(regr_slope(target, ffa), 6) AS coef_ffa, round(regr_r2(target, ffa), 6) AS r2 FROM lots""")
 def q_ols_simple(spark, sf):
     from qualityspark.operators.gram import gram, ols_from_gram
-    r = ols_from_gram(gram(lots(spark, sf), ["target", "ffa"]), "target", ["ffa"])
+    r = ols_from_gram(gram(_lots(spark, sf), ["target", "ffa"]), "target", ["ffa"])
     return spark.createDataFrame([(r.n, round(float(r.coef["const"]), 6), round(float(r.coef["ffa"]), 6),
                                    round(float(r.r2), 6))],
                                  "n long, const double, coef_ffa double, r2 double")
@@ -912,7 +919,7 @@ def _ols_frame(spark, sf):
     flag, month dummies) and the candidate quality measures."""
     from qualityspark.functions.numeric import month_dummies
     from qualityspark.operators.breakpoint import apply_transition_flag, transition_report
-    df = lots(spark, sf)
+    df = _lots(spark, sf)
     df = apply_transition_flag(df, transition_report(df, _BP_COLS))
     df = _ordered(spark, sf, df=df).row_number("time_trend")
     return df.select("*", *month_dummies(F.month("date")))
@@ -977,7 +984,7 @@ SELECT round(sum(CASE WHEN pe IS NOT NULL THEN (e - pe) * (e - pe) END) / sum(e
 def q_durbin_watson(spark, sf):
     from qualityspark.operators.gram import gram, ols_from_gram, residual_diagnostics
     from qualityspark.operators.ordered import Ordered
-    df = lots(spark, sf)
+    df = _lots(spark, sf)
     res = ols_from_gram(gram(df, ["target", "ffa"]), "target", ["ffa"])
     d = residual_diagnostics(df, res, ordered=lambda f: Ordered(f, "date", ["lot_id"]))
     return spark.createDataFrame([(round(float(d["durbin_watson"]), 6), res.n)], "durbin_watson double, n long")
@@ -1108,7 +1115,7 @@ def _preprocess(spark, sf):
     from qualityspark.plans.preprocess import run_preprocess
     from qualityspark.schema import LOTS
     return run_preprocess(
-        lots(spark, sf), LOTS, iqr_columns=CLIP_COLS + ["target"], transition_columns=_BP_COLS[:-1],
+        _lots(spark, sf), LOTS, iqr_columns=CLIP_COLS + ["target"], transition_columns=_BP_COLS[:-1],
         corr_columns=CORR_COLS, vif_columns=["dobi", "ffa", "mi", "iv", "car_pv"],
         base_features=["ffa", "mi", "iv", "dobi", "car_pv", "target", "log_ffa", "log_target", "time_trend",
                        "missing_transition_phase"],
