@@ -64,9 +64,12 @@ class Ordered:
                       .withColumn("_us", self._micros())
         # level 1: hot days split by time of day.  The day-count table is small
         # (days x series); one job tells whether any day is hot at all.
-        days = df.groupBy(*s, "_b0").agg(F.count(F.lit(1)).alias("_c"), F.min("_us").alias("_ulo"),
-                                         F.max("_us").alias("_uhi"))
+        days = materialize(df.groupBy(*s, "_b0").agg(F.count(F.lit(1)).alias("_c"), F.min("_us").alias("_ulo"),
+                                                     F.max("_us").alias("_uhi")))
         if days.where(F.col("_c") > m).isEmpty():
+            # no hot day: the day table already is the bucket table
+            self._day_counts = days.select(*s, "_b0", F.lit(0).cast("long").alias("_b1"),
+                                           F.lit(0).cast("long").alias("_b2"), F.col("_c").alias("_bn"))
             return df.withColumn("_b1", F.lit(0).cast("long")).withColumn("_b2", F.lit(0).cast("long")) \
                      .drop("_us")
         hot_days = days.where(F.col("_c") > m).select(
@@ -97,8 +100,10 @@ class Ordered:
     def buckets(self) -> DataFrame:
         """(series..., _b0, _b1, _b2, _bn, _bord, _boff, _ntot): small per series."""
         if self._buckets is None:
+            self._day_counts = None
             b = self._bucketed()
-            bt = b.groupBy(*self.series, *BKT).agg(F.count(F.lit(1)).alias("_bn"))
+            bt = self._day_counts if self._day_counts is not None else \
+                b.groupBy(*self.series, *BKT).agg(F.count(F.lit(1)).alias("_bn"))
             w = Window.partitionBy(*self.series).orderBy(*BKT)
             self._bucketed_rows = b
             self._buckets = bt.select(
