@@ -1140,6 +1140,38 @@ def q_run_summary(spark, sf):
     return _preprocess(spark, sf)["summary"]
 
 
+# --------------------------------------------------------------------------- F10 / F7 / X1
+@register("month_dummies", "SELECT lot_id, " + ", ".join(
+    f"CASE WHEN month(date) = {k} THEN 1 ELSE 0 END AS month_{k}" for k in range(1, 13)) + " FROM lots")
+def q_month_dummies(spark, sf):
+    from qualityspark.functions.numeric import month_dummies
+    return lots(spark, sf).select("lot_id", *month_dummies(F.month("date")))
+
+
+_LOG_COLS = ["ffa", "target", "dobi", "iv"]
+
+
+@register("log_features", "SELECT lot_id, " + ", ".join(
+    f"round(ln(1 + CASE WHEN {c} IS NULL THEN NULL WHEN {c} < 0 THEN 0 ELSE {c} END), 6) AS log_{c}"
+    for c in _LOG_COLS) + " FROM lots")
+def q_log_features(spark, sf):
+    from qualityspark.plans.preprocess import add_log_features
+    out = add_log_features(lots(spark, sf), _LOG_COLS)
+    return out.select("lot_id", *[round6(f"log_{c}").alias(f"log_{c}") for c in _LOG_COLS])
+
+
+# tank levels of the lots view after normalisation (from the order priorities)
+_TANK_LEVELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOTSPECIFIED", "5-LOW"]
+
+
+@register("one_hot_tank", "SELECT lot_id, " + ", ".join(
+    f"CASE WHEN tank = '{v}' THEN 1 ELSE 0 END AS \"tank_{v}\"" for v in _TANK_LEVELS) + " FROM lots")
+def q_one_hot_tank(spark, sf):
+    from qualityspark.plans.preprocess import one_hot_sorted
+    df = one_hot_sorted(lots(spark, sf), ["tank"])
+    return df.select("lot_id", *[c for c in df.columns if c.startswith("tank_")])
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REGISTRY)
 
