@@ -49,8 +49,10 @@ class Ordered:
         self.tie = _l(tie)
         self.series = _l(series)
         self.max_rows = int(max_bucket_rows)
-        self.order = [date] + self.tie
-        self._src = df.where(F.col(date).isNotNull())
+        self.order = ([date] if date else []) + self.tie
+        if not self.order:
+            raise ValueError("an ordered series needs a date or an explicit order column")
+        self._src = df.where(F.col(date).isNotNull()) if date else df.where(F.col(self.order[0]).isNotNull())
         self._indexed: DataFrame | None = None
         self._buckets: DataFrame | None = None
 
@@ -58,8 +60,25 @@ class Ordered:
     def _micros(self):
         return F.unix_micros(F.col(self.date).cast("timestamp"))
 
+    def _bucketed_by_value(self) -> DataFrame:
+        """No date, only an explicit numeric order column (e.g. the row
+        position in the file): buckets are equal-width ranges of that column,
+        sized from the row count of each series."""
+        s, m = self.series, self.max_rows
+        c0 = F.col(self.order[0]).cast("double")
+        st = self._src.groupBy(*s).agg(F.count(F.lit(1)).alias("_c"), F.min(c0).alias("_lo"),
+                                       F.max(c0).alias("_hi"))
+        st = st.select(*s, "_lo", "_hi", F.ceil(F.col("_c") * 2.0 / m).cast("long").alias("_nb"))
+        df = join_keys(self._src, st, s) if s else self._src.crossJoin(F.broadcast(st))
+        b0 = F.when((F.col("_nb") <= 1) | (F.col("_lo") == F.col("_hi")), F.lit(0)) \
+              .otherwise(F.expr(f"width_bucket(CAST(`{self.order[0]}` AS DOUBLE), _lo, _hi, _nb)"))
+        return df.withColumn("_b0", b0.cast("long")).withColumn("_b1", F.lit(0).cast("long")) \
+                 .withColumn("_b2", F.lit(0).cast("long")).drop("_lo", "_hi", "_nb")
+
     def _bucketed(self) -> DataFrame:
         s, m = self.series, self.max_rows
+        if self.date is None:
+            return self._bucketed_by_value()
         df = self._src.withColumn("_b0", F.unix_date(F.to_date(F.col(self.date))).cast("long")) \
                       .withColumn("_us", self._micros())
         # level 1: hot days split by time of day.  The day-count table is small
@@ -238,9 +257,14 @@ class Ordered:
         prefix = prefix or target
         h = self.with_halo(roll, [target])
         w = self.halo_window()
-        h = h.withColumn("_prev_date", F.lag(self.date).over(w)) \
-             .withColumn("_prev_y", F.lag(target).over(w))
-        diff = F.expr(f"timestampdiff(DAY, _prev_date, `{self.date}`)")
+        if self.date is None:      # W5b: plain previous row, no gap rule
+            h = h.withColumn("_prev_date", F.lit(None).cast("timestamp")) \
+                 .withColumn("_prev_y", F.lag(target).over(w))
+            diff = F.lit(None).cast("long")
+        else:
+            h = h.withColumn("_prev_date", F.lag(self.date).over(w)) \
+                 .withColumn("_prev_y", F.lag(target).over(w))
+            diff = F.expr(f"timestampdiff(DAY, _prev_date, `{self.date}`)")
         lag1 = F.when(diff > max_gap_days, F.lit(None).cast("double")).otherwise(F.col("_prev_y"))
         h = h.withColumn("date_diff_days", diff).withColumn(f"{prefix}_lag1", lag1) \
              .drop("_prev_date", "_prev_y")

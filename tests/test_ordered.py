@@ -97,3 +97,16 @@ def test_acf_matches_numpy(spark):
     var[0] = 0
     var[2:] *= 1 + 2 * np.cumsum(np.array(exp[1:-1]) ** 2)
     np.testing.assert_allclose(got["se"].values, np.sqrt(var), rtol=1e-10)
+
+
+@pytest.mark.parametrize("max_rows", [7, 1_000_000])
+def test_lag_without_date_uses_order_column(spark, max_rows):
+    """Plain lag-1 in file order when there is no date column."""
+    rng = np.random.default_rng(8)
+    pos = rng.permutation(200)
+    y = rng.normal(size=200)
+    sdf = spark.createDataFrame(pd.DataFrame({"row_pos": pos.astype("int64"), "y": y}))
+    got = Ordered(sdf, None, ["row_pos"], max_bucket_rows=max_rows).lag_features("y") \
+        .select("row_pos", "y_lag1").toPandas().set_index("row_pos").sort_index()
+    exp = pd.Series(y, index=pos).sort_index().shift(1)
+    np.testing.assert_allclose(got["y_lag1"].astype(float), exp.values)
