@@ -83,3 +83,10 @@ def test_prefix_quantiles(spark, max_bin):
         assert r["quantile"] == pytest.approx(prior.quantile(r["prob"]), rel=1e-12)
     # the first month has no earlier rows: no quantile row
     assert pdf.p.min() not in set(got.p)
+
+
+def test_alert_metrics_small_tie_bins(spark, preds, monkeypatch):
+    """Same brute-force check with tiny id bins, so tied rows span many bins."""
+    from qualityspark.operators import risk
+    monkeypatch.setattr(risk, "TIE_BIN", 3)
+    test_alert_metrics_brute_force(spark, preds)
