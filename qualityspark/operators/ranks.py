@@ -153,7 +153,7 @@ def quantiles(df: DataFrame, keys, value: str, probs: Sequence[float],
                                                         F.col("_q").alias("quantile"))).alias("_z"), "n") \
             .select(*keys, F.col("_z.prob").alias("prob"), F.col("_z.quantile").cast("double").alias("quantile"),
                     F.col("n").cast("long").alias("n"))
-    cum = cumulative(freq, keys, value, max_bin)
+    cum = materialize(cumulative(freq, keys, value, max_bin))    # read by the bin lookup and the pick
     groups = bin_table(cum, keys).select(*keys, "_n").dropDuplicates(keys)
     groups = groups.select(*keys, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
     pos = F.col("prob") * (F.col("_n") - 1)
