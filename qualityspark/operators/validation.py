@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qualityspark.operators.ranks import cumulative, quantiles, quantiles_wide, value_counts
+from qualityspark.operators.ranks import cumulative, quantiles_wide, value_counts
 
 R = 6
 
