@@ -595,8 +595,10 @@ def baseline_tables(spark, sf):
         .unionByName(m_b.drop("_all"), allowMissingColumns=True).unionByName(m_m, allowMissingColumns=True)
     preds = p_r.drop("_all").unionByName(p_y, allowMissingColumns=True) \
         .unionByName(p_b.drop("_all"), allowMissingColumns=True).unionByName(p_m, allowMissingColumns=True)
-    # the metric rows and the prediction fact table are the outputs every report reads: write them once
-    return mf, materialize(metrics), materialize(preds)
+    # metric rows are read by several report branches: write them once.  The
+    # prediction fact table is returned lazily; readers that scan it more than
+    # once (top-k) write it themselves.
+    return mf, materialize(metrics), preds
 
 
 @register("risk_thresholds", f"WITH {_MF_SQL.strip()},{_TH_SQL}\n"
@@ -618,7 +620,9 @@ def q_risk_metrics(spark, sf):
           + ", ".join(_RISK_COLS[:6] + _TOPK_COLS) + " FROM risk")
 def q_risk_topk(spark, sf):
     from qualityspark.operators.risk import alert_metrics, risk_thresholds
+    from qualityspark.session import materialize
     mf, _, preds = baseline_tables(spark, sf)
+    preds = materialize(preds)            # scanned by the confusion, rank and tie steps
     return alert_metrics(preds, risk_thresholds(mf, "target"), _RK).select(*(_RISK_COLS[:6] + _TOPK_COLS))
 
 
