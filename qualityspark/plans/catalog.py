@@ -1139,9 +1139,13 @@ def q_model_ready(spark, sf):
     return _preprocess(spark, sf)["model_ready"]
 
 
-@register("run_summary")
+@register("run_summary", """
+SELECT CAST(count(*) AS BIGINT) AS rows_before, CAST(count(*) AS BIGINT) AS rows_after,
+       strftime(min(date), '%Y-%m-%d') AS date_min, strftime(max(date), '%Y-%m-%d') AS date_max,
+       array_to_string(list_sort(list_distinct(list(CAST(month(date) AS INTEGER)))), ',') AS months_present
+FROM lots""")
 def q_run_summary(spark, sf):
-    """A7 (rows-only)."""
+    """A7 over the full preprocessing chain (row counts, date range, months)."""
     return _preprocess(spark, sf)["summary"]
 
 
