@@ -186,16 +186,24 @@ def year_holdout_baselines(df: DataFrame, target: str, lag_col: str | None, year
 
 
 def blocked_labelled(ordered, train_fraction: float = 0.8, min_rows: int = 20) -> DataFrame:
-    """W8 + guard: both sides need >= min_rows rows, else no rows."""
-    lab = ordered.blocked_split(train_fraction, "split")
-    cut = F.floor(F.col("_n") * F.lit(train_fraction))
-    lab = lab.where((cut >= min_rows) & (F.col("_n") - cut >= min_rows))
+    """W8 + guard on an :class:`Ordered` frame (positions computed here)."""
+    ix = ordered.row_number("_pos")
+    return blocked_from_index(ix, "_pos", "_n", train_fraction, min_rows).drop("_pos", "_idx")
+
+
+def blocked_from_index(df: DataFrame, idx_col: str, n_col: str, train_fraction: float = 0.8,
+                       min_rows: int = 20) -> DataFrame:
+    """W8 from an existing 1-based position and series size: the first
+    floor(f * n) rows are train; both sides need >= min_rows rows."""
+    cut = F.floor(F.col(n_col) * F.lit(train_fraction))
+    lab = df.withColumn("split", F.when(F.col(idx_col) <= cut, F.lit("train")).otherwise(F.lit("test"))) \
+            .where((cut >= min_rows) & (F.col(n_col) - cut >= min_rows))
     dates = lab.groupBy().agg(
         F.date_format(F.min(F.when(F.col("split") == "train", F.col("date"))), "yyyy-MM-dd").alias("train_date_min"),
         F.date_format(F.max(F.when(F.col("split") == "train", F.col("date"))), "yyyy-MM-dd").alias("train_date_max"),
         F.date_format(F.min(F.when(F.col("split") == "test", F.col("date"))), "yyyy-MM-dd").alias("test_date_min"),
         F.date_format(F.max(F.when(F.col("split") == "test", F.col("date"))), "yyyy-MM-dd").alias("test_date_max"))
-    return lab.crossJoin(F.broadcast(dates))
+    return lab.crossJoin(F.broadcast(dates))          # one row
 
 
 # --------------------------------------------------------------------------- V8

@@ -359,9 +359,24 @@ def _rk():
 
 
 def model_frame(spark, sf):
-    o = _ordered(spark, sf)
-    mf = o.lag_features("target").where(F.col("target").isNotNull())
-    return mf.select("lot_id", "date", F.year("date").alias("year"), "target", "target_lag1", "target_roll3")
+    """lots + gap-aware lag over all dated rows, then rows with a target.  The
+    scan's row position is kept (``pos``, ``n_rows``) when no row is dropped,
+    so the blocked split needs no second ordered scan."""
+    base = _lots(spark, sf)
+    mf = _ordered(spark, sf, df=base).lag_features("target")
+    exact = base.where(F.col("target").isNull()).isEmpty()          # one small job
+    cols = ["lot_id", "date", F.year("date").alias("year"), "target", "target_lag1", "target_roll3"]
+    if exact:
+        cols += [F.col("_idx").alias("pos"), F.col("_n").alias("n_rows")]
+    return mf.where(F.col("target").isNotNull()).select(*cols)
+
+
+def _blocked(mf):
+    from qualityspark.operators.ordered import Ordered
+    from qualityspark.operators.validation import blocked_from_index, blocked_labelled
+    if "pos" in mf.columns:
+        return blocked_from_index(mf, "pos", "n_rows")
+    return blocked_labelled(Ordered(mf, "date", ["lot_id"]))
 
 
 def _m_sql(prefix):
@@ -456,7 +471,8 @@ FROM tr JOIN te USING (model), bmeta WHERE model <> 'previous_value' OR (n_train
 def q_baseline_blocked(spark, sf):
     from qualityspark.operators.validation import blocked_labelled, constant_and_previous_baselines
     from qualityspark.operators.ordered import Ordered
-    lab = blocked_labelled(Ordered(model_frame(spark, sf), "date", ["lot_id"])).withColumn("_all", F.lit(0))
+    from qualityspark.session import materialize
+    lab = _blocked(materialize(model_frame(spark, sf))).withColumn("_all", F.lit(0))
     m, _ = constant_and_previous_baselines(lab, ["_all"], "target", "target_lag1", "blocked_time_holdout")
     meta = lab.select("train_date_min", "train_date_max", "test_date_min", "test_date_max").limit(1)
     return m.select(*_METRIC_COLS).crossJoin(F.broadcast(meta))
@@ -588,7 +604,7 @@ def baseline_tables(spark, sf):
     lab_r = random_split(mf, key=_rk()).withColumn("_all", F.lit(0))
     m_r, p_r = constant_and_previous_baselines(lab_r, ["_all"], "target", "target_lag1", "random_split")
     m_y, p_y = year_holdout_baselines(mf, "target", "target_lag1")
-    lab_b = blocked_labelled(Ordered(mf, "date", ["lot_id"])).withColumn("_all", F.lit(0))
+    lab_b = _blocked(mf).withColumn("_all", F.lit(0))
     m_b, p_b = constant_and_previous_baselines(lab_b, ["_all"], "target", "target_lag1", "blocked_time_holdout")
     m_m, p_m = monthly_rolling_baselines(mf, "target", "target_lag1")
     metrics = m_r.drop("_all").unionByName(m_y, allowMissingColumns=True) \
