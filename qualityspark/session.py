@@ -69,3 +69,14 @@ def materialize(df):
     path = scratch_path(spark, uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def cleanup_scratch(spark: SparkSession) -> bool:
+    """Delete this application's intermediate tables (``materialize`` output)
+    through the Hadoop FileSystem API, so it works on any cluster file system.
+    Call at the end of a run: DataFrames built on them can no longer be read."""
+    base = os.path.join(checkpoint_dir(spark), "tables")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(path) and fs.delete(path, True))

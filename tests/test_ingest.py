@@ -73,3 +73,11 @@ def test_streaming_ingest(spark, folder, tmp_path_factory):
     got = spark.read.parquet(str(out / "t"))
     assert got.count() == 5
     assert got.where(F.col("year") == 2024).count() == 2
+
+
+def test_materialize_and_cleanup(spark):
+    from qualityspark.session import cleanup_scratch, materialize
+    df = materialize(spark.range(10).withColumnRenamed("id", "x"))
+    assert df.count() == 10
+    assert cleanup_scratch(spark)
+    assert not cleanup_scratch(spark)          # nothing left to delete
