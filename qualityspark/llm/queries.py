@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from qualityspark.llm import decontaminate, jaccard_join, language_id  # noqa: F401
+from qualityspark.llm import decontaminate, jaccard_join, language_id, secret_scan  # noqa: F401
 from qualityspark.llm.common import ORACLE, REGISTRY
 
 
