@@ -114,10 +114,11 @@ def _candidates(docs: DataFrame, bitmap: np.ndarray, lengths: list[int], span: i
                 first = np.concatenate([[0], np.cumsum(count)])
                 cut = pa.array(np.searchsorted(of[o], np.arange(part.num_rows + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(cut, pa.array(x[o])) for x in (at - first[of], ln, h1, h2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(count.astype(np.int64)), *lists],
-                                                 names=["uid", "doc_id", "n_words", "at", "len", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3),
+                                                  pa.array(count.astype(np.int64)), *lists],
+                                                 names=["uid", "doc_id", "text_hash", "n_words", "at", "len", "h1", "h2"])
 
-    return docs.mapInArrow(scan, "uid long, doc_id long, n_words long, at array<long>, len array<long>, "
+    return docs.mapInArrow(scan, "uid long, doc_id long, text_hash long, n_words long, at array<long>, len array<long>, "
                                  "h1 array<long>, h2 array<long>")
 
 
@@ -133,7 +134,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, span: int = 10, k: int = 5,
     bitmap = common.collect_bits(wins, "fp", bits)
     cand = common.materialize(_candidates(
         docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"),
-                    F.col(text_col).alias("text")), bitmap, sorted(size["lens"]), span, k))
+                    F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")), bitmap, sorted(size["lens"]), span, k))
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
     one = (cand.where(F.size("at") > 0)
            .select("uid", F.explode(F.arrays_zip("at", "len", "h1", "h2")).alias("w")).select("uid", "w.*"))
@@ -150,12 +151,21 @@ def decontaminate(docs: DataFrame, bench: DataFrame, span: int = 10, k: int = 5,
              .select("uid", "item_id").distinct()
              .groupBy("uid").agg(F.array_sort(F.collect_list("item_id")).alias("items")))
     none = F.array().cast("array<string>")
-    return (cand.select("uid", "doc_id", "n_words").join(cover, "uid", "left").join(items, "uid", "left")
-            .select("uid", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+    return (cand.select("uid", "doc_id", "text_hash", "n_words").join(cover, "uid", "left").join(items, "uid", "left")
+            .select("uid", "doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
                     F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
                     F.coalesce("items", none).alias("items"), "windows"))
 
 
+def drop_contaminated(docs: DataFrame, bench: DataFrame, **kw) -> DataFrame:
+    """Rows of ``docs`` in which no benchmark window occurs."""
+    got = decontaminate(docs, bench, **kw)
+    keys = common.materialize(got.where("n_hit > 0").select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.lit(True).alias("__bad")).distinct())
+    rest, found = common.split_rows(docs, keys, kw.get("id_col", "doc_id"), kw.get("text_col", "text"))
+    return rest.unionByName(found.where("__bad IS NULL").select(*docs.columns))
+
+
 ORACLE_DECONTAMINATE = r"""
 WITH bw AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

@@ -203,6 +203,13 @@ def identify(docs: DataFrame, model: EcocModel) -> DataFrame:
                       F.col("__lang.score").alias("lang_score"), F.col("__lang.ambiguous").alias("lang_ambiguous"))
 
 
+def keep_identified(docs: DataFrame, **kw) -> DataFrame:
+    """Rows of ``docs`` whose language was decided: neither ``und`` nor
+    ambiguous with less than half of the score for the nearest codeword."""
+    got = identify(docs, train(docs, **kw))
+    return got.where("lang_pred <> 'und' AND NOT (lang_ambiguous AND lang_score < 0.5)").select(*docs.columns)
+
+
 @common.register("op1_language_id")
 def op1(spark, sf):
     docs = common.table(spark, sf, "documents")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from qualityspark.llm import decontaminate, jaccard_join, language_id, secret_scan  # noqa: F401
+import corpus_pipeline
+from qualityspark.llm import decontaminate, jaccard_join, language_id, packing, secret_scan  # noqa: F401
 from qualityspark.llm.common import ORACLE, REGISTRY
 
 
 def queries():
-    return dict(REGISTRY)
+    return REGISTRY | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return dict(ORACLE)
+    more = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return ORACLE | more

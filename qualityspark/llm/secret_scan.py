@@ -164,7 +164,7 @@ def redact(docs: DataFrame, mark: str = "<SECRET>", **kw) -> DataFrame:
     live = (found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"),
                          F.expr("transform(filter(spans, x -> x.verdict = 'live'), x -> struct(x.start, x.end))").alias("cut"))
             .where(F.size("cut") > 0).dropDuplicates(["__id", "__hash"]))
-    j = docs.join(live, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left")
+    rest, j = common.split_rows(docs, common.materialize(live), id_col, text)
 
     @F.pandas_udf("string")
     def replaced(texts, cuts):
@@ -183,7 +183,7 @@ def redact(docs: DataFrame, mark: str = "<SECRET>", **kw) -> DataFrame:
     if "n_chars" in cols:
         got = got.withColumn("n_chars", F.when(F.col("cut").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(
             docs.schema["n_chars"].dataType))
-    return got.select(*cols)
+    return rest.unionByName(got.select(*cols))
 
 
 @common.register("op6_secret_scan")
