@@ -21,9 +21,10 @@ Scale:
   only if it holds classes of different components, and only pairs across
   components that pass length and parity-bitmap bounds are verified.  The
   component result equals that of verifying every candidate pair.
-* The parity bitmap (512 bits, each the parity of the number of shingles hashed
-  to it) gives a safe bound: differing bits never exceed the symmetric
-  difference.
+* The parity bitmap (each bit the parity of the number of shingles hashed to
+  it, about one bit per two shingles) gives a safe bound: differing bits never
+  exceed the symmetric difference.  Only classes with a partner inside the bounds
+  have their sets read again.
 
 Defined results: NULL or word-free texts have no shingles, link with nothing
 and are their own component; fewer than ``n`` words make one shingle of the
@@ -40,13 +41,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from qualityspark.llm import common, textbytes as tb
 
 U = np.uint64
 ORDERS = 3          # global token orders
-BITS = 512          # parity bitmap
+BITS = 512          # parity bitmap of up to 1024 shingles; four times as many for each four times more
 CHUNK = 2048        # classes of one list or group held together
 SAMPLE = 32         # one document in so many steers the first order
 HOT_MOST = 1 << 16  # shingles moved to the end of the first order, at most
@@ -95,9 +97,17 @@ def prefix(tokens: np.ndarray, order: int, percent: int, hot: np.ndarray | None
     return tokens[np.argpartition(key, p - 1)[:p]] if p < len(tokens) else tokens
 
 
+def bitmap_bits(n: int) -> int:
+    bits = BITS
+    while n > 2 * bits:
+        bits *= 4
+    return bits
+
+
 def parity(tokens: np.ndarray) -> np.ndarray:
-    bit = (tb.salted(tokens, BITMAP_MARK) >> U(55)).astype(np.int64)
-    return np.packbits((np.bincount(bit, minlength=BITS) & 1).astype(np.uint8))
+    bits = bitmap_bits(len(tokens))
+    at = (tb.salted(tokens, BITMAP_MARK) & U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8))
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -112,19 +122,36 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (n + m - both)
 
 
-def may_link(n1, b1, n2, b2, percent: int) -> np.ndarray:
-    """Length and bitmap bounds (never false for a linked pair).  With overlap
-    o >= t (n1 + n2) / (1 + t), the symmetric difference n1 + n2 - 2 o is at
-    most (1 - t) (n1 + n2) / (1 + t)."""
-    fits = (percent * np.maximum(n1, n2) <= 100 * np.minimum(n1, n2))
-    differ = np.bitwise_count(b1 ^ b2).sum(axis=-1).astype(np.int64)
-    return fits & ((100 + percent) * differ <= (100 - percent) * (n1 + n2))
+class Bounds:
+    """Length and bitmap bounds over a group sorted by set size; never false
+    for a linked pair.  With overlap o >= t (n1 + n2) / (1 + t), the symmetric
+    difference n1 + n2 - 2 o is at most (1 - t) (n1 + n2) / (1 + t).  Larger sets'
+    bitmaps are folded to the size of the smaller set's."""
+
+    def __init__(self, sizes: np.ndarray, bitmaps: list[np.ndarray], percent: int):
+        self.n, self.percent, self.levels = sizes, percent, {}
+        words = np.array([len(b) for b in bitmaps])
+        for w in np.unique(words):
+            first = int(np.searchsorted(words, w))
+            self.levels[int(w)] = (first, np.stack([b.reshape(-1, w) if len(b) == w else
+                                                    np.bitwise_xor.reduce(b.reshape(-1, w))[None] for b in bitmaps[first:]])[:, 0])
+        self.words = words
+
+    def partners(self, i: int) -> np.ndarray:
+        """Positions after ``i`` that may link with it."""
+        stop = int(np.searchsorted(self.n, 100 * self.n[i] // self.percent, "right"))
+        if stop <= i + 1:
+            return np.empty(0, np.int64)
+        first, bits = self.levels[int(self.words[i])]
+        differ = np.bitwise_count(bits[i + 1 - first:stop - first] ^ bits[i - first]).sum(axis=1, dtype=np.int64)
+        fits = (100 + self.percent) * differ <= (100 - self.percent) * (self.n[i + 1:stop] + self.n[i])
+        return i + 1 + np.flatnonzero(fits)
 
 
 # ---------------------------------------------------------------- scans
 
 def _signatures(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFrame:
-    schema = ("doc_id long, n long, s1 long, s2 long, prefix array<long>, bitmap binary, lead array<long>")
+    schema = ("doc_id long, text_hash long, n long, s1 long, s2 long, prefix array<long>, bitmap binary, lead array<long>")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = [tb.WordHash(0)]
@@ -140,13 +167,13 @@ def _signatures(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataF
                 lead = [np.array([x[np.argmin(order_key(x, k))] for k in range(ORDERS)]) if x is not None
                         else np.empty(0, U) for x in some]
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array(size), pa.array(tb.signed(s1)), pa.array(tb.signed(s2)),
+                    part.column(0), part.column(2), pa.array(size), pa.array(tb.signed(s1)), pa.array(tb.signed(s2)),
                     tb.ragged([tb.signed(prefix(x, 0, percent, hot)) for x in sets]),
                     pa.array([parity(x).tobytes() for x in sets], pa.binary()),
                     tb.ragged([tb.signed(x) for x in lead])],
-                    names=["doc_id", "n", "s1", "s2", "prefix", "bitmap", "lead"])
+                    names=["doc_id", "text_hash", "n", "s1", "s2", "prefix", "bitmap", "lead"])
 
-    return docs.mapInArrow(scan, schema)
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(scan, schema)
 
 
 def frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
@@ -181,18 +208,17 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 s1 = np.array([tb.salted(x, SET_MARK).sum(dtype=U) for x in sets], U)
                 s2 = np.array([tb.salted(x, SET_MARK + 1).sum(dtype=U) for x in sets], U)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(tb.signed(s1)), pa.array(tb.signed(s2)),
-                     tb.ragged([tb.signed(x) for x in sets])], names=["doc_id", "s1", "s2", "tokens"])
+                    [pa.array(tb.signed(s1)), pa.array(tb.signed(s2)), tb.ragged([tb.signed(x) for x in sets])],
+                    names=["s1", "s2", "tokens"])
 
     def tb_keep(keys):
         return common.bit_test(bits, keys.astype(np.int64).view(U))
 
     found = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("k")).mapInArrow(
-        scan, "doc_id long, s1 long, s2 long, tokens array<long>")
-    w = wanted.select("cid", "s1", "s2", F.col("min_doc").alias("doc_id"), "n", "bitmap")
-    j = w.join(found, (w.s1 == found.s1) & (w.s2 == found.s2) & w.doc_id.eqNullSafe(found.doc_id))
-    # the same id and set may be in several rows
-    return j.groupBy(w.cid, w.n).agg(F.first(w.bitmap).alias("bitmap"), F.first("tokens").alias("tokens"))
+        scan, "s1 long, s2 long, tokens array<long>")
+    # equal ids and sets may be in several rows
+    one = found.groupBy("s1", "s2").agg(F.first("tokens").alias("tokens"))
+    return one.join(wanted.select("cid", "s1", "s2", "n", "bitmap"), ["s1", "s2"]).select("cid", "n", "bitmap", "tokens")
 
 
 # ---------------------------------------------------------------- families
@@ -216,15 +242,11 @@ class _Forest:
 def _forest_of(ids, sizes, bitmaps, sets, percent: int, forest: _Forest) -> list[tuple[int, int]]:
     """Verified links that connect the linked members of one small group."""
     order = np.argsort(sizes, kind="stable")
-    n, bits = np.asarray(sizes)[order], np.stack([bitmaps[i] for i in order])
+    near = Bounds(np.asarray(sizes)[order], [bitmaps[i] for i in order], percent)
     edges = []
-    for i in range(len(order) - 1):
-        a = order[i]
-        stop = int(np.searchsorted(n, 100 * n[i] // percent, "right"))
-        if stop <= i + 1:
-            continue
-        for j in np.flatnonzero(may_link(n[i], bits[i], n[i + 1:stop], bits[i + 1:stop], percent)):
-            b = order[i + 1 + j]
+    for i, a in enumerate(order):
+        for j in near.partners(i):
+            b = order[j]
             if forest.root(ids[a]) != forest.root(ids[b]) and linked(sets[a], sets[b], percent):
                 forest.union(ids[a], ids[b])
                 edges.append((ids[a], ids[b]))
@@ -273,25 +295,39 @@ def _family_links(groups: DataFrame, percent: int) -> DataFrame:
     return groups.mapInArrow(scan, "a long, b long")
 
 
-# ---------------------------------------------------------------- cross-component candidates
+# ---------------------------------------------------------------- prefix lists
 
-def _cross_candidates(lists: DataFrame, percent: int) -> DataFrame:
-    """``lists``: (token, tile_i, tile_j, side, cid, n, comp, bitmap), sorted so
-    that a tile's rows are together.  Emits pairs of different components that
-    pass the bounds."""
-    def pairs(rows):
+def _tiles(lists: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
+    """Prefix lists with sizes and bitmaps; a list of c classes is cut into
+    ceil(c / CHUNK) chunks, and every pair of chunks is a tile."""
+    chunks = F.ceil(F.col("c") / CHUNK).cast("int")
+    return (lists.join(classes.select("cid", "n", "bitmap"), "cid")
+            .withColumn("m", F.pmod(F.xxhash64("cid"), chunks).cast("int"))
+            .withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
+            .select("token", F.least("m", "o").alias("tile_i"), F.greatest("m", "o").alias("tile_j"),
+                    F.col("m").alias("side"), "cid", "n", "comp", "bitmap")
+            .repartition(parts, "token", "tile_i", "tile_j")
+            .sortWithinPartitions("token", "tile_i", "tile_j"))
+
+
+def _scan_tiles(tiles: DataFrame, percent: int, pairs: bool) -> DataFrame:
+    """Members of different components that pass the bounds: as pairs, or only
+    the classes that have any such partner."""
+    def inside(rows):
+        rows.sort(key=lambda r: r[1])
         cid, n, comp, side = (np.array([r[i] for r in rows], np.int64) for i in range(4))
-        bits = np.stack([r[4] for r in rows])
-        o = np.argsort(n, kind="stable")
-        cid, n, comp, side, bits = cid[o], n[o], comp[o], side[o], bits[o]
+        near = Bounds(n, [r[4] for r in rows], percent)
+        any_partner = np.zeros(len(n), bool)
         for i in range(len(n) - 1):
-            stop = int(np.searchsorted(n, 100 * n[i] // percent, "right"))
-            j = np.arange(i + 1, stop)
+            j = near.partners(i)
             j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] < 0))]
-            if len(j):
-                j = j[may_link(n[i], bits[i], n[j], bits[j], percent)]
+            if pairs:
                 for x in j:
                     yield min(cid[i], cid[x]), max(cid[i], cid[x])
+            elif len(j):
+                any_partner[j] = any_partner[i] = True
+        for x in cid[any_partner]:
+            yield x, x
 
     def scan(batches):
         key, rows, found = None, [], set()
@@ -308,16 +344,16 @@ def _cross_candidates(lists: DataFrame, percent: int) -> DataFrame:
                 k = (t[i], ti[i], tj[i])
                 if k != key:
                     if len(rows) > 1:
-                        found.update(pairs(rows))
+                        found.update(inside(rows))
                     key, rows = k, []
                 rows.append((cid[i], n[i], comp[i], sd[i] if ti[i] != tj[i] else -1, np.frombuffer(bm[i].as_py(), U)))
             if len(found) > 50_000:
                 yield out()
         if len(rows) > 1:
-            found.update(pairs(rows))
+            found.update(inside(rows))
         yield out()
 
-    return lists.mapInArrow(scan, "a long, b long").distinct()
+    return tiles.mapInArrow(scan, "a long, b long").distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -341,8 +377,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest linked id) and
-    n_members (documents of its component)."""
+    """Per document row: doc_id, text_hash (xxhash64), n_shingles, component_id
+    (smallest linked id) and component (its key, also where ids are NULL; NULL
+    for a document without shingles)."""
     spark = docs.sparkSession
     common.arrow_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -350,18 +387,22 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     sig = common.materialize(_signatures(docs, n, percent, hot))
     classes = common.materialize(
         sig.where("n > 0").groupBy("s1", "s2", "n")
-        .agg(F.min("doc_id").alias("min_doc"), F.first("prefix").alias("prefix"),
-             F.first("bitmap").alias("bitmap"), F.first("lead").alias("lead"))
+        .agg(F.min("doc_id").alias("min_doc"), F.first("bitmap").alias("bitmap"), F.first("lead").alias("lead"))
         .withColumn("cid", F.monotonically_increasing_id()))
 
-    # prefix lists of at least two classes
-    entries = classes.select("cid", "n", F.explode("prefix").alias("token"))
+    # prefix lists of at least two classes; a class enters with its smallest document
+    own = classes.select("cid", "s1", "s2", F.col("min_doc").alias("doc_id"))
+    entries = (sig.join(own, (sig.s1 == own.s1) & (sig.s2 == own.s2) & sig.doc_id.eqNullSafe(own.doc_id))
+               .select("cid", F.explode("prefix").alias("token")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = entries.repartition(parts, "token")
     shared = dealt.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    lists = common.materialize(dealt.join(shared, "token"))
+    lists = common.materialize(dealt.join(shared, "token").select("token", "cid", F.col("c").cast("int").alias("c")))
 
-    involved = classes.join(lists.select("cid").distinct(), "cid", "left_semi")
+    # classes with a partner inside the bounds; their sets are read again
+    partner = _scan_tiles(_tiles(lists.withColumn("comp", F.col("cid")), classes, parts), percent, pairs=False)
+    involved = common.materialize(classes.join(partner.select(F.col("a").alias("cid")), "cid", "left_semi"))
+    lists = lists.join(involved.select("cid"), "cid", "left_semi")
     sets = common.materialize(_sets_of(docs, involved, n))
 
     # family links: groups by the leading shingle under each order
@@ -376,27 +417,39 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
 
     # pairs across components, from every prefix list that still holds several
     who = (lists.join(comp, lists.cid == comp.node, "left")
-           .select("token", "cid", "n", "c", F.coalesce("comp", "cid").alias("comp")))
-    mixed = who.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    chunks = F.ceil(F.col("c") / CHUNK).cast("int")
-    tiles = (who.join(mixed, "token").join(classes.select("cid", "bitmap"), "cid")
-             .withColumn("m", F.pmod(F.xxhash64("cid"), chunks).cast("int"))
-             .withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
-             .select("token", F.least("m", "o").alias("tile_i"), F.greatest("m", "o").alias("tile_j"),
-                     F.col("m").alias("side"), "cid", "n", "comp", "bitmap")
-             .repartition(parts, "token", "tile_i", "tile_j")
-             .sortWithinPartitions("token", "tile_i", "tile_j", "cid"))
-    pairs = common.materialize(_cross_candidates(tiles, percent))
+           .select("token", "cid", "c", F.coalesce("comp", "cid").alias("comp")))
+    mixed = (who.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"))
+             .where("lo <> hi").select("token", "c"))
+    pairs = common.materialize(_scan_tiles(_tiles(who.drop("c").join(mixed, "token"), classes, parts), percent, pairs=True))
     links = near.unionByName(_verify(pairs, sets, percent))
     comp = common.components(links)
 
     ids = (classes.join(comp, classes.cid == comp.node, "left")
            .select("s1", "s2", "min_doc", F.coalesce("comp", "cid").alias("comp")))
     named = ids.groupBy("comp").agg(F.min("min_doc").alias("component_id"))
-    final = ids.join(named, "comp").select("s1", "s2", "component_id")
-    out = sig.select("doc_id", "n", "s1", "s2").join(final, ["s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    final = ids.join(named, "comp").select("s1", "s2", "comp", "component_id")
+    out = sig.select("doc_id", "text_hash", "n", "s1", "s2").join(final, ["s1", "s2"], "left")
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"),
+                      F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+                      F.when(F.col("n") > 0, F.col("comp")).alias("component"))
+
+
+def one_per_component(docs: DataFrame, **kw) -> DataFrame:
+    """``docs`` with one row of every component: the smallest id, then text
+    hash, then the other columns as text.  Documents without shingles stay."""
+    id_col, text_col = kw.get("id_col", "doc_id"), kw.get("text_col", "text")
+    got = common.materialize(jaccard_components(docs, **kw).where("n_shingles > 0"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = got.groupBy("component").agg(F.min(key).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    rows = got.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("same")).join(first, "component")
+    kept = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("text_hash") == F.col("f.text_hash"))
+    keys = common.materialize(rows.where(~kept | (F.col("same") > 1)).select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), kept.alias("__kept")))
+    rest, found = common.split_rows(docs, keys, id_col, text_col)
+    w = W.partitionBy("__id", "__hash").orderBy(*[F.col(c).cast("string") for c in docs.columns if c != text_col])
+    alone = found.where("__kept IS NULL")
+    twin = found.where("__kept").withColumn("__rank", F.row_number().over(w)).where("__rank = 1")
+    return (rest.unionByName(alone.select(*docs.columns)).unionByName(twin.select(*docs.columns)))
 
 
 ORACLE_JACCARD = r"""
@@ -425,4 +478,5 @@ FROM sized s JOIN (SELECT src, min(dst) AS component_id FROM reach GROUP BY src)
 
 @common.register("op10_ngram_jaccard_join", ORACLE_JACCARD)
 def op10(spark, sf):
-    return jaccard_components(common.table(spark, sf, "documents"))
+    got = jaccard_components(common.table(spark, sf, "documents"))
+    return got.select("doc_id", "n_shingles", "component_id")
