@@ -49,6 +49,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers unless their import path already
+    has it (the folder is the working folder or on PYTHONPATH)."""
+    import shutil
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    seen = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    sc = spark.sparkContext
+    if any(p and os.path.abspath(p) == root for p in seen) or getattr(sc, "_qualityspark_sent", False):
+        return
+    base = os.path.join(tempfile.mkdtemp(prefix="qualityspark-zip-"), "qualityspark")
+    sc.addPyFile(shutil.make_archive(base, "zip", root, "qualityspark"))
+    sc._qualityspark_sent = True
+
+
 def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
