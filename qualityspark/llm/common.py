@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualityspark.session import materialize
+from qualityspark.session import materialize, ship_package
 from qualityspark.sources.tables import table
 
 __all__ = ["arrow_batches", "bit_test", "collect_bits", "components", "crc_mod", "materialize", "register",
@@ -31,7 +31,9 @@ def register(name: str, sql: str | None = None):
 
 
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of whole texts small enough for a Python worker."""
+    """Keep Arrow batches of whole texts small enough for a Python worker, and
+    see that workers can import this package."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from qualityspark.llm import decontaminate, jaccard_join, language_id, packing, secret_scan  # noqa: F401
+from qualityspark.llm import decontaminate, jaccard_join, language_id, packing, secret_scan, toxicity  # noqa: F401
 from qualityspark.llm.common import ORACLE, REGISTRY
 
 
