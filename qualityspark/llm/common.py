@@ -30,13 +30,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
+def arrow_batches(spark: SparkSession, rows: int = 256) -> None:
     """Keep Arrow batches of whole texts small enough for a Python worker, and
     see that workers can import this package."""
     ship_package(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def collect_bits(keys: DataFrame, column: str, bits: int) -> np.ndarray:
