@@ -85,18 +85,28 @@ def contexts(doc: np.ndarray, cls: np.ndarray) -> np.ndarray:
 
 
 def forward(par: list[np.ndarray], ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hidden layer and logits."""
     emb, b1, w2, b2 = par
-    h = np.tanh(sum(emb[k][ctx[:, k]] for k in range(len(OFFSETS))) + b1)
-    z = h @ w2 + b2
-    z -= z.max(axis=1, keepdims=True)
+    h = emb[0].take(ctx[:, 0], axis=0)
+    for k in range(1, len(OFFSETS)):
+        h += emb[k].take(ctx[:, k], axis=0)
+    h += b1
+    np.tanh(h, out=h)
+    z = h @ w2
+    z += b2
     return h, z
 
 
-def log_probs(par: list[np.ndarray], ctx: np.ndarray, target: np.ndarray, block: int = 4096) -> np.ndarray:
+def log_probs(par: list[np.ndarray], ctx: np.ndarray, target: np.ndarray, block: int = 512) -> np.ndarray:
     out = np.empty(len(target), np.float64)
+    reach = np.abs(par[2]).sum(axis=0).max() + np.abs(par[3]).max()  # |h| <= 1
     for i in range(0, len(target), block):
         _, z = forward(par, ctx[i:i + block])
-        out[i:i + block] = z[np.arange(len(z)), target[i:i + block]] - np.log(np.exp(z).sum(axis=1))
+        if reach > 60:
+            z -= z.max(axis=1, keepdims=True)
+        picked = z[np.arange(len(z)), target[i:i + block]]
+        np.exp(z, out=z)
+        out[i:i + block] = picked - np.log(z.sum(axis=1))
     return out
 
 
@@ -107,7 +117,7 @@ def train_places(flat: np.ndarray, batches, rate: float = 0.01) -> tuple[np.ndar
     for ctx, target in batches:
         emb, b1, w2, b2 = par = split(flat)
         h, z = forward(par, ctx)
-        p = np.exp(z)
+        p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(p)), target] -= 1
         p /= len(p)
@@ -146,7 +156,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(scan, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, rounds: int = 2, stride: int = 8, minibatch: int = 1024) -> tuple[Vocabulary, np.ndarray]:
+def train(docs: DataFrame, rounds: int = 2, stride: int = 8, minibatch: int = 2048) -> tuple[Vocabulary, np.ndarray]:
     common.arrow_batches(docs.sparkSession)
     top = word_counts(docs).orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()
     vocab = Vocabulary(top["word"].to_numpy(np.int64).view(U))
