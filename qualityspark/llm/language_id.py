@@ -180,9 +180,8 @@ def train(docs: DataFrame, per_language: int = 512, mod: int = 5) -> EcocModel:
     return EcocModel([langs[i] for i in seen], x, y)
 
 
-def identify(docs: DataFrame, model: EcocModel) -> DataFrame:
-    """``docs`` (any columns, with text) plus lang_pred, lang_score and
-    lang_ambiguous."""
+def _predicted(docs: DataFrame, model: EcocModel) -> DataFrame:
+    """``docs`` plus ``__lang``: lang_pred, score, ambiguous."""
     common.arrow_batches(docs.sparkSession)
     names = np.array([*model.langs, "und"], dtype=object)
 
@@ -199,22 +198,27 @@ def identify(docs: DataFrame, model: EcocModel) -> DataFrame:
             best[rows], score[rows], odd[rows] = model.decode(f)
         return pd.DataFrame({"lang_pred": names[best], "score": score, "ambiguous": odd})
 
-    got = docs.withColumn("__lang", predict(F.col("text")))
-    return got.select(*docs.columns, F.col("__lang.lang_pred").alias("lang_pred"),
+    return docs.withColumn("__lang", predict(F.col("text")))
+
+
+def identify(docs: DataFrame, model: EcocModel) -> DataFrame:
+    """The id column doc_id plus lang_pred, lang_score and lang_ambiguous."""
+    got = _predicted(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", F.col("__lang.lang_pred").alias("lang_pred"),
                       F.col("__lang.score").alias("lang_score"), F.col("__lang.ambiguous").alias("lang_ambiguous"))
 
 
 def keep_identified(docs: DataFrame, **kw) -> DataFrame:
     """Rows of ``docs`` whose language was decided: neither ``und`` nor
     ambiguous with less than half of the score for the nearest codeword."""
-    got = identify(docs, train(docs, **kw))
-    return got.where("lang_pred <> 'und' AND NOT (lang_ambiguous AND lang_score < 0.5)").select(*docs.columns)
+    got = _predicted(docs, train(docs, **kw))
+    return got.where("__lang.lang_pred <> 'und' AND NOT (__lang.ambiguous AND __lang.score < 0.5)").select(*docs.columns)
 
 
 @common.register("op1_language_id")
 def op1(spark, sf):
     docs = common.table(spark, sf, "documents")
     model = train(docs.select("doc_id", "text", "lang"))
-    got = identify(docs.select("doc_id", "text"), model)
+    got = identify(docs, model)
     return got.select("doc_id", F.coalesce(common.crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred",
                       F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))

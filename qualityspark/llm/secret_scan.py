@@ -162,8 +162,8 @@ def redact(docs: DataFrame, mark: str = "<SECRET>", **kw) -> DataFrame:
     found = scan_secrets(docs, **kw)
     # equal ids and texts have equal spans, so the text's hash identifies the row
     live = (found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"),
-                         F.expr("transform(filter(spans, x -> x.verdict = 'live'), x -> struct(x.start, x.end))").alias("cut"))
-            .where(F.size("cut") > 0).dropDuplicates(["__id", "__hash"]))
+                         F.expr("transform(filter(spans, x -> x.verdict = 'live'), x -> struct(x.start, x.end))").alias("__cut"))
+            .where(F.size("__cut") > 0).dropDuplicates(["__id", "__hash"]))
     rest, j = common.split_rows(docs, common.materialize(live), id_col, text)
 
     @F.pandas_udf("string")
@@ -179,9 +179,9 @@ def redact(docs: DataFrame, mark: str = "<SECRET>", **kw) -> DataFrame:
         import pandas as pd
         return pd.Series(out, dtype=object)
 
-    got = j.withColumn(text, F.when(F.col("cut").isNull(), F.col(text)).otherwise(replaced(F.col(text), F.col("cut"))))
+    got = j.withColumn(text, F.when(F.col("__cut").isNull(), F.col(text)).otherwise(replaced(F.col(text), F.col("__cut"))))
     if "n_chars" in cols:
-        got = got.withColumn("n_chars", F.when(F.col("cut").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(
+        got = got.withColumn("n_chars", F.when(F.col("__cut").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(
             docs.schema["n_chars"].dataType))
     return rest.unionByName(got.select(*cols))
 

@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, lexicon: in
     part = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) / float(1 << 20)
     share = F.when(F.col("toxic") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, per_class / sizes[0]))
     some = known.where(part < share).limit(4 * per_class)
-    text = common.materialize(docs.where("text IS NOT NULL").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic"))
+    text = common.materialize(docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic"))
 
     def scan(batches):
         h = tb.WordHash(0)

@@ -86,13 +86,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS) -> DataFra
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url",
           html_col: str = "html", steps: int = STEPS) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, trust and distrust of its host."""
-    rows = _parsed(pages, url_col)
+    pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = _parsed(pages, "url")
     judged = (rows.withColumn("rule", _rule(rules, lambda r: r[1] + r[2]))
               .withColumn("ruled", _rule(rules, lambda r: r[0])))
     hosts = common.materialize(judged.groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("ruled") == "allow").alias("allow"),
         F.count_if(F.col("ruled") == "block").alias("block")))
-    to = F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.col(html_col), F.lit(LINK), 1),
+    to = F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.col("html"), F.lit(LINK), 1),
                                                 lambda h: F.translate(h, UPPER, LOWER))))
     pairs = common.materialize(rows.select(F.col("host").alias("src"), to.alias("dst")).where("src <> dst")
                                .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")))
@@ -111,7 +112,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_co
                             f"CASE WHEN distrust > trust AND cast(distrust as decimal(38,0)) * pages >= cast({MASS} as decimal(38,0)) * n"
                             " THEN 'block' ELSE 'allow' END AS host_verdict"))
     verdicts = common.materialize(verdicts).withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    left = judged.select(F.col(id_col).alias("page_id"), "host", "path", "rule", "ruled").withColumn(
+    left = judged.select("page_id", "host", "path", "rule", "ruled").withColumn(
         "__s", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALT)).cast("int"))
     return left.join(verdicts, ["host", "__s"]).select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", "host_verdict").alias("verdict"), "trust", "distrust")
