@@ -67,6 +67,7 @@ def _letters(data: np.ndarray, before: int) -> np.ndarray:
     ok = LETTER[low]
     keep = ok.copy()
     keep[1:] |= ok[:-1]
+    keep[0] |= LETTER[tb.LOWER[before]]
     low[~ok] = 0x20
     return low[keep]
 
@@ -83,14 +84,16 @@ def _hash_grams(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def gram_counts(text: bytes) -> np.ndarray:
     """Bucket counts of a whole text."""
     data, out, tail, before = np.frombuffer(text, np.uint8), np.zeros(BUCKETS, np.int64), b" ", 0
+    counted = 0  # 3-grams of the tail that are counted already
     for i in range(0, len(data), PIECE):
         piece = data[i:i + PIECE]
         x = np.concatenate([np.frombuffer(tail, np.uint8), _letters(piece, before)])
         before = int(piece[-1])
         if len(x) >= 4:
-            for h in _hash_grams(x):
-                out += np.bincount(h, minlength=BUCKETS)
-            tail = x[-3:].tobytes()
+            three, four = _hash_grams(x)
+            out += np.bincount(three[counted:], minlength=BUCKETS)
+            out += np.bincount(four, minlength=BUCKETS)
+            tail, counted = x[-3:].tobytes(), 1
         else:
             tail = x.tobytes()
     return out

@@ -131,7 +131,7 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
         F.col(text_col).alias("text"))).withColumn("uid", F.monotonically_increasing_id()))
     shards = max(1, -(-sizes.count() // shard))
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         got = pack_shard(rows.astype({"doc_id": "Int64"}), capacity)
         got["bin_id"] += int(key[0]) << 32
         return got

@@ -18,7 +18,7 @@ Defined results: vectors that are NULL or hold a NULL or non-finite component ta
 part; a vector is compared with those of its own length; rows with the query's
 id are not its candidates; of rows with the same id and the same vector as query one
 is kept; a NULL id takes no part.  Fewer than k candidates are all returned.
-Components are limited to +-2**40.  Extra columns are ignored.
+Whole components are limited to +-2**25, so that sums fit a long.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def _whole(rows: DataFrame, scale: int) -> DataFrame:
     v = F.col("embedding")
     x = F.transform(v, lambda c: c.cast("double"))
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    limit = float(1 << 40)
+    limit = float(1 << 25)
     q = F.transform(x, lambda c: F.least(F.lit(limit), F.greatest(F.lit(-limit), F.floor(c * F.lit(float(scale))).cast("double"))))
     return rows.where(v.isNotNull() & F.col("vec_id").isNotNull()).where(~bad).select("vec_id", q.alias("v"))
 
