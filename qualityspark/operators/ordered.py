@@ -4,12 +4,9 @@ The reference treats the frame as one date-sorted series (row position, shift,
 diff, rolling, interpolate).  A ``Window.orderBy`` without ``partitionBy``
 would put every row into one task, so instead:
 
-* **Buckets.**  Each row gets a deterministic bucket key that is monotone in
-  the order key: ``_b0`` = calendar day; days with more than
-  ``max_bucket_rows`` rows are split by time of day (``_b1``); a still-hot
-  cell whose rows share one timestamp is split by ranges of the first
-  (numeric) tie column (``_b2``).  Bucket keys are pure functions of the row,
-  so a recomputed task after an executor loss sees the same buckets.
+* **Buckets.**  Rows are range-partitioned by their full order (series, date,
+  tie columns of any type), written once, and cut by position into buckets of at
+  most ``max_bucket_rows`` rows (:mod:`qualityspark.operators.placement`).
 * **Bucket table.**  One row per (series, bucket) with its row count; a
   window over this small table gives each bucket its ordinal and the number
   of rows before it.
@@ -28,10 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qualityspark.operators.joins import join_keys
+from qualityspark.operators.placement import place
 from qualityspark.session import materialize
 
 DEFAULT_MAX_BUCKET_ROWS = 1_000_000
-BKT = ["_b0", "_b1", "_b2"]
+BKT = ["_b0"]
 
 
 def _l(x) -> list[str]:
@@ -57,97 +55,39 @@ class Ordered:
         self._buckets: DataFrame | None = None
 
     # ------------------------------------------------------------------ buckets
-    def _micros(self):
-        return F.unix_micros(F.col(self.date).cast("timestamp"))
-
-    def _bucketed_by_value(self) -> DataFrame:
-        """No date, only an explicit numeric order column (e.g. the row
-        position in the file): buckets are equal-width ranges of that column,
-        sized from the row count of each series."""
-        s, m = self.series, self.max_rows
-        c0 = F.col(self.order[0]).cast("double")
-        st = self._src.groupBy(*s).agg(F.count(F.lit(1)).alias("_c"), F.min(c0).alias("_lo"),
-                                       F.max(c0).alias("_hi"))
-        st = st.select(*s, "_lo", "_hi", F.ceil(F.col("_c") * 2.0 / m).cast("long").alias("_nb"))
-        df = join_keys(self._src, st, s) if s else self._src.crossJoin(F.broadcast(st))
-        b0 = F.when((F.col("_nb") <= 1) | (F.col("_lo") == F.col("_hi")), F.lit(0)) \
-              .otherwise(F.expr(f"width_bucket(CAST(`{self.order[0]}` AS DOUBLE), _lo, _hi, _nb)"))
-        return df.withColumn("_b0", b0.cast("long")).withColumn("_b1", F.lit(0).cast("long")) \
-                 .withColumn("_b2", F.lit(0).cast("long")).drop("_lo", "_hi", "_nb")
-
-    def _bucketed(self) -> DataFrame:
-        s, m = self.series, self.max_rows
-        if self.date is None:
-            return self._bucketed_by_value()
-        df = self._src.withColumn("_b0", F.unix_date(F.to_date(F.col(self.date))).cast("long")) \
-                      .withColumn("_us", self._micros())
-        # level 1: hot days split by time of day.  The day-count table is small
-        # (days x series); one job tells whether any day is hot at all.
-        days = materialize(df.groupBy(*s, "_b0").agg(F.count(F.lit(1)).alias("_c"), F.min("_us").alias("_ulo"),
-                                                     F.max("_us").alias("_uhi")))
-        if days.where(F.col("_c") > m).isEmpty():
-            # no hot day: the day table already is the bucket table
-            self._day_counts = days.select(*s, "_b0", F.lit(0).cast("long").alias("_b1"),
-                                           F.lit(0).cast("long").alias("_b2"), F.col("_c").alias("_bn"))
-            return df.withColumn("_b1", F.lit(0).cast("long")).withColumn("_b2", F.lit(0).cast("long")) \
-                     .drop("_us")
-        hot_days = days.where(F.col("_c") > m).select(
-            *s, "_b0", "_ulo", "_uhi",
-            F.ceil(F.col("_c") * 2.0 / m).cast("long").alias("_nb1"))
-        df = join_keys(df, hot_days, s + ["_b0"], "left").withColumn(
-            "_b1", F.when(F.col("_nb1").isNull() | (F.col("_ulo") == F.col("_uhi")), F.lit(0))
-            .otherwise(F.expr("width_bucket(_us, _ulo, _uhi, _nb1)")).cast("long")
-        ).drop("_ulo", "_uhi", "_nb1")
-        # level 2: hot cells holding a single timestamp split by the first tie column
-        tie_num = self.tie and dict(self._src.dtypes)[self.tie[0]] in ("int", "bigint", "smallint", "double",
-                                                                        "float", "tinyint")
-        if tie_num:
-            t = F.col(self.tie[0])
-            cells = df.groupBy(*s, "_b0", "_b1").agg(
-                F.count(F.lit(1)).alias("_c"), F.min("_us").alias("_ulo"), F.max("_us").alias("_uhi"),
-                F.min(t).alias("_tlo"), F.max(t).alias("_thi"))
-            hot = cells.where((F.col("_c") > m) & (F.col("_ulo") == F.col("_uhi"))).select(
-                *s, "_b0", "_b1", "_tlo", "_thi", F.ceil(F.col("_c") * 2.0 / m).cast("long").alias("_nb2"))
-            df = join_keys(df, hot, s + ["_b0", "_b1"], "left").withColumn(
-                "_b2", F.when(F.col("_nb2").isNull() | (F.col("_tlo") == F.col("_thi")), F.lit(0))
-                .otherwise(F.expr(f"width_bucket(`{self.tie[0]}`, _tlo, _thi, _nb2)")).cast("long")
-            ).drop("_tlo", "_thi", "_nb2")
-        else:
-            df = df.withColumn("_b2", F.lit(0).cast("long"))
-        return df.drop("_us")
-
     def buckets(self) -> DataFrame:
-        """(series..., _b0, _b1, _b2, _bn, _bord, _boff, _ntot): small per series."""
+        """(series..., _b0, _bn, _first, _bord, _boff, _ntot): small per series."""
         if self._buckets is None:
-            self._day_counts = None
-            b = self._bucketed()
-            bt = self._day_counts if self._day_counts is not None else \
-                b.groupBy(*self.series, *BKT).agg(F.count(F.lit(1)).alias("_bn"))
+            self._placed = place(self._src, self.series + self.order, self.max_rows)
+            bt = self._placed.groupBy(*self.series, *BKT).agg(F.count(F.lit(1)).alias("_bn"), F.min("_mid").alias("_first"))
             w = Window.partitionBy(*self.series).orderBy(*BKT)
-            self._bucketed_rows = b
-            self._buckets = bt.select(
-                *self.series, *BKT, "_bn",
+            self._buckets = materialize(bt.select(
+                *self.series, *BKT, "_bn", "_first",
                 F.row_number().over(w).cast("long").alias("_bord"),
                 F.coalesce(F.sum("_bn").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
                 .cast("long").alias("_boff"),
-                F.sum("_bn").over(Window.partitionBy(*self.series)).cast("long").alias("_ntot"))
+                F.sum("_bn").over(Window.partitionBy(*self.series)).cast("long").alias("_ntot")))
         return self._buckets
 
     def _bucket_window(self):
-        return Window.partitionBy(*self.series, *BKT).orderBy(*self.order)
+        return Window.partitionBy(*self.series, *BKT).orderBy("_idx")
 
     def indexed(self) -> DataFrame:
         """Rows plus ``_idx`` (1-based position in its series), ``_n`` (series
         size), ``_lrn`` (position in bucket) and bucket bookkeeping."""
         if self._indexed is None:
             bt = self.buckets()
-            rows = join_keys(self._bucketed_rows, bt, self.series + BKT)
-            rows = rows.withColumn("_lrn", F.row_number().over(self._bucket_window()).cast("long"))
-            # written once: fills, halos and splits all start from it
-            self._indexed = materialize(rows.withColumn("_idx", F.col("_boff") + F.col("_lrn"))
-                                        .withColumn("_n", F.col("_ntot")))
+            # without a series the bucket table has a row per partition and limit
+            rows = join_keys(self._placed, bt if self.series else F.broadcast(bt), self.series + BKT)
+            lrn = F.col("_mid") - F.col("_first") + 1
+            rows = rows.withColumn("_lrn", lrn).withColumn("_idx", F.col("_boff") + lrn).withColumn("_n", F.col("_ntot"))
+            self._indexed = rows.drop("_mid", "_first")
         return self._indexed
 
+    def _present(self, c: str):
+        """The column with NaN as NULL: both mean a missing value."""
+        return F.when(~F.isnan(c), F.col(c)) if dict(self._src.dtypes)[c] in ("double", "float") else F.col(c)
+
     # ------------------------------------------------------------------ W1 / W8
     def row_number(self, name: str = "time_trend") -> DataFrame:
         return self._clean(self.indexed().withColumn(name, F.col("_idx")))
@@ -167,7 +107,7 @@ class Ordered:
         keys = self.series + BKT
         summ_aggs = []
         for c in cols:
-            val = F.col(c)
+            val = self._present(c)
             st = F.struct(val.alias("v"), F.col("_idx").alias("i"))
             summ_aggs.append(F.max_by(st, F.when(val.isNotNull(), F.col("_idx"))).alias(f"_bl_{c}"))
             summ_aggs.append(F.min_by(st, F.when(val.isNotNull(), F.col("_idx"))).alias(f"_bf_{c}"))
@@ -186,7 +126,7 @@ class Ordered:
         w = self._bucket_window()
         out = {}
         for c in cols:
-            st = F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("_idx").alias("i")))
+            st = F.when(self._present(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("_idx").alias("i")))
             lp = F.last(st, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
             ln = F.first(st, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
             out[f"_p_{c}"] = F.coalesce(lp, F.col(f"_cp_{c}"))
@@ -202,7 +142,7 @@ class Ordered:
         for c in cols:
             p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")
             slope = (n["v"] - p["v"]) / (n["i"] - p["i"])
-            out[c] = (F.when(F.col(c).isNotNull(), F.col(c))
+            out[c] = (F.when(self._present(c).isNotNull(), F.col(c))
                       .when(p.isNotNull() & n.isNotNull(), slope * (F.col("_idx") - p["i"]) + p["v"])
                       .when(p.isNotNull(), p["v"])
                       .when(n.isNotNull(), n["v"]))
@@ -219,7 +159,7 @@ class Ordered:
         for c in cols:
             fb = fallback.get(c)
             fb = F.lit(fb) if fb is not None and not hasattr(fb, "alias") else fb
-            parts = [F.col(c), F.col(f"_p_{c}.v"), F.col(f"_n_{c}.v")]
+            parts = [self._present(c), F.col(f"_p_{c}.v"), F.col(f"_n_{c}.v")]
             if fb is not None:
                 parts.append(fb)
             parts.append(F.lit("UNKNOWN"))
@@ -259,11 +199,11 @@ class Ordered:
         w = self.halo_window()
         if self.date is None:      # W5b: plain previous row, no gap rule
             h = h.withColumn("_prev_date", F.lit(None).cast("timestamp")) \
-                 .withColumn("_prev_y", F.lag(target).over(w))
+                 .withColumn("_prev_y", F.lag(self._present(target)).over(w))
             diff = F.lit(None).cast("long")
         else:
             h = h.withColumn("_prev_date", F.lag(self.date).over(w)) \
-                 .withColumn("_prev_y", F.lag(target).over(w))
+                 .withColumn("_prev_y", F.lag(self._present(target)).over(w))
             diff = F.expr(f"timestampdiff(DAY, _prev_date, `{self.date}`)")
         lag1 = F.when(diff > max_gap_days, F.lit(None).cast("double")).otherwise(F.col("_prev_y"))
         h = h.withColumn("date_diff_days", diff).withColumn(f"{prefix}_lag1", lag1) \
@@ -276,7 +216,7 @@ class Ordered:
     def acf(self, value: str, nlags: int = 40, alpha: float = 0.05) -> DataFrame:
         """Biased autocorrelation r_0..r_nlags of ``value`` (rows with NULL
         value dropped first) with Bartlett standard errors."""
-        src = Ordered(self._src.where(F.col(value).isNotNull()), self.date, self.tie, self.series,
+        src = Ordered(self._src.where(self._present(value).isNotNull()), self.date, self.tie, self.series,
                       self.max_rows)
         h = src.with_halo(nlags, [value])
         mean = src._src.groupBy(*self.series).agg(F.avg(value).alias("_mu"), F.count(F.lit(1)).alias("_cnt"))
@@ -305,7 +245,7 @@ class Ordered:
                            (F.col("acf") - z * se).alias("lower"), (F.col("acf") + z * se).alias("upper"))
 
     # ------------------------------------------------------------------ helpers
-    _INTERNAL = set(BKT) | {"_bn", "_bord", "_boff", "_ntot", "_lrn", "_halo", "_us", "_tord"}
+    _INTERNAL = set(BKT) | {"_bn", "_bord", "_boff", "_ntot", "_lrn", "_halo", "_tord"}
 
     def _clean(self, df: DataFrame) -> DataFrame:
         return df.drop(*[c for c in df.columns if c in self._INTERNAL])

@@ -5,18 +5,15 @@ aggregation buffer, and a ``Window.partitionBy(group).orderBy(value)`` sorts a
 whole group in one task.  A single month or feature can hold a third of all
 rows, so neither holds at scale.  Instead:
 
-1. ``value_counts``: (group, value) -> weight.  Map-side combined, so a value
-   repeated a billion times is one row.
-2. Distinct values are cut into *bins* of contiguous value ranges with
-   ``width_bucket`` (level 1 sized from the distinct count, level 2 splits
-   dense level-1 bins).  The bin table is small (about distinct/max_bin rows
-   per group).
-3. A window over the bin table gives each bin its offset; a window inside a
-   bin (bounded size) gives each value its running count.
-4. A quantile target rank is located first in the bin table, then inside the
-   one bin that holds it (equi-join on the bin key, no hot key).
-
-Everything is lazy and deterministic; no collect, no per-group driver loop.
+* Ranks: ``value_counts`` (map-side combined, so a value repeated a billion
+  times is one row) is placed in order and cut into bounded bins
+  (:mod:`qualityspark.operators.placement`); the small bin table gives each bin its
+  offset, a window inside a bin each value its running count.
+* Quantiles: ``percentile_approx`` brackets every wanted rank between two values
+  (its rank error is bounded by n / accuracy).  One pass counts what lies below each
+  bracket and keeps only the values inside, among which the exact rank is picked.
+  Nothing else is shuffled.  A bracket that missed its rank would raise an
+  error, never give a wrong value.
 """
 
 from __future__ import annotations
@@ -27,9 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qualityspark.operators.joins import join_keys
+from qualityspark.operators.placement import place
 from qualityspark.session import materialize
 
 DEFAULT_MAX_BIN = 200_000
+#: rank error of a bracket's ends is n / ACCURACY; brackets reach 4 times as far
+ACCURACY = 10_000
 
 
 def _keys(keys) -> list[str]:
@@ -48,62 +48,24 @@ def value_counts(df: DataFrame, keys, value: str, weight: str | None = None) ->
     return src.groupBy(*keys, value).agg(w.cast("long").alias("_w"))
 
 
-def max_distinct(freq: DataFrame, keys) -> int:
-    """Largest number of distinct values in any group (one small job)."""
-    keys = _keys(keys)
-    row = freq.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()
-    return int(row[0] or 0)
-
-
-def _bin_level(freq: DataFrame, keys, value, group_cols, max_bin, out_col, nb_scale=1):
-    """Add ``out_col`` = width_bucket of value inside each group_cols cell."""
-    cell = freq.groupBy(*group_cols).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_d"))
-    nb = F.greatest(F.lit(1), F.ceil(F.col("_d") * nb_scale / F.lit(max_bin))).cast("long")
-    cell = cell.where(F.col("_d") > F.lit(max_bin) if out_col != "_b1" else F.lit(True)) \
-        .select(*group_cols, "_lo", "_hi", nb.alias("_nb"))
-    j = join_keys(freq, cell, group_cols, "left")
-    b = (F.when(F.col("_nb").isNull() | (F.col("_hi") == F.col("_lo")), F.lit(0))
-         .otherwise(F.expr(f"width_bucket(`{value}`, _lo, _hi, _nb)")))
-    return j.withColumn(out_col, b.cast("long")).drop("_lo", "_hi", "_nb")
-
-
 def cumulative(freq: DataFrame, keys, value: str, max_bin: int = DEFAULT_MAX_BIN) -> DataFrame:
-    """Add ``_before`` (weight of strictly smaller values in the group) and
-    ``_n`` (group total) to a value-count frame; also returns bin columns."""
+    """Add ``_before`` (weight of strictly smaller values in the group), ``_n``
+    (group total) and the bin columns to a value-count frame."""
     keys = _keys(keys)
-    freq = materialize(freq)     # the value table is read by every level below
-    if max_distinct(freq, keys) <= max_bin:
-        # every group has a bounded number of distinct values: one window per
-        # group is exact and bounded (a single bin per group)
-        w = Window.partitionBy(*keys).orderBy(value)
-        return freq.select(
-            "*", F.lit(0).cast("long").alias("_b1"), F.lit(0).cast("long").alias("_b2"),
-            F.lit(0).cast("long").alias("_boff"),
-            F.sum("_w").over(Window.partitionBy(*keys)).alias("_n"),
-            F.coalesce(F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        ).withColumn("_bw", F.col("_n"))
-    f1 = _bin_level(freq, keys, value, keys, max_bin, "_b1", nb_scale=2)
-    f2 = _bin_level(f1, keys, value, keys + ["_b1"], max_bin, "_b2", nb_scale=2)
-    bins = f2.groupBy(*keys, "_b1", "_b2").agg(F.sum("_w").alias("_bw"))
-    wb = Window.partitionBy(*keys).orderBy("_b1", "_b2")
-    bins = bins.select(
-        *keys, "_b1", "_b2", "_bw",
-        F.coalesce(F.sum("_bw").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_boff"),
-        F.sum("_bw").over(Window.partitionBy(*keys)).alias("_n"),
-    )
-    j = join_keys(f2, bins, keys + ["_b1", "_b2"])
-    wv = Window.partitionBy(*keys, "_b1", "_b2").orderBy(value)
-    return j.withColumn(
-        "_before",
-        F.col("_boff") + F.coalesce(F.sum("_w").over(wv.rowsBetween(Window.unboundedPreceding, -1)),
-                                    F.lit(0)))
+    placed = place(freq, keys + [value], max_bin, "_b1")
+    w = Window.partitionBy(*keys).orderBy("_b1")
+    bins = placed.groupBy(*keys, "_b1").agg(F.sum("_w").alias("_bw")).select(
+        *keys, "_b1", "_bw",
+        F.coalesce(F.sum("_bw").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_boff"),
+        F.sum("_bw").over(Window.partitionBy(*keys)).alias("_n"))
+    inside = Window.partitionBy(*keys, "_b1").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    return join_keys(placed, bins, keys + ["_b1"]).withColumn(
+        "_before", F.col("_boff") + F.coalesce(F.sum("_w").over(inside), F.lit(0))).drop("_mid")
 
 
 def bin_table(cum: DataFrame, keys) -> DataFrame:
     keys = _keys(keys)
-    return cum.select(*keys, "_b1", "_b2", "_bw", "_boff", "_n").dropDuplicates(keys + ["_b1", "_b2"])
+    return cum.select(*keys, "_b1", "_bw", "_boff", "_n").dropDuplicates(keys + ["_b1"])
 
 
 def average_ranks(df: DataFrame, keys, value: str, max_bin: int = DEFAULT_MAX_BIN) -> DataFrame:
@@ -126,58 +88,60 @@ def value_at_rank(cum: DataFrame, keys, value: str, targets: DataFrame) -> DataF
     located = join_keys(targets, bins, keys).where(
         (F.col("_boff") <= F.col("_r")) & (F.col("_r") < F.col("_boff") + F.col("_bw"))
     ).drop("_boff", "_bw")
-    return join_keys(located, cum.select(*keys, "_b1", "_b2", value, "_w", "_before"),
-                     keys + ["_b1", "_b2"]).where(
+    return join_keys(located, cum.select(*keys, "_b1", value, "_w", "_before"), keys + ["_b1"]).where(
         (F.col("_before") <= F.col("_r")) & (F.col("_r") < F.col("_before") + F.col("_w"))
-    ).drop("_b1", "_b2", "_w", "_before")
+    ).drop("_b1", "_w", "_before")
 
 
-def quantiles(df: DataFrame, keys, value: str, probs: Sequence[float],
-              max_bin: int = DEFAULT_MAX_BIN, freq: DataFrame | None = None) -> DataFrame:
+def quantiles(df: DataFrame, keys, value: str, probs: Sequence[float], accuracy: int = ACCURACY) -> DataFrame:
     """Exact linear-interpolated quantiles (same rule as pandas ``quantile`` and
     DuckDB ``quantile_cont``).  Returns (keys..., prob, quantile, n)."""
     keys = _keys(keys)
     if not keys:
-        out = quantiles(df.withColumn("_g", F.lit(0)), ["_g"], value, probs, max_bin,
-                        None if freq is None else freq.withColumn("_g", F.lit(0)))
-        return out.drop("_g")
-    freq = materialize(freq if freq is not None else value_counts(df, keys, value))
-    if max_distinct(freq, keys) <= max_bin:
-        # bounded groups: Spark's exact weighted percentile holds at most
-        # max_bin distinct values per group in its buffer
-        ps = [float(p) for p in probs]
-        agg = freq.groupBy(*keys).agg(
-            F.percentile(F.col(value), F.array(*[F.lit(p) for p in ps]), F.col("_w")).alias("_q"),
-            F.sum("_w").alias("n"))
-        return agg.select(*keys, F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in ps]).alias("prob"),
-                                                        F.col("_q").alias("quantile"))).alias("_z"), "n") \
-            .select(*keys, F.col("_z.prob").alias("prob"), F.col("_z.quantile").cast("double").alias("quantile"),
-                    F.col("n").cast("long").alias("n"))
-    cum = materialize(cumulative(freq, keys, value, max_bin))    # read by the bin lookup and the pick
-    groups = bin_table(cum, keys).select(*keys, "_n").dropDuplicates(keys)
-    groups = groups.select(*keys, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-    pos = F.col("prob") * (F.col("_n") - 1)
-    targets = groups.select(
-        *keys, "prob", "_n", (pos - F.floor(pos)).alias("_frac"),
-        F.explode(F.array(
-            F.struct(F.lit(0).alias("_side"), F.floor(pos).cast("long").alias("_r")),
-            F.struct(F.lit(1).alias("_side"), F.ceil(pos).cast("long").alias("_r")))).alias("_t"),
-    ).select(*keys, "prob", "_n", "_frac", "_t._side", "_t._r")
-    picked = value_at_rank(cum, keys, value, targets)
-    wide = picked.groupBy(*keys, "prob").agg(
-        F.first("_n").alias("n"), F.first("_frac").alias("_frac"),
-        F.max(F.when(F.col("_side") == 0, F.col(value))).alias("_lo"),
-        F.max(F.when(F.col("_side") == 1, F.col(value))).alias("_hi"))
-    q = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")
-    return wide.select(*keys, "prob", F.when(F.col("_frac") == 0, F.col("_lo")).otherwise(q)
-                       .cast("double").alias("quantile"), F.col("n").cast("long").alias("n"))
-
-
-def quantiles_wide(df: DataFrame, keys, value: str, probs: dict[str, float],
-                   max_bin: int = DEFAULT_MAX_BIN) -> DataFrame:
+        return quantiles(df.withColumn("_g", F.lit(0)), ["_g"], value, probs, accuracy).drop("_g")
+    ps = [float(p) for p in probs]
+    reach = 4.0 / accuracy
+    v = F.col(value)
+    src = df.select(*keys, value).where(v.isNotNull())
+    if dict(df.dtypes)[value] in ("double", "float"):
+        src = src.where(~F.isnan(value))
+    ends = [max(0.0, p - reach) for p in ps] + [min(1.0, p + reach) for p in ps]
+    rough = src.groupBy(*keys).agg(F.percentile_approx(v, ends, accuracy).alias("_e"), F.min(v).alias("_min"),
+                                   F.max(v).alias("_max"), F.count(F.lit(1)).alias("_n"))
+    # the two ranks around p (n - 1) and a value at or below, at or above them
+    lows = [F.col("_min") if ends[i] == 0 else F.col("_e")[i] for i in range(len(ps))]
+    highs = [F.col("_max") if ends[len(ps) + i] == 1 else F.col("_e")[len(ps) + i] for i in range(len(ps))]
+    # few values: a rank's neighbour may lie beyond the rounded end
+    few = F.col("_n") <= F.lit(4 * accuracy)
+    bracket = F.array(*[F.struct(F.lit(i).alias("_i"), F.when(few, F.col("_min")).otherwise(lo).alias("_lo"),
+                                 F.when(few, F.col("_max")).otherwise(hi).alias("_hi"))
+                        for i, (lo, hi) in enumerate(zip(lows, highs))])
+    brackets = materialize(rough.select(*keys, "_n", bracket.alias("_br")))      # one row per group
+    j = join_keys(src, brackets, keys)
+    below = j.groupBy(*keys).agg(*[F.count_if(v < F.col("_br")[i]["_lo"]).alias(f"_u{i}") for i in range(len(ps))])
+    below = below.select(*keys, F.posexplode(F.array(*[f"_u{i}" for i in range(len(ps))])).alias("_i", "_under"))
+    hit = F.filter("_br", lambda b: (v >= b["_lo"]) & (v <= b["_hi"]))
+    inside = j.select(*keys, "_n", value, F.explode(F.transform(hit, lambda b: b["_i"])).alias("_i")) \
+        .groupBy(*keys, "_i", value).agg(F.count(F.lit(1)).alias("_w"), F.first("_n").alias("_n"))
+    run = Window.partitionBy(*keys, "_i").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    inside = join_keys(inside.withColumn("_upto", F.sum("_w").over(run)), below, keys + ["_i"])
+    prob = F.element_at(F.array(*[F.lit(p) for p in ps]), F.col("_i") + 1)
+    pos = prob * (F.col("_n") - 1)
+    ranked = inside.withColumns({"prob": prob, "_lr": F.floor(pos), "_hr": F.ceil(pos), "_frac": pos - F.floor(pos),
+                                 "_to": F.col("_under") + F.col("_upto")})
+    at = lambda r: F.max(F.when((F.col("_to") - F.col("_w") <= F.col(r)) & (F.col(r) < F.col("_to")), v))
+    got = ranked.groupBy(*keys, "prob").agg(F.first("_n").alias("n"), F.first("_frac").alias("_frac"),
+                                            at("_lr").alias("_lo"), at("_hr").alias("_hi"))
+    q = F.when(F.col("_frac") == 0, F.col("_lo")).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac"))
+    lost = F.raise_error("a quantile bracket missed its rank").cast("double")
+    return got.select(*keys, "prob", F.when(F.col("_lo").isNull() | F.col("_hi").isNull(), lost)
+                      .otherwise(q.cast("double")).alias("quantile"), F.col("n").cast("long").alias("n"))
+
+
+def quantiles_wide(df: DataFrame, keys, value: str, probs: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
     """Quantiles as named columns, e.g. ``{"q1": .25, "q3": .75}``."""
     keys = _keys(keys)
-    long = quantiles(df, keys, value, list(probs.values()), max_bin)
+    long = quantiles(df, keys, value, list(probs.values()), accuracy)
     aggs = [F.max(F.when(F.col("prob") == float(p), F.col("quantile"))).alias(name)
             for name, p in probs.items()]
     if keys:
@@ -201,18 +165,15 @@ def prefix_quantiles(df: DataFrame, period: str, value: str, targets: DataFrame,
     bins + periods x bin size), not O(periods x rows).
     Returns (period, prob, quantile, n)."""
     freq = materialize(value_counts(df, [period], value))
-    glob = freq.groupBy(value).agg(F.sum("_w").alias("_w")).withColumn("_g", F.lit(0))
-    g1 = _bin_level(glob, ["_g"], value, ["_g"], max_bin, "_b1", nb_scale=2)
-    g2 = _bin_level(g1, ["_g"], value, ["_g", "_b1"], max_bin, "_b2", nb_scale=2)
-    vbin = materialize(g2.select(value, "_b1", "_b2"))                 # distinct value -> bin
+    vbin = place(freq.select(value).distinct(), [value], max_bin, "_b1").select(value, "_b1")  # distinct value -> bin
     fb = freq.join(vbin, value)
-    pb = fb.groupBy(period, "_b1", "_b2").agg(F.sum("_w").alias("_c"))  # periods x bins
+    pb = fb.groupBy(period, "_b1").agg(F.sum("_w").alias("_c"))  # periods x bins
     tg = targets.select(F.col(period).alias("_t")).distinct()
     # prefix counts per (target, bin); the target list is one row per period
-    pre = pb.join(F.broadcast(tg), F.col(period) < F.col("_t")).groupBy("_t", "_b1", "_b2") \
+    pre = pb.join(F.broadcast(tg), F.col(period) < F.col("_t")).groupBy("_t", "_b1") \
             .agg(F.sum("_c").alias("_bw"))
-    wb = Window.partitionBy("_t").orderBy("_b1", "_b2")
-    pre = pre.select("_t", "_b1", "_b2", "_bw",
+    wb = Window.partitionBy("_t").orderBy("_b1")
+    pre = pre.select("_t", "_b1", "_bw",
                      F.coalesce(F.sum("_bw").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
                      .alias("_boff"), F.sum("_bw").over(Window.partitionBy("_t")).alias("_n"))
     n = pre.select("_t", "_n").dropDuplicates(["_t"])
@@ -225,9 +186,9 @@ def prefix_quantiles(df: DataFrame, period: str, value: str, targets: DataFrame,
     loc = tr.join(pre.drop("_n"), "_t").where((F.col("_boff") <= F.col("_r")) &
                                                (F.col("_r") < F.col("_boff") + F.col("_bw")))
     loc = loc.select("_t", "prob", "_n", "_frac", "_side", (F.col("_r") - F.col("_boff")).alias("_rr"),
-                     "_b1", "_b2")
+                     "_b1")
     # candidates: values of the located bin from earlier periods (bounded by the bin size)
-    cand = fb.join(loc, ["_b1", "_b2"]).where(F.col(period) < F.col("_t")) \
+    cand = fb.join(loc, ["_b1"]).where(F.col(period) < F.col("_t")) \
              .groupBy("_t", "prob", "_side", "_rr", value).agg(F.sum("_w").alias("_w"),
                                                                 F.first("_n").alias("_n"),
                                                                 F.first("_frac").alias("_frac"))

@@ -651,7 +651,7 @@ def _baseline_comparison(metrics):
 _GROUP_SQL = """
 rtr AS (SELECT model, {tr} FROM rsc WHERE split = 'train' GROUP BY model),
 rte AS (SELECT model, {te} FROM rsc WHERE split = 'test' GROUP BY model),
-cmp AS (SELECT model AS feature_group, model, test_r2, test_rmse, round(test_rmse - train_rmse, 6) AS gap
+cmp AS (SELECT model AS feature_group, model, test_r2, test_rmse, round(train_r2 - test_r2, 6) AS gap
         FROM rtr JOIN rte USING (model) WHERE model <> 'previous_value' OR (n_train >= 2 AND n_test >= 2)),
 ytr2 AS (SELECT train_year, model, {tr} FROM ytr GROUP BY train_year, model),
 yte2 AS (SELECT train_year, test_year, model, {te} FROM ypred GROUP BY train_year, test_year, model),

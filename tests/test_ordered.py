@@ -43,10 +43,27 @@ def test_row_number_and_split(spark, max_rows):
 def test_hot_day_is_split(spark):
     _, sdf = _frame(spark)
     bt = Ordered(sdf, "date", ["id"], max_bucket_rows=4).buckets().toPandas()
-    assert bt["_bn"].max() <= 12          # the 100-row day is cut into small buckets
+    assert bt["_bn"].max() <= 4           # the 100-row day is cut into small buckets
     assert bt["_bn"].sum() == 300
 
 
+@pytest.mark.parametrize("tie", ["id", "name"])
+def test_buckets_bounded_mixed_timestamps_and_string_ties(spark, tie):
+    """1,000 rows at midnight plus 20 timed ones; numeric and string tie columns."""
+    sdf = spark.range(1020).selectExpr(
+        "id", "concat('n', id) AS name",
+        "timestamp'2024-03-01' + make_dt_interval(0, 0, 0, CASE WHEN id < 1000 THEN 0 ELSE id * 60 END) AS date")
+    bt = Ordered(sdf, "date", [tie], max_bucket_rows=100).buckets().toPandas()
+    assert bt["_bn"].max() <= 100 and bt["_bn"].sum() == 1020
+
+
+def test_nan_is_missing(spark):
+    rows = [(0, 1.0), (1, float("nan")), (2, None), (3, 4.0)]
+    sdf = spark.createDataFrame(rows, "pos long, y double")
+    got = Ordered(sdf, None, ["pos"]).interpolate(["y"]).orderBy("pos").toPandas()["y"]
+    assert list(got) == [1.0, 2.0, 3.0, 4.0]
+
+
 @pytest.mark.parametrize("max_rows", [3, 1_000_000])
 def test_interpolate_and_fill(spark, max_rows):
     pdf, sdf = _frame(spark)

@@ -1,4 +1,4 @@
-"""Exact distributed quantiles / ranks vs numpy and pandas (both engine paths)."""
+"""Exact distributed quantiles / ranks vs numpy and pandas (brackets and bins of several sizes)."""
 
 import numpy as np
 import pandas as pd
@@ -18,10 +18,10 @@ def data(spark):
     return pdf, sdf
 
 
-@pytest.mark.parametrize("max_bin", [3, 50, 200_000])
-def test_quantiles_match_numpy(data, max_bin):
+@pytest.mark.parametrize("accuracy", [5, 60, 10_000])
+def test_quantiles_match_numpy(data, accuracy):
     pdf, sdf = data
-    got = quantiles(sdf, ["g"], "v", [0.0, 0.25, 0.5, 0.8, 1.0], max_bin=max_bin).toPandas()
+    got = quantiles(sdf, ["g"], "v", [0.0, 0.25, 0.5, 0.8, 1.0], accuracy=accuracy).toPandas()
     for (g, p), row in got.set_index(["g", "prob"]).iterrows():
         exp = pdf.loc[pdf.g == g, "v"].dropna().quantile(p)
         assert row["quantile"] == pytest.approx(exp, rel=1e-12, abs=1e-12)
@@ -30,7 +30,7 @@ def test_quantiles_match_numpy(data, max_bin):
 
 def test_global_quantiles(data):
     pdf, sdf = data
-    got = quantiles_wide(sdf, [], "v", {"q1": 0.25, "q3": 0.75}, max_bin=4).first()
+    got = quantiles_wide(sdf, [], "v", {"q1": 0.25, "q3": 0.75}, accuracy=8).first()
     assert got["q1"] == pytest.approx(pdf.v.dropna().quantile(0.25))
     assert got["q3"] == pytest.approx(pdf.v.dropna().quantile(0.75))
 
@@ -43,3 +43,19 @@ def test_average_ranks(data, max_bin):
         exp = part.assign(r=part.v.rank(method="average")).drop_duplicates("v").set_index("v")["r"]
         mine = got[got.g == g].set_index("v")["_rank"]
         pd.testing.assert_series_equal(mine.sort_index(), exp.sort_index(), check_names=False)
+
+
+def test_bins_stay_bounded_on_skewed_values(spark):
+    """A few huge values do not widen the bins (20,000 values, limit 100)."""
+    from qualityspark.operators.ranks import bin_table, cumulative, value_counts
+    sdf = spark.range(20_000).selectExpr("cast(CASE WHEN id < 10 THEN id * 1e12 ELSE id / 7 END AS double) AS v", "0 AS g")
+    bins = bin_table(cumulative(value_counts(sdf, ["g"], "v"), ["g"], "v", 100), ["g"]).toPandas()
+    assert bins["_bw"].max() <= 100 and bins["_bw"].sum() == 20_000
+
+
+def test_quantiles_large_group_uses_brackets(spark):
+    sdf = spark.range(5_000).selectExpr("cast(pow(id % 977, 2) as double) AS v")
+    got = quantiles(sdf, [], "v", [0.0, 0.1, 0.5, 0.9, 1.0], accuracy=100).toPandas().set_index("prob")["quantile"]
+    v = np.array([float(i % 977) ** 2 for i in range(5_000)])
+    for p, q in got.items():
+        assert q == pytest.approx(np.quantile(v, p))
