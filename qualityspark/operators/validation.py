@@ -58,14 +58,20 @@ def metric_rows(train: DataFrame | None, test: DataFrame, keys) -> DataFrame:
             .withColumn("rmse_gap_test_minus_train", _r(F.col("test_rmse") - F.col("train_rmse")))
 
 
+# fixed values: the R^2 below which both sides underfit; (exclusive upper bound of the
+# train - test R^2 gap, label) and the label beyond; the gap counts as overfitting above the last
+UNDERFIT_R2 = 0.50
+GAP_LABELS = ((0.05, "good_generalization"), (0.10, "acceptable_generalization"))
+OVERFIT_GAP = 0.20
+
+
 def overfit_diagnosis(train_r2: Column, test_r2: Column) -> Column:
-    """V11."""
+    """Label of a train / test R^2 pair."""
     gap = train_r2 - test_r2
-    return (F.when((train_r2 < 0.5) & (test_r2 < 0.5), F.lit("underfitting"))
-            .when(gap > 0.2, F.lit("overfitting"))
-            .when(gap < 0.05, F.lit("good_fit"))
-            .when(gap < 0.1, F.lit("acceptable"))
-            .otherwise(F.lit("moderate_overfitting")))
+    label = F.when(gap > OVERFIT_GAP, "overfitting").otherwise("moderate_gap")
+    for bound, name in reversed(GAP_LABELS):
+        label = F.when(gap < bound, name).otherwise(label)
+    return F.when(F.greatest(train_r2, test_r2) < UNDERFIT_R2, "underfitting").otherwise(label)
 
 
 # --------------------------------------------------------------------------- V1

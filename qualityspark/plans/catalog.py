@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from qualityspark.functions.numeric import round6
 from qualityspark.operators import outliers
 from qualityspark.plans.sqlgen import clip_sql, r6, unpivot
-from qualityspark.sources.tables import lots, lots_raw, with_lots
+from qualityspark.sources.tables import lots, lots_gap, lots_raw, with_lots
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -43,6 +43,11 @@ def _lots(spark, sf):
     return materialize(lots(spark, sf))
 
 
+def _gap_lots(spark, sf):
+    from qualityspark.session import materialize
+    return materialize(lots_gap(spark, sf))
+
+
 def _lots_m(spark, sf):
     return _lots(spark, sf).withColumn("month", F.month("date"))
 
@@ -359,23 +364,15 @@ def _rk():
 
 
 def model_frame(spark, sf):
-    """lots + gap-aware lag over all dated rows, then rows with a target.  The
-    scan's row position is kept (``pos``, ``n_rows``) when no row is dropped,
-    so the blocked split needs no second ordered scan."""
-    base = _lots(spark, sf)
-    mf = _ordered(spark, sf, df=base).lag_features("target")
-    exact = base.where(F.col("target").isNull()).isEmpty()          # one small job
-    cols = ["lot_id", "date", F.year("date").alias("year"), "target", "target_lag1", "target_roll3"]
-    if exact:
-        cols += [F.col("_idx").alias("pos"), F.col("_n").alias("n_rows")]
-    return mf.where(F.col("target").isNotNull()).select(*cols)
+    """lots + gap-aware lag over all dated rows, then rows with a target."""
+    mf = _ordered(spark, sf).lag_features("target")
+    return mf.where(F.col("target").isNotNull()).select(
+        "lot_id", "date", F.year("date").alias("year"), "target", "target_lag1", "target_roll3")
 
 
 def _blocked(mf):
     from qualityspark.operators.ordered import Ordered
-    from qualityspark.operators.validation import blocked_from_index, blocked_labelled
-    if "pos" in mf.columns:
-        return blocked_from_index(mf, "pos", "n_rows")
+    from qualityspark.operators.validation import blocked_labelled
     return blocked_labelled(Ordered(mf, "date", ["lot_id"]))
 
 
@@ -735,7 +732,7 @@ yw AS (
          max(CASE WHEN month(date) = 10 THEN 1 ELSE 0 END) = 1 AS has_oct,
          count_if((month(date) = 7 AND day(date) >= 22) OR (month(date) = 8 AND day(date) <= 15)) < 6 AS wide_pre,
          count_if(month(date) = 10 AND day(date) <= 10) < 6 AS wide_post
-  FROM lots GROUP BY 1
+  FROM lots_gap GROUP BY 1
 ),
 wr AS (
   SELECT l.*, yw.year,
@@ -743,7 +740,7 @@ wr AS (
                    OR (month(date) = 8 AND day(date) <= 15))) THEN 'pre'
               WHEN (wide_post AND month(date) = 10) OR (NOT wide_post AND month(date) = 10 AND day(date) <= 10)
               THEN 'post' END AS side
-  FROM lots l JOIN yw ON CAST(year(l.date) AS INTEGER) = yw.year WHERE has_aug AND has_oct
+  FROM lots_gap l JOIN yw ON CAST(year(l.date) AS INTEGER) = yw.year WHERE has_aug AND has_oct
 ),
 long AS ({unpivot("wr", _BP_COLS, ids=["year", "side"])}),
 st AS (
@@ -779,7 +776,7 @@ SELECT year, feature, pre_n, post_n,
 FROM bp""")
 def q_breakpoint_stats(spark, sf):
     from qualityspark.operators.breakpoint import breakpoint_stats
-    st = breakpoint_stats(_lots(spark, sf), _BP_COLS, with_p=False)
+    st = breakpoint_stats(_gap_lots(spark, sf), _BP_COLS, with_p=False)
     return st.select("year", "feature", "pre_n", "post_n",
                      *[round6(c).alias(c) for c in ("pre_mean", "post_mean", "mean_diff_post_minus_pre",
                                                     "relative_change", "effect_size_like", "t_stat", "welch_df")])
@@ -789,7 +786,7 @@ def q_breakpoint_stats(spark, sf):
 def q_transition_flag(spark, sf):
     """O4 (rows-only: the jump rule uses a Welch t-test p-value)."""
     from qualityspark.operators.breakpoint import apply_transition_flag, transition_report
-    df = _lots(spark, sf)
+    df = _gap_lots(spark, sf)
     rep = transition_report(df, _BP_COLS)
     return apply_transition_flag(df, rep).select("lot_id", "missing_transition_phase")
 
@@ -798,7 +795,7 @@ def q_transition_flag(spark, sf):
 def q_transition_report(spark, sf):
     """O3 year level with p-values (rows-only)."""
     from qualityspark.operators.breakpoint import transition_report
-    return transition_report(_lots(spark, sf), _BP_COLS).withColumn(
+    return transition_report(_gap_lots(spark, sf), _BP_COLS).withColumn(
         "months_present", F.array_join("months_present", ","))
 
 
@@ -906,7 +903,7 @@ def _vif3_sql():
 @register("vif_3var", _vif3_sql())
 def q_vif_3var(spark, sf):
     from qualityspark.operators.gram import gram, vif_from_gram
-    g = gram(_lots(spark, sf), VIF3)
+    g = gram(lots(spark, sf), VIF3)
     return spark.createDataFrame([(f, float(round(v, 6))) for f, v in vif_from_gram(g, VIF3)],
                                  "feature string, vif double")
 
@@ -929,7 +926,7 @@ SELECT CAST(regr_count(target, ffa) AS BIGINT) AS n, round(regr_intercept(target
        round(regr_slope(target, ffa), 6) AS coef_ffa, round(regr_r2(target, ffa), 6) AS r2 FROM lots""")
 def q_ols_simple(spark, sf):
     from qualityspark.operators.gram import gram, ols_from_gram
-    r = ols_from_gram(gram(_lots(spark, sf), ["target", "ffa"]), "target", ["ffa"])
+    r = ols_from_gram(gram(lots(spark, sf), ["target", "ffa"]), "target", ["ffa"])
     return spark.createDataFrame([(r.n, round(float(r.coef["const"]), 6), round(float(r.coef["ffa"]), 6),
                                    round(float(r.r2), 6))],
                                  "n long, const double, coef_ffa double, r2 double")
@@ -940,7 +937,7 @@ def _ols_frame(spark, sf):
     flag, month dummies) and the candidate quality measures."""
     from qualityspark.functions.numeric import month_dummies
     from qualityspark.operators.breakpoint import apply_transition_flag, transition_report
-    df = _lots(spark, sf)
+    df = _gap_lots(spark, sf)
     df = apply_transition_flag(df, transition_report(df, _BP_COLS))
     df = _ordered(spark, sf, df=df).row_number("time_trend")
     return df.select("*", *month_dummies(F.month("date")))
@@ -1084,6 +1081,14 @@ def q_feature_importance(spark, sf):
     return spark.createDataFrame(importances(m.bestModel, tr), "feature string, importance double")
 
 
+@register("combo_ranking")
+def q_combo_ranking(spark, sf):
+    """M10 + M11 + T4: feature combinations ranked by CV RMSE, the best three."""
+    from qualityspark.operators.models import combination_search, feature_combinations
+    return combination_search(ml_frame(spark, sf), feature_combinations([("ffa", "log_ffa")], ["mi"]),
+                              _specs()["linear_regression"], "target", ML_QUALITY, top=3)
+
+
 @register("perm_importance")
 def q_perm_importance(spark, sf):
     """Permutation importance over the raw source columns on test rows."""
@@ -1136,7 +1141,7 @@ def _preprocess(spark, sf):
     from qualityspark.plans.preprocess import run_preprocess
     from qualityspark.schema import LOTS
     return run_preprocess(
-        _lots(spark, sf), LOTS, iqr_columns=CLIP_COLS + ["target"], transition_columns=_BP_COLS[:-1],
+        _gap_lots(spark, sf), LOTS, iqr_columns=CLIP_COLS + ["target"], transition_columns=_BP_COLS[:-1],
         corr_columns=CORR_COLS, vif_columns=["dobi", "ffa", "mi", "iv", "car_pv"],
         base_features=["ffa", "mi", "iv", "dobi", "car_pv", "target", "log_ffa", "log_target", "time_trend",
                        "missing_transition_phase"],
@@ -1159,7 +1164,7 @@ def q_model_ready(spark, sf):
 SELECT CAST(count(*) AS BIGINT) AS rows_before, CAST(count(*) AS BIGINT) AS rows_after,
        strftime(min(date), '%Y-%m-%d') AS date_min, strftime(max(date), '%Y-%m-%d') AS date_max,
        array_to_string(list_sort(list_distinct(list(CAST(month(date) AS INTEGER)))), ',') AS months_present
-FROM lots""")
+FROM lots_gap""")
 def q_run_summary(spark, sf):
     """A7 over the full preprocessing chain (row counts, date range, months)."""
     return _preprocess(spark, sf)["summary"]

@@ -26,6 +26,10 @@ from qualityspark.schema import QualitySchema
 from qualityspark.session import materialize
 
 
+#: a column per category is only made for so many of them; more is an error, not a cut
+MAX_LEVELS = 2000
+
+
 def add_time_features(df: DataFrame, report: DataFrame, schema: QualitySchema) -> DataFrame:
     """month, row-number trend (W1), transition flag (O4), month_1..12."""
     d = df.withColumn("month", F.month(schema.date))
@@ -67,19 +71,20 @@ def add_log_features(df: DataFrame, columns) -> DataFrame:
 def one_hot_sorted(df: DataFrame, columns) -> DataFrame:
     """X1 (EDA variant): one 0/1 column per observed category, sorted names;
     the category list is a small distinct table."""
-    out = df
+    new = {}
     for c in columns:
-        levels = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).collect()]
-        out = out.withColumns({f"{c}_{v}": (F.col(c) == F.lit(v)).cast("int") for v in levels})
-        out = out.withColumns({f"{c}_{v}": F.coalesce(F.col(f"{c}_{v}"), F.lit(0)) for v in levels})
-    return out
+        levels = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).limit(MAX_LEVELS + 1).collect()]
+        if len(levels) > MAX_LEVELS:
+            raise ValueError(f"{c} has more than {MAX_LEVELS} categories: too many for one column each")
+        new |= {f"{c}_{v}": F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)) for v in levels}
+    return df.withColumns(new)
 
 
 def build_model_ready(df: DataFrame, target: str, base_features, vif_columns, kept_vif, categorical) -> DataFrame:
     """Date, target, base features minus target-derived and VIF-dropped,
     month_2..12, one-hot categoricals (encoded before the target filter)."""
     if target not in df.columns:
-        raise ValueError(f"target column '{target}' does not exist in dataset.")
+        raise ValueError(f"no column {target!r} to predict")
     derived = {target, "log_" + target}
     base = [c for c in base_features if c not in derived and (c not in vif_columns or c in set(kept_vif))]
     months = [f"month_{k}" for k in range(2, 13)]
@@ -102,8 +107,9 @@ def run_summary(before: DataFrame, after: DataFrame, date_col: str = "date") ->
 
 def run_preprocess(typed: DataFrame, schema: QualitySchema, iqr_columns, transition_columns,
                    corr_columns, vif_columns, base_features, log_columns, vif_threshold: float = 10.0,
-                   profile_columns=None, boxplot_columns=None) -> dict:
-    """The whole first entry point.  Returns a dict of DataFrames / small dicts."""
+                   profile_columns=None, boxplot_columns=None, encode_columns=None) -> dict:
+    """The whole first entry point.  ``encode_columns``: categoricals to one-hot
+    encode (all by default).  Returns a dict of DataFrames / small dicts."""
     target = schema.target
     typed = materialize(typed)
     report = transition_report(typed, list(dict.fromkeys(list(transition_columns) + [target])), schema.date)
@@ -118,7 +124,7 @@ def run_preprocess(typed: DataFrame, schema: QualitySchema, iqr_columns, transit
     vif_before = vif_from_gram(g, vif_columns)
     selection = select_by_vif(g, vif_columns, vif_threshold)
     model_ready = build_model_ready(featured, target, base_features, vif_columns, selection["kept_features"],
-                                    [c for c in schema.categoricals][:2])
+                                    encode_columns if encode_columns is not None else list(schema.categoricals))
     prof_cols = profile_columns or list(schema.measures) + [f"log_{c}" for c in log_columns]
     return {
         "typed": typed, "transition_report": report, "processed_full": featured, "model_ready": model_ready,

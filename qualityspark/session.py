@@ -7,7 +7,9 @@ unset (local tests).
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -44,7 +46,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="qualityspark-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)     # our own folder of this run
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
@@ -52,7 +57,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers unless their import path already
     has it (the folder is the working folder or on PYTHONPATH)."""
-    import shutil
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     seen = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     sc = spark.sparkContext
@@ -64,7 +68,8 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    """One process on one machine (``local-cluster`` has executors of their own)."""
+    return spark.sparkContext.master.split("[")[0] == "local"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -36,8 +36,7 @@ def lots_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     k = F.col("o_orderkey")
     d = F.col("o_orderdate")
-    j = orders.where(~(F.year(d).isin(1996, 1999) & (F.month(d) == 9))).join(
-        q, k == F.col("l_orderkey"))
+    j = orders.join(q, k == F.col("l_orderkey"))
     return j.select(
         k.alias("lot_id"),
         d.alias("date"),
@@ -68,6 +67,18 @@ def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: years in which the plant is taken to stand still in September
+STOP_YEARS = (1996, 1999)
+
+
+def lots_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lots, those of September in ``STOP_YEARS`` dated 30 days later: the
+    missing month that the transition feature looks for, without losing a row."""
+    d = F.col("date")
+    stop = F.year(d).isin(*STOP_YEARS) & (F.month(d) == 9)
+    return lots(spark, sf_dir).withColumn("date", F.when(stop, d + F.expr("INTERVAL 30 DAYS")).otherwise(d))
+
+
 # DuckDB / ANSI form of the same view, used by the oracle queries.
 LOTS_SQL = """
 q AS (
@@ -86,7 +97,6 @@ lots_raw AS (
          CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE dobi END AS dobi,
          CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE concat(' ', lower(o_orderpriority)) END AS tank_raw
   FROM orders JOIN q ON o_orderkey = l_orderkey
-  WHERE NOT (year(o_orderdate) IN (1996, 1999) AND month(o_orderdate) = 9)
 ),
 lots AS (
   SELECT lot_id, date, yr, ffa, car_pv, mi, target, type,
@@ -96,6 +106,10 @@ lots AS (
          CASE WHEN tank_raw IS NULL OR regexp_replace(upper(tank_raw), '\\s+', '', 'g') IN ('', 'NAN')
               THEN NULL ELSE regexp_replace(upper(tank_raw), '\\s+', '', 'g') END AS tank
   FROM lots_raw
+),
+lots_gap AS (
+  SELECT * REPLACE (CASE WHEN year(date) IN (1996, 1999) AND month(date) = 9 THEN date + INTERVAL 30 DAY ELSE date END AS date)
+  FROM lots
 )"""
 
 
