@@ -1089,6 +1089,15 @@ def q_combo_ranking(spark, sf):
                               _specs()["linear_regression"], "target", ML_QUALITY, top=3)
 
 
+@register("feed_report_decision")
+def q_feed_report_decision(spark, sf):
+    """E3 on real configurations: the decision row with the selected model's recall."""
+    from qualityspark.plans.feed_report import run_feed_report
+    g, s = _groups(), _specs()
+    return run_feed_report(ml_frame(spark, sf), "target", [g["quality_only"], g["lag_aware"]], [s["linear_regression"]],
+                           ML_QUALITY)["decision"]
+
+
 @register("perm_importance")
 def q_perm_importance(spark, sf):
     """Permutation importance over the raw source columns on test rows."""
