@@ -1091,11 +1091,12 @@ def q_combo_ranking(spark, sf):
 
 @register("feed_report_decision")
 def q_feed_report_decision(spark, sf):
-    """E3 on real configurations: the decision row with the selected model's recall."""
+    """E3 on real configurations: the decision row with the selected model's
+    recall (``monthly_rolling_model`` has the refit per month)."""
     from qualityspark.plans.feed_report import run_feed_report
     g, s = _groups(), _specs()
     return run_feed_report(ml_frame(spark, sf), "target", [g["quality_only"], g["lag_aware"]], [s["linear_regression"]],
-                           ML_QUALITY)["decision"]
+                           ML_QUALITY, monthly=False)["decision"]
 
 
 @register("perm_importance")
@@ -1125,10 +1126,8 @@ def q_blocked_model(spark, sf):
 def q_year_holdout_model(spark, sf):
     """V2/V3: refit per train year, score every other year."""
     from qualityspark.operators.models import pipeline_for, year_holdout_models
-    res = year_holdout_models(ml_frame(spark, sf), pipeline_for(_groups()["quality_only"],
-                                                                _specs()["linear_regression"], "target",
-                                                                ML_QUALITY), "target")
-    return spark.createDataFrame([r for r, _ in res])
+    pipe = pipeline_for(_groups()["quality_only"], _specs()["linear_regression"], "target", ML_QUALITY)
+    return year_holdout_models(ml_frame(spark, sf), pipe, "target")[0]
 
 
 @register("monthly_rolling_model")

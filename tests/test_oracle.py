@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle_check import compare
+from qualityspark.plans import catalog
 from qualityspark.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -25,12 +26,12 @@ def con():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     if name in NEEDS_LARGE_N:
         pytest.skip("oracle covers the n > 5000 branch only")
-    got = entry.queries()[name](spark, SF).toPandas()
-    exp = con.execute(entry.oracle_sql()[name]).df()
+    got = catalog.queries()[name](spark, SF).toPandas()
+    exp = con.execute(catalog.oracle_sql()[name]).df()
     ok, msg = compare(got, exp)
     assert ok, msg
 
