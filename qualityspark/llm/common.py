@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from qualityspark.session import materialize, ship_package
 from qualityspark.sources.tables import table
 
-__all__ = ["arrow_batches", "bit_test", "collect_bits", "components", "crc_mod", "materialize", "register",
+__all__ = ["arrow_batches", "bit_column", "bit_test", "collect_bits", "components", "crc_mod", "materialize", "register",
            "split_rows", "table",
            "REGISTRY", "ORACLE"]
 
@@ -57,20 +57,25 @@ def bit_test(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[(pos >> np.uint64(6)).astype(np.int64)] >> (pos & np.uint64(63))) & np.uint64(1) != 0
 
 
-def split_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, bits: int = 23) -> tuple[DataFrame, DataFrame]:
-    """(rows that have no key, rows that may have one with the columns of
-    ``keys`` joined on).  ``keys`` has ``__id``, ``__hash`` (xxhash64 of the text) and
-    more.  Rows are told apart by a bitmap of bounded size, so whole texts are
-    only shuffled where a key is likely."""
-    marked = keys.withColumn("__k", F.xxhash64("__id", "__hash"))
-    bitmap = collect_bits(marked, "__k", bits)
+def bit_column(keys: DataFrame, key: Column, bits: int = 23) -> Column:
+    """Whether ``key`` may be among the longs ``k`` of ``keys``: never false for
+    one that is."""
+    bitmap = collect_bits(keys, "k", bits)
 
     @F.pandas_udf("boolean")
     def maybe(k: pd.Series) -> pd.Series:
         return pd.Series(bit_test(bitmap, k.to_numpy(np.int64).view(np.uint64)))
 
+    return maybe(key)
+
+
+def split_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, bits: int = 23) -> tuple[DataFrame, DataFrame]:
+    """(rows that have no key, rows that may have one with the columns of
+    ``keys`` joined on).  ``keys`` has ``__id``, ``__hash`` (xxhash64 of the text) and
+    more.  Rows are told apart by a bitmap of bounded size, so whole texts are
+    only shuffled where a key is likely."""
+    hit = bit_column(keys.select(F.xxhash64("__id", "__hash").alias("k")), F.xxhash64("__i", "__h"), bits)
     all_rows = docs.withColumn("__i", F.col(id_col).cast("long")).withColumn("__h", F.xxhash64(text_col))
-    hit = maybe(F.xxhash64("__i", "__h"))
     rest = all_rows.where(~hit).select(*docs.columns)
     found = all_rows.where(hit).join(keys, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left")
     return rest, found.drop("__i", "__h")

@@ -50,8 +50,9 @@ U = np.uint64
 ORDERS = 3          # global token orders
 BITS = 512          # parity bitmap of up to 1024 shingles; four times as many for each four times more
 CHUNK = 2048        # classes of one list or group held together
-SAMPLE = 32         # one document in so many steers the first order
+SAMPLE = 8          # one document in so many steers the first order
 HOT_MOST = 1 << 16  # shingles moved to the end of the first order, at most
+SALT = 16
 SET_MARK = 101
 BITMAP_MARK = 77
 
@@ -188,9 +189,16 @@ def frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(tb.signed(t)), pa.array(c.astype(np.int64))], names=["t", "c"])
 
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SAMPLE)) == 0)
-    top = (some.mapInArrow(scan, "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).where("c >= 4")
-           .orderBy(F.desc("c"), "t").limit(HOT_MOST).select("t").toPandas())
-    return np.sort(top["t"].to_numpy(np.int64).view(U))
+    counts = common.materialize(some.mapInArrow(scan, "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).where("c >= 2"))
+    # the lowest count at which the list still fits; one small row per count
+    sizes = counts.groupBy(F.least("c", F.lit(10_000)).alias("c")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).collect()
+    held, least = 0, 10_001
+    for r in sizes:
+        held += r["n"]
+        if held > HOT_MOST:
+            break
+        least = r["c"]
+    return np.sort(counts.where(F.col("c") >= least).select("t").toPandas()["t"].to_numpy(np.int64).view(U))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -384,16 +392,23 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     common.arrow_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     hot = frequent_tokens(docs, n)
-    sig = common.materialize(_signatures(docs, n, percent, hot))
+    sig = common.materialize(_signatures(docs, n, percent, hot).withColumn("uid", F.monotonically_increasing_id()))
+    # a class is named by the row of its smallest document
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
     classes = common.materialize(
         sig.where("n > 0").groupBy("s1", "s2", "n")
-        .agg(F.min("doc_id").alias("min_doc"), F.first("bitmap").alias("bitmap"), F.first("lead").alias("lead"))
-        .withColumn("cid", F.monotonically_increasing_id()))
-
-    # prefix lists of at least two classes; a class enters with its smallest document
-    own = classes.select("cid", "s1", "s2", F.col("min_doc").alias("doc_id"))
-    entries = (sig.join(own, (sig.s1 == own.s1) & (sig.s2 == own.s2) & sig.doc_id.eqNullSafe(own.doc_id))
-               .select("cid", F.explode("prefix").alias("token")))
+        .agg(F.min_by("uid", first).alias("cid"), F.min("doc_id").alias("min_doc"), F.first("bitmap").alias("bitmap"),
+             F.first("lead").alias("lead"), F.count(F.lit(1)).alias("copies")))
+
+    # prefix lists of at least two classes; of equal sets only the naming row enters,
+    # which takes a join only where there may be copies
+    named_by = classes.where("copies > 1").select("s1", "s2", "cid")
+    copied = common.bit_column(named_by.select(F.xxhash64("s1", "s2").alias("k")), F.xxhash64("s1", "s2"))
+    rows = sig.where("n > 0").select("uid", "s1", "s2", "prefix")
+    held = (rows.where(copied).join(named_by, ["s1", "s2"], "left")
+            .where("cid IS NULL OR cid = uid"))
+    entries = (rows.where(~copied).select("uid", "prefix").unionByName(held.select("uid", "prefix"))
+               .select(F.col("uid").alias("cid"), F.explode("prefix").alias("token")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = entries.repartition(parts, "token")
     shared = dealt.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -441,7 +456,10 @@ def one_per_component(docs: DataFrame, **kw) -> DataFrame:
     got = common.materialize(jaccard_components(docs, **kw).where("n_shingles > 0"))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = got.groupBy("component").agg(F.min(key).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    rows = got.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("same")).join(first, "component")
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))  # a component may be huge
+    rows = (got.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("same"))
+            .withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALT)).cast("int"))
+            .join(first, ["component", "salt"]))
     kept = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("text_hash") == F.col("f.text_hash"))
     keys = common.materialize(rows.where(~kept | (F.col("same") > 1)).select(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), kept.alias("__kept")))
