@@ -16,7 +16,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: byte arrays are processed in pieces of about this many bytes
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -100,7 +100,7 @@ def string_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Row slices of ``batch`` with about ``limit`` bytes of ``column`` each
     (one long text is one slice)."""
     _, off = string_buffers(batch.column(batch.schema.get_field_index(column)))
