@@ -5,19 +5,23 @@ itself, and predicts it: position-wise embeddings of the neighbours are added,
 squashed and mapped to the vocabulary.  A document's score is the sum of the
 conditional log-probabilities of all its words.
 
-The vocabulary has the most frequent words of the whole corpus as single classes;
-all other words share ``RARE`` classes by hash.  The network is trained in numpy where the
+The vocabulary is every word of the corpus.  The most frequent words are classes of their
+own; all others share ``RARE`` classes by hash, and such a word's probability is that of its
+class times its share of the class, log(count / class count), so every word has
+its own.  The network is trained in numpy where the
 data are: in every round each partition starts from the current parameters, makes
 Adam steps over its own documents, and the parameters are averaged, weighted by
-the number of trained places.  Every document contributes every ``stride``-th
-of its places (another phase in each round), so what is learned grows with the
-corpus.
+the number of trained places.  A round takes every ``stride``-th place of each document,
+the next round the next phase; by default the rounds cover all phases, so every
+place is a target.
 
 Scale: word counts are combined per task before one shuffle; a round moves one
 parameter vector of fixed size per partition and averages it in Spark, so the
-driver holds one vector only; scoring is one pass without a shuffle.
+driver holds one vector only.  Scoring looks up the words above a count threshold (at most
+``LEXICON``) in place; all rarer ones get their counts by a join on the word, in
+which no word is hot.
 
-Defined results: NULL or word-free texts have no words, log_prob 0 and a NULL mean;
+Defined results: a word the counts have not seen is scored like one seen once; NULL or word-free texts have no words, log_prob 0 and a NULL mean;
 an empty table trains nothing and gives no rows; repeated rows count in training
 and are scored alike.  Extra columns are ignored.
 """
@@ -35,6 +39,7 @@ U = np.uint64
 WINDOW = 2
 FREQUENT = 191
 RARE = 64
+LEXICON = 1 << 18
 CLASSES = 1 + FREQUENT + RARE  # class 0 is the outside of a text
 HIDDEN = 16
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
@@ -53,10 +58,50 @@ def split(flat: np.ndarray) -> list[np.ndarray]:
 
 
 class Vocabulary:
-    def __init__(self, frequent: np.ndarray):
-        """``frequent``: word hashes, most frequent first."""
+    def __init__(self, frequent: np.ndarray, counts: DataFrame | None = None):
+        """``frequent``: word hashes, most frequent first; ``counts``: (word, n)
+        of all words."""
         self.order = np.argsort(frequent)
         self.keys = frequent[self.order]
+        self.known, self.log_n = np.empty(0, U), np.empty(0, np.float64)
+        self.class_log = np.zeros(CLASSES, np.float64)
+        self.tail = None  # (word, n) of words beyond the lexicon; those seen once add log 1
+        if counts is not None:
+            self._count(counts)
+
+    def __getstate__(self):
+        return self.__dict__ | {"tail": None}
+
+    def _count(self, counts: DataFrame) -> None:
+        sizes = {r["b"]: r["w"] for r in counts.groupBy(F.length(F.bin("n")).alias("b")).agg(F.count(F.lit(1)).alias("w")).collect()}
+        least, held = 63, 0  # words of at least 2 ** least go into the lexicon
+        while least and held + sizes.get(least, 0) <= LEXICON:
+            held += sizes.get(least, 0)
+            least -= 1
+        top = counts.where(F.col("n") >= 1 << least).toPandas()
+        words = top["word"].to_numpy(np.int64).view(U)
+        order = np.argsort(words)
+        n = top["n"].to_numpy(np.float64)[order]
+        self.known, self.log_n = words[order], np.log(n)
+        total = np.zeros(CLASSES, np.float64)
+        shared = F.shiftrightunsigned("word", 40) % RARE
+        rest = counts.where(~F.col("word").isin(tb.signed(self.keys).tolist()))
+        for r in rest.groupBy(shared.alias("c")).agg(F.sum("n").alias("n")).collect():
+            total[1 + FREQUENT + r["c"]] = r["n"]
+        self.log_n[np.isin(self.known, self.keys)] = 0.0  # a class of its own
+        self.class_log = np.log(np.maximum(total, 1))
+        if least:
+            self.tail = rest.where((F.col("n") > 1) & (F.col("n") < 1 << least))
+
+    def shares(self, words: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log(count / class count) of each word, with count 1 for words beyond the
+        lexicon; which words those are (words that are classes are not)."""
+        out = -self.class_log[cls]
+        if not len(self.known):
+            return out, cls > FREQUENT
+        at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+        found = self.known[at] == words
+        return out + np.where(found, self.log_n[at], 0.0), ~found & (cls > FREQUENT)
 
     def classes(self, words: np.ndarray) -> np.ndarray:
         out = (1 + FREQUENT + (words >> U(40)) % U(RARE)).astype(np.int64)
@@ -156,10 +201,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(scan, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, rounds: int = 2, stride: int = 8, minibatch: int = 2048) -> tuple[Vocabulary, np.ndarray]:
+def train(docs: DataFrame, rounds: int = 2, stride: int = 2, minibatch: int = 2048) -> tuple[Vocabulary, np.ndarray]:
     common.arrow_batches(docs.sparkSession)
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()
-    vocab = Vocabulary(top["word"].to_numpy(np.int64).view(U))
+    counts = common.materialize(word_counts(docs))
+    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()
+    vocab = Vocabulary(top["word"].to_numpy(np.int64).view(U), counts)
     rng = np.random.default_rng(1)
     flat = np.zeros(SIZE, np.float32)
     for part in split(flat)[0], split(flat)[2]:
@@ -215,16 +261,27 @@ def score(docs: DataFrame, model: tuple[Vocabulary, np.ndarray], id_col: str = "
         h, par = tb.WordHash(0), split(flat)
         for batch in batches:
             for part in tb.slices(batch, "text"):
-                doc, w = words_of(part.column(1), h)
+                doc, w = words_of(part.column(2), h)
                 cls = vocab.classes(w)
                 n = np.bincount(doc, minlength=part.num_rows)
-                total = np.bincount(doc, weights=log_probs(par, contexts(doc, cls), cls), minlength=part.num_rows)
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(total.astype(np.float64)), mean],
-                                                 names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+                share, beyond = vocab.shares(w, cls)
+                total = np.bincount(doc, weights=log_probs(par, contexts(doc, cls), cls) + share, minlength=part.num_rows)
+                cut = np.concatenate([[0], np.cumsum(np.bincount(doc[beyond], minlength=part.num_rows))]).astype(np.int32)
+                rare = pa.ListArray.from_arrays(pa.array(cut), pa.array(tb.signed(w[beyond])))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int64)),
+                                                  pa.array(total.astype(np.float64)), rare],
+                                                 names=["uid", "doc_id", "n_words", "log_prob", "rare"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"),
+                       F.col(text_col).alias("text"))
+    got = rows.mapInArrow(scan, "uid long, doc_id long, n_words long, log_prob double, rare array<long>")
+    if vocab.tail is not None:
+        got = common.materialize(got)
+        more = (got.select("uid", F.explode("rare").alias("word")).join(vocab.tail, "word")
+                .groupBy("uid").agg(F.sum(F.log("n")).alias("more")))
+        got = got.join(more, "uid", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    return got.select("doc_id", "n_words", "log_prob",
+                      F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
 
 
 @common.register("op3_pseudo_likelihood")

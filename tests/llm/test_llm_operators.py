@@ -386,6 +386,43 @@ def test_pseudo_likelihood_scores(spark):
     assert abs(total - got[0].log_prob) < 1e-2
 
 
+@pytest.mark.parametrize("lexicon", [1 << 18, 300, 0])
+def test_pseudo_likelihood_counts_every_word(spark, monkeypatch, lexicon):
+    monkeypatch.setattr(pseudo_likelihood, "LEXICON", lexicon)
+    rng = random.Random(17)
+    texts = [" ".join(f"c{rng.randrange(191)}" for _ in range(60)) + f" common r{i % 40} r{i % 40} only{i}" for i in range(400)]
+    docs = frame(spark, texts)
+    vocab, flat = pseudo_likelihood.train(docs)
+    more = texts + ["only1 unseen0"]
+    words = " ".join(texts).split()
+    names = sorted(set(words)) + ["unseen0"]
+    _, hashes = pseudo_likelihood.words_of(pa.array([" ".join(names)]), tb.WordHash(0))
+    code = dict(zip(names, hashes))
+    cls = dict(zip(names, vocab.classes(hashes).tolist()))
+    count, size = dict.fromkeys(names, 0), {}
+    for w in words:
+        count[w] += 1
+        size[cls[w]] = size.get(cls[w], 0) + 1
+    assert any(size[cls[w]] > count[w] > 1 for w in set(words))
+    got = {r.doc_id: r for r in pseudo_likelihood.score(frame(spark, more), (vocab, flat)).collect()}
+    for i in (0, 1, 7, 400):
+        c = vocab.classes(np.array([code[w] for w in more[i].split()], np.uint64))
+        want = pseudo_likelihood.log_probs(pseudo_likelihood.split(flat), pseudo_likelihood.contexts(np.zeros(len(c), int), c), c).sum()
+        want += sum(np.log(max(count[w], 1) / size[cls[w]]) for w in more[i].split())
+        assert abs(want - got[i].log_prob) < 1e-3 and abs(want / len(c) - got[i].mean_log_prob) < 1e-4
+
+
+def test_pseudo_likelihood_trains_every_place(spark, tmp_path, monkeypatch):
+    def noted(flat, batches):
+        seen = [int(t) for _, tgt in batches for t in tgt]
+        (tmp_path / hashlib.md5(repr(seen).encode()).hexdigest()).write_text(" ".join(map(str, seen)))
+        return flat, len(seen)
+
+    monkeypatch.setattr(pseudo_likelihood, "train_places", noted)
+    pseudo_likelihood.train(frame(spark, [" ".join(f"w{i}" for i in range(30))]).coalesce(1))
+    assert sorted(int(t) for f in tmp_path.iterdir() for t in f.read_text().split()) == list(range(1, 31))
+
+
 def test_url_filter_hosts_rules_and_propagation(spark):
     link = lambda h: f'<a href="https://{h}/x">l</a>'
     rows = [(1, "HTTP://A.Example.NET/en/1?q#f", None), (2, "x://example.net?en/", ""), (3, "http://b.example.com/de/x", link("c.info")),
