@@ -9,9 +9,9 @@ shared lines are template lines.
 
 Differencing alone is wrong on pages whose menus and adverts change from page to
 page and whose articles are copied, so the zones come first: boiler lines always
-go, shared lines go where no article element marks the text, and lines of an
-article element stay.  A page of which nothing would be left (a copy of its
-neighbour) keeps its lines.
+go, lines of an article element stay, and open lines stay unless they are shared,
+whether the page has an article element or not.  A copy of its neighbour, whose article
+and open lines are all shared, keeps its lines.
 
 Scale: the pairing shuffles line hashes only.  Pages are range-partitioned by
 (host, path) and numbered with partition offsets, so a host with a third of all
@@ -153,31 +153,24 @@ def common_lines(a: list, b: list) -> list[int]:
 
 
 def main_text(page: str | None, shared: set[int] | None = None) -> str:
-    """Article lines if there are any, else the open lines that are not shared
-    (all open lines, if all are shared)."""
-    lines = blocks(page)
-    main = [t for z, t in lines if z == "main"]
-    if not main:
-        main = [t for i, (z, t) in enumerate(lines) if z == "open" and not (shared and i in shared)]
-        main = main or [t for z, t in lines if z == "open"]
-    return " ".join(main)
+    """Article lines and the open lines that are not shared, in page order."""
+    return " ".join(t for i, (z, t) in enumerate(blocks(page)) if z == "main" or z == "open" and not (shared and i in shared))
 
 
 def _line_hashes(pages: DataFrame) -> DataFrame:
     def scan(batches):
         for batch in batches:
-            lines, is_open = [], []
+            lines, zones = [], []
             for t in batch.column(4):
                 b = blocks(t.as_py())
-                has_main = any(z == "main" for z, _ in b)
                 lines.append([int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
                               for _, x in b])
-                is_open.append([not has_main and z == "open" for z, _ in b])
+                zones.append([z for z, _ in b])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(lines, pa.list_(pa.int64())),
-                                              pa.array(is_open, pa.list_(pa.bool_()))],
-                                             names=["page_id", "hash", "host", "path", "lines", "open"])
+                                              pa.array(zones, pa.list_(pa.string()))],
+                                             names=["page_id", "hash", "host", "path", "lines", "zones"])
 
-    return pages.mapInArrow(scan, "page_id long, hash long, host string, path string, lines array<long>, open array<boolean>")
+    return pages.mapInArrow(scan, "page_id long, hash long, host string, path string, lines array<long>, zones array<string>")
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
@@ -197,8 +190,8 @@ def shared_lines(pages: DataFrame) -> DataFrame:
               .withColumn("g", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at", "part", "before"))
     side = lambda step, p: number.select((F.col("g") + step).alias("g"), F.struct("host", "path", "lines").alias(p))
     pairs = (number.join(side(1, "prev"), "g", "left").join(side(-1, "next"), "g", "left")
-             .where(F.exists("open", lambda x: x))
-             .select("page_id", "hash", "host", "path", "lines", "open", "prev", "next"))
+             .where(F.array_contains("zones", "open"))
+             .select("page_id", "hash", "host", "path", "lines", "zones", "prev", "next"))
 
     def align(batches):
         for batch in batches:
@@ -212,8 +205,9 @@ def shared_lines(pages: DataFrame) -> DataFrame:
                         if near is None or n > near[0]:
                             near = (n, other)
                 if near:
-                    cut = [i for i in common_lines(r["lines"], near[1]["lines"]) if r["open"][i]]
-                    if cut:
+                    same = [i for i in common_lines(r["lines"], near[1]["lines"]) if r["zones"][i] != "boiler"]
+                    cut = [i for i in same if r["zones"][i] == "open"]
+                    if cut and len(same) < sum(z != "boiler" for z in r["zones"]):
                         ids.append(r["page_id"])
                         hashes.append(r["hash"])
                         cuts.append(cut)

@@ -357,6 +357,16 @@ def test_extract_pairs_nearest_pages(spark):
     assert got[13].text == "Terms of use kept" and got[14].text == got[15].text == "same"
 
 
+def test_open_lines_beside_an_article(spark):
+    page = "<body><p>Site line</p><article><h2>{0}</h2></article><div>Body of {0}</div><p>Terms</p></body>"
+    rows = [(i, f"http://h.example/a/{i:03d}", page.format(f"teaser {i}")) for i in range(4)]
+    rows += [(i, f"http://copy.example/{i}", page.format("copy")) for i in (10, 11)]
+    rows.append((20, "http://single.example/x", page.format("one")))
+    got = {r.page_id: r.text for r in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == [f"teaser {i} Body of teaser {i}" for i in range(4)]
+    assert got[10] == got[11] == "Site line copy Body of copy Terms" and got[20] == "Site line one Body of one Terms"
+
+
 def test_pseudo_likelihood_scores(spark):
     rng = random.Random(7)
     subj, verb = ["cat", "dog", "bird", "fish"], ["runs", "sleeps", "eats"]
