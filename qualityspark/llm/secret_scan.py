@@ -5,9 +5,9 @@ runs).  The method adds *token* spans: other long runs of key characters that
 look random (letters and digits mixed, enough entropy).  Every candidate value
 is hashed and the hashes are counted over the whole corpus by distinct
 documents (repositories) and distinct sources (owners): a value that several
-owners carry is a widely copied example, one that stays with a few owners and
-looks live is an owner-specific credential.  A token span is added only if it is
-owner-specific; base spans always stay and carry their verdict.
+owners carry is a widely copied example, one that stays with a few owners is an
+owner-specific credential, whatever a base span's value looks like.  A token span is added
+only if it looks random and is owner-specific; base spans always stay and carry their verdict.
 
 Scale: one scan; documents without a candidate are never shuffled by value.  A
 value copied into a third of all documents is first reduced per (value, owner)
@@ -98,10 +98,8 @@ def _long_runs(column) -> np.ndarray:
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    item = "array<struct<kind int, start int, end int, value binary, live boolean>>".replace(" int", ":int").replace(
-        " binary", ":binary").replace(" boolean", ":boolean")
-    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.binary()),
-                               ("live", pa.bool_())]))
+    item = "array<struct<kind int, start int, end int, value binary>>".replace(" int", ":int").replace(" binary", ":binary")
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.binary())]))
 
     def scan(batches):
         for batch in batches:
@@ -110,7 +108,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                 found = []
                 for t, r in zip(part.column(3), runs):
                     t = t.as_py()
-                    found.append([{"kind": k, "start": s, "end": e, "live": looks_live(v),
+                    found.append([{"kind": k, "start": s, "end": e,
                                    "value": hashlib.blake2b(v.encode(), digest_size=16).digest()}
                                   for k, s, e, v in candidates(t, bool(r))] if t else [])
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (0, 1, 2, 4)), pa.array(found, kind)],
@@ -123,8 +121,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  min_owners: int = 3) -> DataFrame:
     """Per document row: uid (row number of the scan), doc_id, spans: array of
     (start, kind, end, n_docs, n_owners, verdict) sorted by start, then kind.
-    verdict: ``example`` (at least ``min_owners`` owners), ``live``
-    (owner-specific and live-looking) or ``weak``."""
+    verdict: ``example`` (at least ``min_owners`` owners) or ``live``
+    (owner-specific)."""
     common.arrow_batches(docs.sparkSession)
     rows = common.materialize(_scan(docs.select(
         F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"),
@@ -137,8 +135,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
              .groupBy("value").agg(F.count(F.lit(1)).alias("n_docs")))
     freq = owners.join(repos, "value").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     judged = (one.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALT)).cast("int")).join(freq, ["value", "salt"])
-              .withColumn("verdict", F.when(F.col("n_owners") >= min_owners, "example")
-                          .when(F.col("live"), "live").otherwise("weak"))
+              .withColumn("verdict", F.when(F.col("n_owners") >= min_owners, "example").otherwise("live"))
               .where((F.col("kind") < 3) | (F.col("verdict") == "live")))
     spans = judged.groupBy("uid").agg(F.array_sort(F.collect_list(
         F.struct("start", "kind", "end", "n_docs", "n_owners", "verdict"))).alias("spans"))
@@ -151,7 +148,7 @@ def _named(where: str = "true"):
 
 
 def redact(docs: DataFrame, mark: str = "<SECRET>", **kw) -> DataFrame:
-    """``docs`` with every owner-specific live-looking secret replaced by
+    """``docs`` with every owner-specific secret replaced by
     ``mark`` (widely copied examples stay).  Rows and columns are kept; n_chars, if
     present, follows the text."""
     spark = docs.sparkSession

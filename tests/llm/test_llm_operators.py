@@ -204,6 +204,15 @@ def test_secret_scan(spark):
     assert masked[13].text == texts[13] and masked[4].text is None and masked[0].text.startswith("é ")
 
 
+def test_short_and_plain_secrets_go_by_owners(spark):
+    own = ["password=Xk93bQ7z", "secret: hunter2hunter2", "token=abcdefghij", "api_key=1234567890", "passwd = my9test4your2K8"]
+    docs = frame(spark, [f"a {t} b" for t in own] + ["a secret=copied12 b"] * 3)
+    spans = {r.doc_id: {x.verdict for x in r.spans} for r in secret_scan.scan_secrets(docs).collect()}
+    assert [spans[i] for i in range(8)] == [{"live"}] * 5 + [{"example"}] * 3
+    got = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert [got[i] for i in range(8)] == ["a <SECRET> b"] * 5 + ["a secret=copied12 b"] * 3
+
+
 def test_secret_registered_digest(spark, tmp_path):
     frame(spark, ["secret=abcdefgh1", None]).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in secret_scan.op6(spark, str(tmp_path)).collect()}
