@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from qualityspark.llm import decontaminate, jaccard_join, language_id, packing, page_text, pseudo_likelihood, secret_scan, topk_search, toxicity, url_filter  # noqa: F401
+from qualityspark.llm import (decontaminate, fingerprints, hard_negatives, jaccard_join, language_id, packing, page_text,  # noqa: F401
+                              prefix_trie, pseudo_likelihood, secret_scan, topk_search, toxicity, url_filter)
 from qualityspark.llm.common import ORACLE, REGISTRY
 
 

@@ -11,7 +11,7 @@ from qualityspark.llm import common, packing, queries
 from test_llm_operators import SPACE, brute_components, brute_hits, brute_spans, low
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "pages", "benchmark", "labels")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -23,9 +23,9 @@ def test_query_matches_oracle(spark, name):
     assert ok, why
 
 
-def test_eleven_queries():
+def test_all_queries():
     names = sorted(queries.queries())
-    assert "pipeline" in names and [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert "pipeline" in names and [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
 
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
