@@ -45,28 +45,46 @@ HASH_BITS = ((1 << 32) - 1) << 31
 KEY = ["kd", "kz", "kh", "kn"]
 
 
+def let(value: Column, body) -> Column:
+    """``body`` over a value that is computed once.  Inside, a binary is not copied at each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _marks(data: Column, at: Column, count: Column, k: int) -> Column:
-    """Hash and position of ``count`` k-grams from byte ``at`` (0-based) on."""
-    def mark(i):
-        return F.xxhash64(F.substring(data, i + 1, F.lit(k))).bitwiseAND(F.lit(HASH_BITS)).bitwiseOR(F.lit(LAST) - i)
+    """Hash and position of the first ``count`` k-grams of ``data``, which begins at byte ``at``."""
+    end = F.lit(LAST) - at
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(F.substring(data, i + 1, F.lit(k)))
+                       .bitwiseAND(F.lit(HASH_BITS)).bitwiseOR(end - i))
+
+
+def _strides(window: int) -> list[list[int]]:
+    """Steps that widen a minimum to ``window`` values, four places at once (two first, if need be)."""
+    out, wide = [], 1
+    while wide < window:
+        many = 2 if (window // wide).bit_length() % 2 == 0 else 4
+        out.append([wide * j for j in range(1, many)])
+        wide *= many
+    return out
 
-    return F.transform(F.sequence(at, at + count - 1), mark)
+
+def _widest(marks: Column, strides: list[list[int]]) -> Column:
+    """Minimum of each value and those after it; windows at the end are cut short."""
+    if not strides:
+        return marks
+    wider = let(marks, lambda a: F.transform(a, lambda x, i: F.least(x, *[F.get(a, i + F.lit(o)) for o in strides[0]])))
+    return _widest(wider, strides[1:])
 
 
 def minima(data: Column, first: Column, last: Column, k: int = K, window: int = WINDOW, piece: int = PIECE) -> Column:
     """Distinct minima of the windows ``first..last`` (0-based) of binary ``data``, in
     window order; none if ``last`` is smaller."""
-    steps = F.array(*[F.lit(1 << b) for b in range(window.bit_length() - 1)])
-
-    def widen(a, s):
-        return F.zip_with(F.slice(a, F.lit(1), F.size(a) - s), F.slice(a, s + 1, F.size(a) - s), lambda x, y: F.least(x, y))
-
-    def part(s):
+    def part(d, s):
         windows = F.least(F.lit(piece), last - s + 1)
-        marks = _marks(data, s, windows + F.lit(window - 1), k)
-        return F.array_distinct(F.aggregate(steps, marks, widen) if window > 1 else marks)
+        span = F.substring(d, s + 1, windows + F.lit(window + k - 2))
+        marks = let(span, lambda p: _marks(p, s, windows + F.lit(window - 1), k))
+        return F.array_distinct(F.slice(_widest(marks, _strides(window)), F.lit(1), windows))
 
-    whole = F.flatten(F.transform(F.sequence(first, last, F.lit(piece)), part))
+    whole = let(data, lambda d: F.flatten(F.transform(F.sequence(first, last, F.lit(piece)), lambda s: part(d, s))))
     return F.when(last >= first, whole).otherwise(_none())
 
 
@@ -76,7 +94,7 @@ def _none() -> Column:
 
 def _few(data: Column, grams: Column, k: int) -> Column:
     """The one window of a text of fewer than ``window`` hashes."""
-    return F.when(grams > 0, F.array(F.array_min(_marks(data, F.lit(0), grams, k)))).otherwise(_none())
+    return F.when(grams > 0, F.array(F.array_min(let(data, lambda d: _marks(d, F.lit(0), grams, k))))).otherwise(_none())
 
 
 def _grams(size: Column, k: int) -> Column:
