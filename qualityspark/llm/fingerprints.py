@@ -17,8 +17,8 @@ first half are kept from the text and only those behind are made anew.
 
 Scale: equal rows are combined before the one shuffle of texts.  The neighbour
 table holds an id, a hash and a length per document; it is placed in total order
-by range partitions.  Then only the wanted start of the next text and its hashes
-move, to a frame that is already dealt by the same key.  Nothing is collected.
+by range partitions.  Texts are fingerprinted on the scan.  Then only the wanted start of the next text and its
+hashes move, to a frame that is already dealt by the same key.  Nothing is collected.
 
 Defined results: NULL text is empty; NULL ids come last (descending order).
 Documents of the same id are ordered by (hash, length) of their text; rows with the same id and the
@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from qualityspark.llm import common
 from qualityspark.operators.ordered import Ordered
 
-K = 16
-#: a power of two
-WINDOW = 32
+K = 12
+#: a power of two, or three times one
+WINDOW = 48
 #: windows that are worked on at once
 PIECE = 1 << 14
 LAST = (1 << 31) - 1
@@ -58,10 +58,10 @@ def _marks(data: Column, at: Column, count: Column, k: int) -> Column:
 
 
 def _strides(window: int) -> list[list[int]]:
-    """Steps that widen a minimum to ``window`` values, four places at once (two first, if need be)."""
+    """Steps that widen a minimum to ``window`` values, two to four places at once."""
     out, wide = [], 1
     while wide < window:
-        many = 2 if (window // wide).bit_length() % 2 == 0 else 4
+        many = next(m for m in (4, 3, 2) if window // wide % m == 0)
         out.append([wide * j for j in range(1, many)])
         wide *= many
     return out
@@ -161,23 +161,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next, and ``marks`` / ``edited_marks``
     (hash and position as longs)."""
-    rows = _documents(docs, id_col, text_col)
+    rows, cut = _documents(docs, id_col, text_col), (k, window, piece)
     near = neighbours(rows)
-    texts = rows.groupBy(*KEY).agg(F.first("text").alias("text")).join(near, KEY)
-    data = texts.withColumn("data", F.encode("text", "UTF-8")).withColumn("size", F.octet_length("data"))
-    cut = (k, window, piece)
-    sent = data.select(*[F.col(f"p_{c}").alias(c) for c in KEY], F.expr("substring(text, 1, p_kn div 2)").alias("start"),
-                       hashes(selected(F.col("data"), F.col("size"), *cut)).alias("next_hashes"))
-    j = data.select(*KEY, "text", "data", "size", "m").join(sent, KEY)
-    j = j.withColumn("half", F.expr("substring(text, 1, kn - kn div 2)"))
-    j = j.withColumn("edited", F.encode(F.concat("half", "start"), "UTF-8"))
-    # windows that end inside the first half
-    j = j.withColumn("lead", F.greatest(F.lit(0), F.octet_length("half") - F.lit(k + window - 2)))
-    j = j.withColumn("head", minima(F.col("data"), F.lit(0), F.col("lead") - 1, *cut)).select(
-        *KEY, "m", "data", "size", "edited", "lead", "head", "next_hashes")
-    known = (F.col("lead"), F.col("head"))
-    j = (j.withColumn("marks", selected(F.col("data"), F.col("size"), *cut, known))
-         .withColumn("edited_marks", selected(F.col("edited"), F.octet_length("edited"), *cut, known)))
+    own = rows.withColumn("data", F.encode("text", "UTF-8")).withColumn("half", F.expr("octet_length(substring(text, 1, kn - kn div 2))"))
+    # windows that end inside the first half stay in the edited text
+    own = own.withColumn("lead", F.greatest(F.lit(0), F.col("half") - F.lit(k + window - 2)))
+    own = own.withColumn("head", F.array_distinct(minima(F.col("data"), F.lit(0), F.col("lead") - 1, *cut)))
+    own = own.withColumn("marks", selected(F.col("data"), F.octet_length("data"), *cut, (F.col("lead"), F.col("head"))))
+    own = own.select(*KEY, F.struct("text", "marks", "lead", F.size("head").alias("kept")).alias("doc"))
+    # one column, so that both sides below read the same exchange
+    texts = own.groupBy(*KEY).agg(F.first("doc").alias("doc")).join(near, KEY)
+    sent = texts.select(*[F.col(f"p_{c}").alias(c) for c in KEY], F.expr("substring(doc.text, 1, p_kn div 2)").alias("start"),
+                        hashes(F.col("doc.marks")).alias("next_hashes"))
+    j = texts.select(*KEY, "doc", "m").join(sent, KEY)
+    j = j.select(*KEY, "m", "doc.marks", "doc.lead", F.expr("slice(doc.marks, 1, doc.kept)").alias("head"), "next_hashes",
+                 F.expr("encode(concat(substring(doc.text, 1, kn - kn div 2), start), 'UTF-8')").alias("edited"))
+    j = j.withColumn("edited_marks", selected(F.col("edited"), F.octet_length("edited"), *cut, (F.col("lead"), F.col("head"))))
     j = j.select(*KEY, "m", "marks", "edited_marks", "next_hashes", F.sha2("edited", 256).alias("edited_sha256"),
                  hashes(F.col("marks")).alias("own_hashes"), hashes(F.col("edited_marks")).alias("edited_hashes"))
     j = j.select(F.when(~F.col("kz"), F.col("kd")).alias("doc_id"), F.col("kn").cast("long").alias("n_chars"), "edited_sha256",

@@ -57,7 +57,7 @@ def rows_of():
     return rows + [(7, rows[7][1])] * 3
 
 
-@pytest.mark.parametrize("k,window,piece", [(16, 32, 1 << 14), (5, 4, 7), (8, 1, 10), (3, 8, 1)])
+@pytest.mark.parametrize("k,window,piece", [(12, 48, 1 << 14), (16, 32, 50), (5, 4, 7), (8, 1, 10), (3, 6, 1)])
 def test_fingerprints_match_brute_force(spark, k, window, piece):
     rows = rows_of()
     frame = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
