@@ -7,9 +7,10 @@ would put every row into one task, so instead:
 * **Buckets.**  Rows are range-partitioned by their full order (series, date,
   tie columns of any type), written once, and cut by position into buckets of at
   most ``max_bucket_rows`` rows (:mod:`qualityspark.operators.placement`).
-* **Bucket table.**  One row per (series, bucket) with its row count; a
-  window over this small table gives each bucket its ordinal and the number
-  of rows before it.
+* **Bucket table.**  One row per (series, bucket) with its row count.  What lies
+  before a bucket (rows, last value) is combined in a tree: buckets inside their range
+  partition, partitions among each other, so no window holds more than the
+  buckets of one partition or a row per partition.
 * **Local windows.**  Row number, lag and fills run inside buckets
   (``partitionBy(series, bucket)``); values that cross a bucket edge come
   from bucket summaries (fills) or from a *halo* of the previous k rows
@@ -25,10 +26,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qualityspark.operators.joins import join_keys
-from qualityspark.operators.placement import place
+from qualityspark.operators.placement import partition_of, place
 from qualityspark.session import materialize
 
-DEFAULT_MAX_BUCKET_ROWS = 1_000_000
+DEFAULT_MAX_BUCKET_ROWS = 20_000
 BKT = ["_b0"]
 
 
@@ -60,13 +61,19 @@ class Ordered:
         if self._buckets is None:
             self._placed = place(self._src, self.series + self.order, self.max_rows)
             bt = self._placed.groupBy(*self.series, *BKT).agg(F.count(F.lit(1)).alias("_bn"), F.min("_mid").alias("_first"))
-            w = Window.partitionBy(*self.series).orderBy(*BKT)
-            self._buckets = materialize(bt.select(
-                *self.series, *BKT, "_bn", "_first",
-                F.row_number().over(w).cast("long").alias("_bord"),
-                F.coalesce(F.sum("_bn").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-                .cast("long").alias("_boff"),
-                F.sum("_bn").over(Window.partitionBy(*self.series)).cast("long").alias("_ntot")))
+            bt = materialize(bt.withColumn("_part", partition_of(F.col("_b0"))))
+            among = Window.partitionBy(*self.series).orderBy("_part")
+            whole = Window.partitionBy(*self.series)
+            before = among.rowsBetween(Window.unboundedPreceding, -1)
+            parts = bt.groupBy(*self.series, "_part").agg(F.sum("_bn").alias("_pn"), F.count(F.lit(1)).alias("_pb")).select(
+                *self.series, "_part", F.sum("_pn").over(before).alias("_prows"), F.sum("_pb").over(before).alias("_pbkts"),
+                F.sum("_pn").over(whole).cast("long").alias("_ntot"))
+            inside = Window.partitionBy(*self.series, "_part").orderBy(*BKT)
+            rows_before = F.sum("_bn").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+            zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+            self._buckets = materialize(join_keys(bt, parts, self.series + ["_part"]).select(
+                *self.series, *BKT, "_bn", "_first", "_ntot", (zero(F.col("_pbkts")) + F.row_number().over(inside)).alias("_bord"),
+                (zero(F.col("_prows")) + zero(rows_before)).alias("_boff")))
         return self._buckets
 
     def _bucket_window(self):
@@ -108,29 +115,37 @@ class Ordered:
         summ_aggs = []
         for c in cols:
             val = self._present(c)
-            st = F.struct(val.alias("v"), F.col("_idx").alias("i"))
+            st = F.when(val.isNotNull(), F.struct(val.alias("v"), F.col("_idx").alias("i")))
             summ_aggs.append(F.max_by(st, F.when(val.isNotNull(), F.col("_idx"))).alias(f"_bl_{c}"))
             summ_aggs.append(F.min_by(st, F.when(val.isNotNull(), F.col("_idx"))).alias(f"_bf_{c}"))
         summ = ix.groupBy(*keys).agg(F.first("_bord").alias("_bord"), *summ_aggs)
-        wb = Window.partitionBy(*self.series).orderBy("_bord")
-        carry = []
-        for c in cols:
-            bl = F.when(F.col(f"_bl_{c}.v").isNotNull(), F.col(f"_bl_{c}"))
-            bf = F.when(F.col(f"_bf_{c}.v").isNotNull(), F.col(f"_bf_{c}"))
-            carry.append(F.last(bl, ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1))
-                         .alias(f"_cp_{c}"))
-            carry.append(F.first(bf, ignorenulls=True).over(wb.rowsBetween(1, Window.unboundedFollowing))
-                         .alias(f"_cn_{c}"))
-        carry_df = summ.select(*keys, *carry)
-        j = join_keys(ix, carry_df, keys)
-        w = self._bucket_window()
+        summ = materialize(summ.withColumn("_part", partition_of(F.col("_b0"))))
+        # last value before and first value after each bucket: inside its partition, else from the partitions
+        # around; every frame only grows (a frame that shrinks is evaluated anew for each row)
+        up, down = F.col("_b0"), F.col("_b0").desc()
+        picks = [pick(k, F.when(F.col(k).isNotNull(), F.col("_bord"))).alias(k)
+                 for c in cols for pick, k in ((F.max_by, f"_bl_{c}"), (F.min_by, f"_bf_{c}"))]
+        parts = summ.groupBy(*self.series, "_part").agg(*picks)
+
+        def nearest(group, order, c):
+            w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+            return F.last(c, ignorenulls=True).over(w)
+
+        among = parts.select(*self.series, "_part",
+                             *[nearest(self.series, F.col("_part"), f"_bl_{c}").alias(f"_pp_{c}") for c in cols],
+                             *[nearest(self.series, F.col("_part").desc(), f"_bf_{c}").alias(f"_pn_{c}") for c in cols])
+        group = self.series + ["_part"]
+        carry = join_keys(summ, among, group).select(
+            *keys, *[F.coalesce(nearest(group, up, f"_bl_{c}"), F.col(f"_pp_{c}")).alias(f"_cp_{c}") for c in cols],
+            *[F.coalesce(nearest(group, down, f"_bf_{c}"), F.col(f"_pn_{c}")).alias(f"_cn_{c}") for c in cols])
+        j = join_keys(ix, carry, keys)
+        grow = lambda order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        forward, backward = grow(F.col("_idx")), grow(F.col("_idx").desc())
         out = {}
         for c in cols:
             st = F.when(self._present(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("_idx").alias("i")))
-            lp = F.last(st, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-            ln = F.first(st, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-            out[f"_p_{c}"] = F.coalesce(lp, F.col(f"_cp_{c}"))
-            out[f"_n_{c}"] = F.coalesce(ln, F.col(f"_cn_{c}"))
+            out[f"_p_{c}"] = F.coalesce(F.last(st, ignorenulls=True).over(forward), F.col(f"_cp_{c}"))
+            out[f"_n_{c}"] = F.coalesce(F.last(st, ignorenulls=True).over(backward), F.col(f"_cn_{c}"))
         return j.withColumns(out).drop(*[f"_cp_{c}" for c in cols], *[f"_cn_{c}" for c in cols])
 
     def interpolate(self, cols: Sequence[str]) -> DataFrame:

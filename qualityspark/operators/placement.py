@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qualityspark.session import materialize
@@ -27,3 +27,8 @@ def place(df: DataFrame, order: Sequence[str], limit: int, bucket: str = "_b0")
                        .withColumn("_mid", F.monotonically_increasing_id()))
     at = F.col("_mid").bitwiseAND(F.lit(_LOCAL))
     return rows.withColumn(bucket, F.col("_mid") - at + F.floor(at / F.lit(int(limit))).cast("long"))
+
+
+def partition_of(bucket: Column) -> Column:
+    """Number of the range partition that a bucket (or a ``_mid``) lies in."""
+    return F.shiftright(bucket, 33)

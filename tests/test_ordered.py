@@ -127,3 +127,36 @@ def test_lag_without_date_uses_order_column(spark, max_rows):
         .select("row_pos", "y_lag1").toPandas().set_index("row_pos").sort_index()
     exp = pd.Series(y, index=pos).sort_index().shift(1)
     np.testing.assert_allclose(got["y_lag1"].astype(float), exp.values)
+
+
+def test_fill_frames_only_grow_and_time_is_linear(spark):
+    """No row-level frame ends in unbounded following, and twice the rows in one bucket
+    do not take four times as long."""
+    import time
+
+    def frame(n):
+        return spark.range(n).selectExpr("id", "timestamp'2024-01-01' + make_dt_interval(0, 0, id) AS date",
+                                         "CASE WHEN id % 3 = 0 THEN cast(id AS double) END AS y", "CASE WHEN id % 4 = 1 THEN 'a' END AS c")
+
+    def run(n):
+        t = time.time()
+        o = Ordered(frame(n), "date", ["id"], max_bucket_rows=1_000_000)
+        out = o.interpolate(["y"])
+        assert out.agg(F.sum("y")).first()[0] > 0
+        assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+        return time.time() - t
+
+    run(2_000)
+    assert run(60_000) < 4 * max(run(30_000), 2.0)
+
+
+@pytest.mark.parametrize("max_rows", [3, 1_000_000])
+def test_carry_over_empty_buckets_and_partitions(spark, max_rows):
+    """Long runs of missing values cross buckets and range partitions, per series."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"id": np.arange(400), "y": np.where(rng.random(400) < 0.02, rng.normal(size=400), np.nan), "s": np.arange(400) % 2})
+    pdf.loc[150:320, "y"] = np.nan
+    sdf = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "id long, y double, s long").repartition(7)
+    got = Ordered(sdf, None, ["id"], ["s"], max_bucket_rows=max_rows).interpolate(["y"]).select("id", "y").toPandas().set_index("id")["y"]
+    want = pd.concat([g.set_index("id")["y"].interpolate(limit_direction="both") for _, g in pdf.groupby("s")]).sort_index()
+    assert np.allclose(got.sort_index(), want)
