@@ -18,7 +18,10 @@ Defined results: vectors that are NULL or hold a NULL or non-finite component ta
 part; a vector is compared with those of its own length; rows with the query's
 id are not its candidates; of rows with the same id and the same vector as query one
 is kept; a NULL id takes no part.  Fewer than k candidates are all returned.
-Whole components are limited to +-2**25, so that sums fit a long.  Extra columns are ignored.
+A vector with a component of more than 2**30 / sqrt(length) is large: its scores may leave a long, so pairs with
+one are scored in Python integers in a pass of their own (the best k a tile), ranked exactly, and
+merged; a score beyond a long is shown as the nearest long.  A component that leaves the
+doubles when it is scaled counts as not finite.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from qualityspark.llm import common
+from qualityspark.llm import common, exact
 
 QUERY_BLOCK = 512
 CANDIDATE_BLOCK = 2048
@@ -36,12 +39,11 @@ BINS = 512
 
 
 def _whole(rows: DataFrame, scale: int) -> DataFrame:
-    v = F.col("embedding")
-    x = F.transform(v, lambda c: c.cast("double"))
-    bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    limit = float(1 << 25)
-    q = F.transform(x, lambda c: F.least(F.lit(limit), F.greatest(F.lit(-limit), F.floor(c * F.lit(float(scale))).cast("double"))))
-    return rows.where(v.isNotNull() & F.col("vec_id").isNotNull()).where(~bad).select("vec_id", q.alias("v"))
+    """(vec_id, v, large) of the rows that take part."""
+    ok = rows.where(exact.usable(F.col("embedding"), scale) & F.col("vec_id").isNotNull())
+    ok = ok.select("vec_id", exact.whole(F.col("embedding"), scale).alias("v"))
+    limit = F.lit(float(1 << 30)) / F.sqrt(F.greatest(F.size("v"), F.lit(1)))
+    return ok.withColumn("large", F.exists("v", lambda c: F.abs(c) > limit))
 
 
 def _blocks(rows: DataFrame, size: int, prefix: str) -> DataFrame:
@@ -96,15 +98,71 @@ def top_k(rows: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) ->
     vectors = common.materialize(_whole(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), scale))
     queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).distinct()
     # a query row's own key: the same id may stand for several vectors
-    queries = common.materialize(queries.withColumn("qid", F.monotonically_increasing_id()))
+    all_queries = common.materialize(queries.withColumn("qid", F.monotonically_increasing_id()))
+    ids = all_queries.select("qid", F.col("vec_id").alias("query_id"))
+    kept = _ordinary(all_queries.where("NOT large"), vectors.where("NOT large"), k).withColumn("big", F.lit(None).cast("string"))
+    if not vectors.where("large").isEmpty():
+        kept = kept.unionByName(_large(all_queries, vectors, k))
+    common.arrow_batches(spark)
+    order = W.partitionBy("qid").orderBy(F.desc("score"), F.desc("big"), "vec_id")
+    return (kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).join(ids, "qid")
+            .select("query_id", "rank", "vec_id", "score"))
+
+
+def _large(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The best k of every tile of pairs with a large vector on either side."""
+    spark = queries.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def tile_rows(batches):
+        for row in _rows(batches):
+            q, own, c = (np.frombuffer(row[x], np.int64) for x in ("q_ids", "own", "c_ids"))
+            a, b = exact.pair(np.frombuffer(row["q_mat"], np.float64).reshape(len(q), row["dim"]),
+                              np.frombuffer(row["c_mat"], np.float64).reshape(len(c), row["dim"]))
+            out = []
+            for i in range(len(q)):
+                score = b @ a[i] if row["dim"] else np.zeros(len(c))
+                best = sorted({(-int(s), int(x)) for s, x in zip(score, c) if x != own[i]})[:k]
+                out += [(int(q[i]), x, -s) for s, x in best]
+            shown, big = exact.shown([r[2] for r in out])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()),
+                                              pa.array(shown, pa.int64()), pa.array(big, pa.string())], names=["qid", "vec_id", "score", "big"])
+
+    def pairs(q, c):
+        own = q.select("qid", "vec_id")
+        qb = _blocks(q.select("qid", "v"), 64, "q").withColumn("b", F.monotonically_increasing_id())
+        qb = common.materialize(qb)
+        of = _members(qb.withColumnRenamed("b", "qblock")).join(own, "qid").groupBy("qblock").agg(
+            F.map_from_entries(F.collect_list(F.struct("qid", "vec_id"))).alias("m"))  # a block's queries
+        cb = common.materialize(_blocks(c.select("vec_id", "v"), 256, "c").withColumn("g", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")))
+
+        def with_own(batches):
+            for row in _rows(batches):
+                m = dict(row["m"])
+                row["own"] = np.array([m[x] for x in np.frombuffer(row["q_ids"], np.int64).tolist()], np.int64).tobytes()
+                yield pa.RecordBatch.from_pylist([{x: row[x] for x in ("dim", "q_ids", "q_mat", "own")}],
+                                                 schema=pa.schema([("dim", pa.int32()), ("q_ids", pa.binary()), ("q_mat", pa.binary()), ("own", pa.binary())]))
+
+        known = qb.join(of, F.col("b") == F.col("qblock")).select("dim", "q_ids", "q_mat", "m")
+        known = common.materialize(known.mapInArrow(with_own, "dim int, q_ids binary, q_mat binary, own binary"))
+        known = known.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        return known.join(cb, ["g", "dim"]).drop("g").mapInArrow(tile_rows, "qid long, vec_id long, score long, big string")
+
+    got = pairs(queries, vectors.where("large")).unionByName(pairs(queries.where("large"), vectors.where("NOT large")))
+    return common.materialize(got)
+
+
+def _ordinary(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(qid, vec_id, score): the best k of every query, none of the vectors being large."""
+    spark = vectors.sparkSession
+    common.arrow_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     qb = common.materialize(_blocks(queries.select("qid", "v").coalesce(max(1, parts // 4)), QUERY_BLOCK, "q")
                             .withColumn("qblock", F.monotonically_increasing_id()))
-    cb = common.materialize(_blocks(vectors, CANDIDATE_BLOCK, "c").withColumn("cblock", F.monotonically_increasing_id()))
+    cb = common.materialize(_blocks(vectors.select("vec_id", "v"), CANDIDATE_BLOCK, "c").withColumn("cblock", F.monotonically_increasing_id()))
     common.arrow_batches(spark, 4)  # a row is a tile from here on
     # tiles: every query block with every candidate block of its dimension
     pairs = common.materialize(qb.select("dim", "qblock").join(cb.select("dim", "cblock"), "dim"))
-    ids = queries.select("qid", F.col("vec_id").alias("query_id"))
 
     def tiles(state: DataFrame | None) -> DataFrame:
         """Tiles with the ids and, from the second pass on, the ranges of their queries."""
@@ -139,11 +197,7 @@ def top_k(rows: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) ->
             break
         width //= BINS
 
-    kept = common.materialize(_keep(tiles(_state(own, found)), k))
-    common.arrow_batches(spark)
-    order = W.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    return (kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).join(ids, "qid")
-            .select("query_id", "rank", "vec_id", "score"))
+    return common.materialize(_keep(tiles(_state(own, found)), k))
 
 
 def _members(qb: DataFrame) -> DataFrame:
