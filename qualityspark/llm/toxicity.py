@@ -6,9 +6,11 @@ informative Dirichlet prior (the unit's share of both classes), and its z-score.
 A word scores by its most specific significant unit; all other words score a
 small negative constant.  One linear scan finds every maximal-scoring segment
 (no prefix or suffix of it scores less than zero, disjoint, none can be
-extended).  Scores of segments of clean text follow an extreme-value law:
-``E = K n exp(-lambda s)`` with lambda and K fitted on clean documents.  A
-document aggregates its significant segments into a calibrated probability.
+extended).  Scores of segments of clean text follow an extreme-value law: n words hold
+``E = K n exp(-lambda s)`` segments of score s or more on average, with lambda and K fitted on
+clean documents.  For each of its segments a document has r that score at least as high, and the
+Poisson probability of r or more; the least of these is its significance, so every segment counts,
+and more passages of a kind never weaken it.  A logistic curve turns it into a probability.
 
 Scale: the classifier is fitted on at most about ``per_class`` labelled documents of
 each class (whole texts).  Their units are counted in Spark; only units beyond the
@@ -23,6 +25,8 @@ Extra columns of either table are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from qualityspark.llm import common, textbytes as tb
 
 U = np.uint64
+LOG_FACTORIAL = np.vectorize(lambda r: math.lgamma(r + 1), otypes=[float])
 #: bytes of a word's prefixes used as back-off units, longest first
 PREFIXES = (6, 5, 4)
 LEXICON = 1 << 15
@@ -92,35 +97,44 @@ class Model:
             out = np.where(np.isnan(out) & (self.keys[at] == u), self.weights[at], out)
         return out
 
-    def evidence(self, column, h) -> tuple[np.ndarray, np.ndarray, list[list]]:
-        """Per text: number of words, best segment score, its segments."""
+    def evidence(self, column, h) -> tuple[np.ndarray, list[list]]:
+        """Per text: number of words, its segments."""
         doc, units, _, _ = _units(column, h)
         w = self.weigh(units)
         count = np.bincount(doc, minlength=len(column))
         first = np.concatenate([[0], np.cumsum(count)])
         hit = np.flatnonzero(w > 0)
         cut = np.searchsorted(doc[hit], np.arange(len(column) + 1))
-        best, segs = np.zeros(len(column)), [[] for _ in range(len(column))]
+        segs = [[] for _ in range(len(column))]
         for i in np.flatnonzero(np.diff(cut)):
             p = hit[cut[i]:cut[i + 1]]
             segs[i] = segments(w[p], p - first[i], OTHER, int(count[i]))
-            best[i] = sum(sorted((x[2] for x in segs[i]), reverse=True)[:5])
-        return count, best, segs
-
-    def surprise(self, n: np.ndarray, s: np.ndarray) -> np.ndarray:
-        """-log10 of the extreme-value p-value of the aggregated score."""
-        e = self.k * np.maximum(n, 1) * np.exp(-self.lam * np.minimum(s, 600))
-        p = -np.expm1(-e)
-        return np.where(s > 0, np.minimum(-np.log10(np.maximum(p, 1e-12)), 12), 0.0)
-
-    def probability(self, n: np.ndarray, s: np.ndarray) -> np.ndarray:
+        return count, segs
+
+    def surprise(self, n: float, scores) -> float:
+        """-log10 of the least probability, over the segments of a text of ``n`` words, that as many
+        score at least as high (0: no segment; 12 at most)."""
+        s = np.sort(np.asarray(scores, np.float64))[::-1]
+        if not len(s):
+            return 0.0
+        r = np.arange(1, len(s) + 1)
+        e = self.k * max(n, 1) * np.exp(-self.lam * np.minimum(s, 600)) + 1e-300
+        fewer = e < r  # else r or more are no surprise
+        tail = -e + r * np.log(e) - LOG_FACTORIAL(r) - np.log1p(-np.where(fewer, e / (r + 1), 0))
+        logs = np.where(fewer, np.minimum(tail, 0), 0.0)
+        logs[0] = np.log(max(-np.expm1(-e[0]), 1e-300))  # one segment: exact
+        return float(min(-logs.min() / np.log(10), 12))
+
+    def probability(self, n: np.ndarray, scores: list) -> np.ndarray:
         if self.b is None:
             return np.zeros(len(n))
-        return 1 / (1 + np.exp(-np.clip(self.a + self.b * self.surprise(n, s), -30, 30)))
+        z = np.array([self.surprise(a, s) for a, s in zip(n, scores)])
+        return 1 / (1 + np.exp(-np.clip(self.a + self.b * z, -30, 30)))
 
-    def calibrate(self, n: np.ndarray, s: np.ndarray, y: np.ndarray, hits: np.ndarray) -> None:
-        """``hits``: scores of all lexicon hits in the clean texts."""
+    def calibrate(self, n: np.ndarray, scores: list, y: np.ndarray) -> None:
+        """Fit on the words, segment scores and labels of the texts."""
         clean, words = y == 0, max(1.0, float(n[y == 0].sum()))
+        hits = np.concatenate([*(np.asarray(s, np.float64) for s, c in zip(scores, clean) if c), np.empty(0)])
         if clean.all() or not clean.any():
             return
         # lambda: the positive root of E[exp(lambda * word score)] = 1 on clean text
@@ -130,8 +144,10 @@ class Model:
             rise = np.exp(np.minimum(mid * hits, 600)).sum() / words + (1 - len(hits) / words) * np.exp(mid * OTHER)
             lo, hi = (mid, hi) if rise < 1 else (lo, mid)
         self.lam = lo
-        self.k = float(np.clip((np.exp(np.minimum(self.lam * s[clean], 50))[s[clean] > 0].sum() + 1) / words, 1e-6, 10))
-        z = self.surprise(n, s)
+        # K: the law must not undercount the clean segments at their upper quantiles
+        at = np.quantile(hits, [0.5, 0.75, 0.9]) if len(hits) else np.empty(0)
+        self.k = float(np.clip(max([((hits >= q).sum() + 1) * np.exp(min(self.lam * q, 50)) / words for q in at], default=1 / words), 1e-6, 10))
+        z = np.array([self.surprise(a, s) for a, s in zip(n, scores)])
         a, b = 0.0, 0.1  # logistic regression on one feature: Newton steps with a small ridge
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a + b * z, -30, 30)))
@@ -193,15 +209,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, lexicon: in
         h = tb.WordHash(0)
         for batch in batches:
             for piece in tb.slices(batch, "text"):
-                n, s, segs = model.evidence(piece.column(1), h)
+                n, segs = model.evidence(piece.column(1), h)
                 flat = [np.array([x[2] for x in g], np.float64) for g in segs]
-                yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64)), pa.array(s), piece.column(2),
-                                                  tb.ragged(flat, np.float64)], names=["n", "s", "toxic", "segs"])
+                yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64)), piece.column(2), tb.ragged(flat, np.float64)], names=["n", "toxic", "segs"])
 
-    seen = text.mapInArrow(measure, "n long, s double, toxic int, segs array<double>").toPandas()
-    clean = seen.loc[seen["toxic"] == 0, "segs"]
-    model.calibrate(seen["n"].to_numpy(np.float64), seen["s"].to_numpy(np.float64), seen["toxic"].to_numpy(np.float64),
-                    np.concatenate([*map(np.asarray, clean), np.empty(0)]).astype(np.float64))
+    seen = text.mapInArrow(measure, "n long, toxic int, segs array<double>").toPandas()
+    model.calibrate(seen["n"].to_numpy(np.float64), list(seen["segs"]), seen["toxic"].to_numpy(np.float64))
     return model
 
 
@@ -215,10 +228,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         h = tb.WordHash(0)
         for batch in batches:
             for piece in tb.slices(batch, "text"):
-                n, s, segs = model.evidence(piece.column(1), h)
+                n, segs = model.evidence(piece.column(1), h)
+                scores = [[x[2] for x in g] for g in segs]
                 found = pa.array([[{"first": a, "last": b, "score": x} for a, b, x in g] for g in segs], kind)
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n.astype(np.int64)),
-                                                  pa.array(model.probability(n, s)), pa.array(s), found],
+                                                  pa.array(model.probability(n, scores)), pa.array([float(sum(x)) for x in scores], pa.float64()), found],
                                                  names=["doc_id", "n_words", "score", "evidence", "segments"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
