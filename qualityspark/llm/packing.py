@@ -11,10 +11,14 @@ Longer documents are cut into pieces; full pieces fill a bin alone, the rest is
 packed like a short document.  Every document takes one token more than it has
 words (its end mark), so documents without words are packed too.
 
+The duplicate cluster is the value of ``cluster_col`` if one is named (for example the components
+of a near-duplicate join), else equality of the word sequence.
+
 Scale: one scan measures all documents (words and a 128-bit hash of the
-normalised text, the duplicate cluster).  Best-fit is then run on shards of about
-``SHARD`` documents, dealt by a hash of the row, so a hot source or cluster is
-spread evenly; a shard holds sizes and ids only, never texts.
+normalised text).  Best-fit is then run on shards of about
+``SHARD`` documents, dealt by a hash of the measured values and a copy number, so a hot source or cluster is
+spread evenly and the bins do not depend on how the rows lie in files; a shard holds sizes and ids
+only, never texts.
 
 Defined results: NULL text has no words; a NULL source conflicts with nothing;
 rows without words are in no duplicate cluster; repeated rows are packed each, in
@@ -39,7 +43,7 @@ OUT = "bin_id long, slot int, doc_id long, source string, piece int, start_token
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, n_tokens, cluster) per row; cluster is NULL without words."""
+    """(doc_id, source, n_tokens, cluster, given) per row of (doc_id, source, text, given); cluster is NULL without words."""
     def scan(batches):
         h = tb.WordHash(0)
         for batch in batches:
@@ -59,10 +63,10 @@ def measure(docs: DataFrame) -> DataFrame:
                     both.append(c[first[1:]] - c[first[:-1]])
                 cluster = [f"{a:016x}{b:016x}" if m else None for a, b, m in zip(*both, count)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(tokens.astype(np.int64)),
-                                                  pa.array(cluster, pa.string())],
-                                                 names=["doc_id", "source", "n_tokens", "cluster"])
+                                                  pa.array(cluster, pa.string()), part.column(3)],
+                                                 names=["doc_id", "source", "n_tokens", "cluster", "given"])
 
-    return docs.mapInArrow(scan, "doc_id long, source string, n_tokens long, cluster string")
+    return docs.mapInArrow(scan, "doc_id long, source string, n_tokens long, cluster string, given string")
 
 
 def best_fit(items: list[tuple[int, int, int]], capacity: int) -> list[int]:
@@ -102,7 +106,7 @@ def _bits(values: pd.Series, shared_only: bool) -> list[int]:
 
 def pack_shard(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """Packs one shard; bins are numbered from 0."""
-    rows = rows.sort_values(["n_tokens", "doc_id", "uid"], ascending=[False, True, True], ignore_index=True)
+    rows = rows.sort_values(["n_tokens", "doc_id", "source", "cluster", "copy"], ascending=[False, True, True, True, True], ignore_index=True)
     n = rows["n_tokens"].to_numpy(np.int64)
     full, rest = n // capacity, n % capacity
     of = np.repeat(np.arange(len(rows)), full)
@@ -123,12 +127,19 @@ def pack_shard(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 
 def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text",
-         source_col: str = "source", shard: int = SHARD) -> DataFrame:
+         source_col: str = "source", shard: int = SHARD, cluster_col: str | None = None) -> DataFrame:
     """Rows of (bin_id, slot, doc_id, source, piece, start_token, n_tokens)."""
     common.arrow_batches(docs.sparkSession)
-    sizes = common.materialize(measure(docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        F.col(text_col).alias("text"))).withColumn("uid", F.monotonically_increasing_id()))
+    given = F.col(cluster_col).cast("string") if cluster_col else F.lit(None).cast("string")
+    sizes = measure(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+                                F.col(text_col).alias("text"), given.alias("given")))
+    if cluster_col:
+        sizes = sizes.withColumn("cluster", F.col("given"))
+    values = ["doc_id", "source", "n_tokens", "cluster"]
+    # equal rows are counted and numbered, so that they are dealt apart on any layout
+    sizes = sizes.groupBy(*values).agg(F.count(F.lit(1)).alias("c")).select(
+        *values, F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("copy"))
+    sizes = common.materialize(sizes)
     shards = max(1, -(-sizes.count() // shard))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -136,7 +147,7 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
         got["bin_id"] += int(key[0]) << 32
         return got
 
-    return (sizes.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)))
+    return (sizes.withColumn("shard", F.pmod(F.xxhash64(*values, "copy"), F.lit(shards)))
             .groupBy("shard").applyInPandas(run, OUT))
 
 

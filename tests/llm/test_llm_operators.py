@@ -252,6 +252,16 @@ def test_packing_frame(spark, corpus):
     assert packing.pack(docs.where("false")).count() == 0
 
 
+def test_packing_layout_and_given_clusters(spark, corpus):
+    """Bins are the same on any layout, equal rows included; clusters may be given."""
+    docs = frame(spark, corpus + [(3, corpus[3])] * 5)
+    bins = [sorted(map(tuple, packing.pack(docs.repartition(k), capacity=128, shard=16).collect()), key=str) for k in (1, 7)]
+    assert bins[0] == bins[1]
+    near = spark.createDataFrame([(i, "word%d a b" % i, None, "same") for i in range(12)], "doc_id long, text string, source string, c string")
+    assert packing.pack(near).toPandas()["bin_id"].nunique() == 1
+    assert packing.pack(near, cluster_col="c").toPandas()["bin_id"].nunique() == 12
+
+
 def test_toxicity_segments_are_maximal():
     rng = random.Random(8)
 
@@ -274,6 +284,22 @@ def test_toxicity_segments_are_maximal():
         assert [(a, b, round(float(s), 6)) for a, b, s in got] == brute(x)
 
 
+def test_toxicity_counts_every_segment():
+    """More passages of a kind in a text that is longer in proportion never weaken it, nor does one more passage."""
+    m = toxicity.Model()
+    m.lam, m.k, m.a, m.b = 0.8, 0.05, -3.0, 1.5
+    p = [m.probability(np.array([60.0 * r]), [[4.5] * r])[0] for r in (1, 2, 5, 6, 20, 100, 1000)]
+    assert p == sorted(p) and p[-1] > 0.9 > p[0]
+    base = m.surprise(500, [6.0, 3.0, 2.0])
+    assert m.surprise(500, [6.0, 3.0, 2.0, 2.0]) >= base and m.surprise(500, [7.0, 3.0, 2.0]) >= base and m.surprise(500, []) == 0
+    rng = np.random.default_rng(1)
+    e, many = 3.0, rng.poisson(3.0, 200_000)  # the tail against draws
+    m.k, m.lam = e / 100 * np.exp(0.5 * 4), 0.5
+    for r in (5, 8):
+        one = m.surprise(100, [4.0] * r)
+        assert abs(10 ** -one / (many >= r).mean() - 1) < 0.25
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(9)
     clean = ["w%d" % i for i in range(300)]
@@ -302,14 +328,16 @@ def test_topk_matches_brute_force(spark):
     rows += [(int(i), [1.0] * 8) for i in range(300, 420)]  # a hot vector: ties by id
     rows += [(500, None), (501, [1.0, None] + [0.0] * 6), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (504, [0.5, 0.25]), (600, [1.0, 2.0]),
              (700, []), (701, []), (40, rows[40][1]), (800, [1e30] * 8)]
+    rows += [(810 + i, [float(x) * 1e5 for x in rng.normal(0, 1, 8)]) for i in range(20)] + [(820, [-1e30] * 8), (840, [3e15] + [2.0] * 7)]
     df = spark.createDataFrame([(*r, "q") for r in rows], "vec_id long, embedding array<float>, qid string")
-    limit = float(1 << 25)
-    good = [(i, [min(limit, max(-limit, np.floor(np.float64(np.float32(x)) * 1024))) for x in v]) for i, v in rows
+    good = [(i, [np.floor(np.float64(np.float32(x)) * 1024) for x in v]) for i, v in rows
             if v is not None and all(x is not None and np.isfinite(np.float32(x)) for x in v)]
     want = []
     for q, a in {(q, tuple(v)) for q, v in good if q % 20 == 0}:
         s = sorted((-sum(int(x) * int(y) for x, y in zip(a, b)), c) for c, b in good if c != q and len(b) == len(a))
-        want += [(q, i + 1, c, -t) for i, (t, c) in enumerate(s[:10])]
+        s = sorted(set(s))
+        want += [(q, i + 1, c, min(2 ** 63 - 1, max(-2 ** 63, -t))) for i, (t, c) in enumerate(s[:10])]
+    assert max(r[3] for r in want) == 2 ** 63 - 1
     got = topk_search.top_k(df, k=10, every=20)
     assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == sorted(want)
 
@@ -474,3 +502,19 @@ def test_word_primitives_match_regex():
     assert h[-1] == h[-2] and len(np.unique(h)) == len({lowered[a:b].tobytes() for a, b in zip(s, e)})
 
 
+
+
+def test_url_filter_settles_along_a_chain(spark):
+    """Distrust falls along h1 -> ... and reaches every host behind a blocked one; masses equal a long iteration."""
+    n = 14
+    link = lambda h: f'<a href="http://{h}/">l</a>'
+    rows = [(0, "http://bad.net/", None)] + [(i, f"http://h{i}.info/", link("bad.net" if i == 1 else f"h{i - 1}.info")) for i in range(1, n)]
+    rows += [(100, "http://ok.org/fr/", link("good.info")), (101, "http://good.info/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge(pages).collect()}
+    mass = [0.15 * 0.85 ** i for i in range(n)]  # distrust travels from a host to whoever links to it
+    mass = [m / sum(mass) for m in mass]
+    for i in range(n):
+        assert abs(float(got[i].distrust) / url_filter.MASS - mass[i]) < 1e-5
+    assert [got[i].verdict for i in range(1, n)] == ["block" if m >= 1 / len(rows) else "allow" for m in mass[1:]]
+    assert got[1].verdict == "block" and got[n - 1].verdict == "allow"
