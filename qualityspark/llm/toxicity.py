@@ -42,6 +42,8 @@ LEXICON = 1 << 15
 PRIOR = 20.0
 SIGNIFICANT = 3.2
 OTHER = -0.25
+#: segments of a clean text expected for each one that the law of all clean texts gives it
+CLUSTERS = 3.0
 
 
 def _units(column, h) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
@@ -113,7 +115,7 @@ class Model:
 
     def surprise(self, n: float, scores) -> float:
         """-log10 of the least probability, over the segments of a text of ``n`` words, that as many
-        score at least as high (0: no segment; 12 at most)."""
+        score at least as high (0: no segment; 40 at most)."""
         s = np.sort(np.asarray(scores, np.float64))[::-1]
         if not len(s):
             return 0.0
@@ -123,7 +125,7 @@ class Model:
         tail = -e + r * np.log(e) - LOG_FACTORIAL(r) - np.log1p(-np.where(fewer, e / (r + 1), 0))
         logs = np.where(fewer, np.minimum(tail, 0), 0.0)
         logs[0] = np.log(max(-np.expm1(-e[0]), 1e-300))  # one segment: exact
-        return float(min(-logs.min() / np.log(10), 12))
+        return float(min(-logs.min() / np.log(10), 40))
 
     def probability(self, n: np.ndarray, scores: list) -> np.ndarray:
         if self.b is None:
@@ -137,16 +139,11 @@ class Model:
         hits = np.concatenate([*(np.asarray(s, np.float64) for s, c in zip(scores, clean) if c), np.empty(0)])
         if clean.all() or not clean.any():
             return
-        # lambda: the positive root of E[exp(lambda * word score)] = 1 on clean text
-        lo, hi = 0.01, 5.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            rise = np.exp(np.minimum(mid * hits, 600)).sum() / words + (1 - len(hits) / words) * np.exp(mid * OTHER)
-            lo, hi = (mid, hi) if rise < 1 else (lo, mid)
-        self.lam = lo
-        # K: the law must not undercount the clean segments at their upper quantiles
-        at = np.quantile(hits, [0.5, 0.75, 0.9]) if len(hits) else np.empty(0)
-        self.k = float(np.clip(max([((hits >= q).sum() + 1) * np.exp(min(self.lam * q, 50)) / words for q in at], default=1 / words), 1e-6, 10))
+        # exponential law of the clean segments above their median; clean texts differ, so theirs come in clusters
+        s0 = float(np.median(hits)) if len(hits) else 0.0
+        beyond = hits[hits > s0] - s0
+        self.lam = float(np.clip(1 / max(beyond.mean(), 1e-6), 0.05, 20)) if len(beyond) else 1.0
+        self.k = float(CLUSTERS * max(len(beyond), 1) * np.exp(min(self.lam * s0, 50)) / words)
         z = np.array([self.surprise(a, s) for a, s in zip(n, scores)])
         a, b = 0.0, 0.1  # logistic regression on one feature: Newton steps with a small ridge
         for _ in range(50):
