@@ -18,9 +18,9 @@ rows, so neither holds at scale.  Instead:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qualityspark.operators.joins import join_keys
@@ -93,6 +93,46 @@ def value_at_rank(cum: DataFrame, keys, value: str, targets: DataFrame) -> DataF
     ).drop("_b1", "_w", "_before")
 
 
+SELECT_BITS = 16
+
+
+def values_at_ranks(df: DataFrame, key: Column, ranks: Callable[[int], Sequence[int]]) -> tuple[int, list[int]]:
+    """(number of rows, the 0-based rank's value of the long ``key`` for each of ``ranks(rows)``;
+    None outside the rows).  Histogram selection: a pass counts the keys by their top 16 bits, the
+    next by the next 16 bits of the keys that begin like a wanted one, until a prefix holds one value.
+    Counts are combined before the shuffle; a pass gives at most ranks x 2**16 rows, of which one a
+    rank reaches the driver.  Rows never move."""
+    keyed = df.select(key.cast("long").alias("_key")).where("_key IS NOT NULL")
+    n, wanted, found = None, None, {}
+    for shift in range(64 - SELECT_BITS, -1, -SELECT_BITS):
+        prefix = F.shiftright("_key", shift + SELECT_BITS) if wanted is not None else F.lit(0).cast("long")
+        rows = keyed.withColumn("_prefix", prefix)
+        if wanted is not None:
+            rows = rows.where(F.col("_prefix").isin(sorted({p for p, _ in wanted.values()})))
+        bins = rows.groupBy("_prefix", F.shiftright("_key", shift).alias("_bin")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_key").alias("_lo"), F.max("_key").alias("_hi"))
+        run = Window.partitionBy("_prefix").orderBy("_bin")                     # at most 2**16 rows
+        bins = materialize(bins.withColumn("_upto", F.sum("_c").over(run)))
+        if wanted is None:
+            n = bins.agg(F.max("_upto")).first()[0] or 0
+            wanted = {r: (0, r) for r in ranks(n) if 0 <= r < n}
+        hit = F.lit(False)
+        for p, r in set(wanted.values()):
+            hit = hit | ((F.col("_prefix") == p) & (F.col("_upto") > r) & (F.col("_upto") - F.col("_c") <= r))
+        got = bins.where(hit).collect() if wanted else []                        # one row a rank
+        left = {}
+        for rank, (p, r) in wanted.items():
+            b = next(b for b in got if b["_prefix"] == p and b["_upto"] - b["_c"] <= r < b["_upto"])
+            if b["_lo"] == b["_hi"]:
+                found[rank] = b["_lo"]
+            else:
+                left[rank] = (b["_bin"], r - (b["_upto"] - b["_c"]))
+        wanted = left
+        if not wanted:
+            break
+    return n, [found.get(r) for r in ranks(n)]
+
+
 def quantiles(df: DataFrame, keys, value: str, probs: Sequence[float], accuracy: int = ACCURACY) -> DataFrame:
     """Exact linear-interpolated quantiles (same rule as pandas ``quantile`` and
     DuckDB ``quantile_cont``).  Returns (keys..., prob, quantile, n)."""

@@ -10,10 +10,12 @@ broadcast.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qualityspark.operators.ranks import cumulative, quantiles_wide, value_counts
+from qualityspark.operators.ranks import quantiles_wide, values_at_ranks
 
 R = 6
 
@@ -78,14 +80,12 @@ def overfit_diagnosis(train_r2: Column, test_r2: Column) -> Column:
 def random_split(df: DataFrame, key: Column | None = None, id_col: str = "lot_id",
                  test_size: float = 0.2, seed: int = 42, name: str = "split") -> DataFrame:
     """Exactly ceil(test_size * n) test rows: the rows with the smallest
-    pseudo-random ``key`` (default ``xxhash64(id, seed)``).  The cut is found
-    with the distributed rank engine (no global sort)."""
+    pseudo-random long ``key`` (default ``xxhash64(id, seed)``).  The cut value is found by
+    histogram selection; rows are labelled by comparison and never move."""
     key = key if key is not None else F.xxhash64(F.col(id_col), F.lit(seed))
-    keyed = df.withColumn("_key", key)
-    cum = cumulative(value_counts(keyed.withColumn("_g", F.lit(0)), ["_g"], "_key"), ["_g"], "_key")
-    cut = cum.select("_key", F.when(F.col("_before") < F.ceil(F.col("_n") * F.lit(test_size)),
-                                    F.lit("test")).otherwise(F.lit("train")).alias(name))
-    return keyed.join(cut, "_key").drop("_key")
+    _, (cut,) = values_at_ranks(df, key, lambda n: [math.ceil(n * test_size) - 1])
+    test = key <= F.lit(cut) if cut is not None else F.lit(False)
+    return df.withColumn(name, F.when(test, F.lit("test")).otherwise(F.lit("train")))
 
 
 # --------------------------------------------------------------------------- baselines

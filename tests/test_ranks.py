@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from qualityspark.operators.ranks import average_ranks, quantiles, quantiles_wide
 
@@ -59,3 +60,29 @@ def test_quantiles_large_group_uses_brackets(spark):
     v = np.array([float(i % 977) ** 2 for i in range(5_000)])
     for p, q in got.items():
         assert q == pytest.approx(np.quantile(v, p))
+
+
+@pytest.mark.parametrize("keys", [
+    [5, 5, 5, 5], [], [-(1 << 63), (1 << 63) - 1, 0, -1, 1], list(range(-50, 50)), [7] * 100 + list(range(100)),
+    [(i * 0x9E3779B97F4A7C15) % (1 << 64) - (1 << 63) for i in range(3000)], [(1 << 40) + i % 3 for i in range(50)]])
+def test_values_at_ranks(spark, keys):
+    from qualityspark.operators.ranks import values_at_ranks
+    sdf = spark.createDataFrame([(k,) for k in keys] + [(None,)], "k long")
+    want = sorted(keys)
+    ranks = lambda n: [0, n // 3, n // 2, n // 2, n - 1, n, -1]
+    n, got = values_at_ranks(sdf, F.col("k"), ranks)
+    assert n == len(keys) and got == [want[r] if 0 <= r < n else None for r in ranks(n)]
+
+
+def test_folds_by_cut_values(spark):
+    """Split and folds equal a ranking of the keys, equal keys together; no row moves."""
+    from qualityspark.operators.models import with_folds
+    keys = [(i * 7919) % 211 for i in range(500)]
+    sdf = spark.createDataFrame(list(enumerate(keys)), "id long, k long")
+    out = with_folds(sdf, F.col("k"))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    n, n_test = 500, 100
+    for r in out.collect():
+        before = sum(k < r.k for k in keys)
+        assert r.split == ("test" if before < n_test else "train")
+        assert r.fold == (None if before < n_test else (before - n_test) * 5 // (n - n_test))
