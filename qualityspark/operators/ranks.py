@@ -189,58 +189,51 @@ def quantiles_wide(df: DataFrame, keys, value: str, probs: dict[str, float], acc
     return long.agg(*aggs, F.max("n").alias("n"))
 
 
+#: distinct values in a bin, and bins a key at most (bins grow with the data beyond)
 PREFIX_BIN = 2048
+PREFIX_BINS = 4096
 
 
 def prefix_quantiles(df: DataFrame, period: str, value: str, targets: DataFrame, probs: Sequence[float],
-                     max_bin: int = PREFIX_BIN) -> DataFrame:
-    """Exact quantiles of ``value`` over all rows with ``period < t`` for every
-    ``t`` in ``targets`` (one column named ``period``) - expanding windows.
-
-    Distinct values are cut into global value bins once (bounded distinct
-    count per bin).  Per (period, bin) counts form a small table; prefix counts
-    per target come from a join of that table with the (few) targets.  A
-    target rank is located in a bin there, and only the candidate values of
-    that one bin from earlier periods are ranked.  Work is O(rows + periods x
-    bins + periods x bin size), not O(periods x rows).
-    Returns (period, prob, quantile, n)."""
-    freq = materialize(value_counts(df, [period], value))
-    vbin = place(freq.select(value).distinct(), [value], max_bin, "_b1").select(value, "_b1")  # distinct value -> bin
-    fb = freq.join(vbin, value)
-    pb = fb.groupBy(period, "_b1").agg(F.sum("_w").alias("_c"))  # periods x bins
-    tg = targets.select(F.col(period).alias("_t")).distinct()
-    # prefix counts per (target, bin); the target list is one row per period
-    pre = pb.join(F.broadcast(tg), F.col(period) < F.col("_t")).groupBy("_t", "_b1") \
-            .agg(F.sum("_c").alias("_bw"))
-    wb = Window.partitionBy("_t").orderBy("_b1")
-    pre = pre.select("_t", "_b1", "_bw",
-                     F.coalesce(F.sum("_bw").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-                     .alias("_boff"), F.sum("_bw").over(Window.partitionBy("_t")).alias("_n"))
-    n = pre.select("_t", "_n").dropDuplicates(["_t"])
+                     max_bin: int = PREFIX_BIN, keys=()) -> DataFrame:
+    """Exact quantiles of ``value`` (per ``keys``) over all rows with ``period < t`` for every
+    ``t`` in ``targets`` (column ``period``, and some of the keys if they differ by key) -
+    expanding windows.
+
+    Two-dimensional prefix counts: distinct values are cut into bins, rows counted per (period, bin), and
+    running sums over the periods of a bin give the counts before every target; those over the
+    bins of a target locate each rank in one bin, whose values are ranked.  The targets enter the
+    running sums as rows of weight 0, so no period is compared with another by a join.
+    Returns (keys..., period, prob, quantile, n, lo, hi), lo and hi being the two values around."""
+    keys = _keys(keys)
+    freq = materialize(value_counts(df, keys + [period], value))
+    distinct = freq.select(*keys, value).distinct()
+    size = max(max_bin, -(-distinct.count() // PREFIX_BINS))
+    vbin = place(distinct, keys + [value], size, "_b1").select(*keys, value, "_b1")     # distinct value -> bin
+    fb = materialize(join_keys(freq, vbin, keys + [value]))
+    cells = fb.groupBy(*keys, "_b1", period).agg(F.sum("_w").alias("_c")).withColumn("_t", F.lit(1))
+    shared = [c for c in targets.columns if c in keys]
+    wanted = targets.select(*shared, period).distinct()
+    bins = cells.select(*keys, "_b1").distinct()
+    marks = (bins.join(wanted, shared) if shared else bins.crossJoin(F.broadcast(wanted)))   # the prefix table's cells
+    run = Window.partitionBy(*keys, "_b1").orderBy(period, "_t").rowsBetween(Window.unboundedPreceding, 0)
+    both = cells.unionByName(marks.withColumn("_c", F.lit(0).cast("long")).withColumn("_t", F.lit(0)))
+    pre = both.withColumn("_bw", F.sum("_c").over(run)).where("_t = 0").where("_bw > 0").drop("_c", "_t")
+    over = Window.partitionBy(*keys, period).orderBy("_b1")
+    pre = materialize(pre.withColumn("_boff", F.sum("_bw").over(over) - F.col("_bw"))
+                      .withColumn("_n", F.sum("_bw").over(Window.partitionBy(*keys, period))))
     pos = F.col("prob") * (F.col("_n") - 1)
-    tr = n.select("_t", "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")).select(
-        "_t", "prob", "_n", (pos - F.floor(pos)).alias("_frac"),
-        F.explode(F.array(F.struct(F.lit(0).alias("_side"), F.floor(pos).cast("long").alias("_r")),
-                          F.struct(F.lit(1).alias("_side"), F.ceil(pos).cast("long").alias("_r")))).alias("_x")
-    ).select("_t", "prob", "_n", "_frac", "_x._side", "_x._r")
-    loc = tr.join(pre.drop("_n"), "_t").where((F.col("_boff") <= F.col("_r")) &
-                                               (F.col("_r") < F.col("_boff") + F.col("_bw")))
-    loc = loc.select("_t", "prob", "_n", "_frac", "_side", (F.col("_r") - F.col("_boff")).alias("_rr"),
-                     "_b1")
-    # candidates: values of the located bin from earlier periods (bounded by the bin size)
-    cand = fb.join(loc, ["_b1"]).where(F.col(period) < F.col("_t")) \
-             .groupBy("_t", "prob", "_side", "_rr", value).agg(F.sum("_w").alias("_w"),
-                                                                F.first("_n").alias("_n"),
-                                                                F.first("_frac").alias("_frac"))
-    wv = Window.partitionBy("_t", "prob", "_side").orderBy(value)
-    cand = cand.withColumn("_before", F.coalesce(F.sum("_w").over(wv.rowsBetween(Window.unboundedPreceding, -1)),
-                                                 F.lit(0)))
-    picked = cand.where((F.col("_before") <= F.col("_rr")) & (F.col("_rr") < F.col("_before") + F.col("_w")))
-    wide = picked.groupBy("_t", "prob").agg(
-        F.first("_n").alias("n"), F.first("_frac").alias("_frac"),
-        F.max(F.when(F.col("_side") == 0, F.col(value))).alias("_lo"),
-        F.max(F.when(F.col("_side") == 1, F.col(value))).alias("_hi"))
-    q = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")
-    return wide.select(F.col("_t").alias(period), "prob",
-                       F.when(F.col("_frac") == 0, F.col("_lo")).otherwise(q).cast("double").alias("quantile"),
-                       F.col("n").cast("long").alias("n"))
+    ranked = pre.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
+    ranked = ranked.withColumn("_r", F.when(F.col("_side") == 0, F.floor(pos)).otherwise(F.ceil(pos)).cast("long"))
+    at = ranked.where((F.col("_boff") <= F.col("_r")) & (F.col("_r") < F.col("_boff") + F.col("_bw"))).select(
+        *keys, "_b1", F.col(period).alias("_t"), "prob", "_side", "_n", (pos - F.floor(pos)).alias("_frac"), (F.col("_r") - F.col("_boff")).alias("_rr"))
+    # the values of the bin that holds the rank, counted over the earlier periods
+    near = join_keys(fb, at, keys + ["_b1"]).where(F.col(period) < F.col("_t"))
+    near = near.groupBy(*keys, "_t", "prob", "_side", "_rr", "_n", "_frac", value).agg(F.sum("_w").alias("_w"))
+    upto = Window.partitionBy(*keys, "_t", "prob", "_side").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("_upto", F.sum("_w").over(upto)).where(
+        (F.col("_upto") - F.col("_w") <= F.col("_rr")) & (F.col("_rr") < F.col("_upto")))
+    side = lambda k: F.max(F.when(F.col("_side") == k, F.col(value)))
+    wide = near.groupBy(*keys, "_t", "prob").agg(F.first("_n").alias("n"), F.first("_frac").alias("_frac"), side(0).alias("lo"), side(1).alias("hi"))
+    q = F.when(F.col("_frac") == 0, F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("_frac"))
+    return wide.select(*keys, F.col("_t").alias(period), "prob", q.cast("double").alias("quantile"), F.col("n").cast("long").alias("n"), "lo", "hi")

@@ -1133,9 +1133,8 @@ def q_year_holdout_model(spark, sf):
 @register("monthly_rolling_model")
 def q_monthly_rolling_model(spark, sf):
     """V5: expanding-window refit per month, pooled metrics per model."""
-    from qualityspark.operators.models import monthly_rolling_models, pipeline_for
-    preds = monthly_rolling_models(ml_frame(spark, sf), pipeline_for(
-        _groups()["quality_only"], _specs()["linear_regression"], "target", ML_QUALITY), "target")
+    from qualityspark.operators.models import monthly_rolling
+    preds = monthly_rolling(ml_frame(spark, sf), _groups()["quality_only"], _specs()["linear_regression"], "target", ML_QUALITY)
     from qualityspark.operators.validation import regression_metrics
     m = regression_metrics(preds.withColumn("model", F.lit("linear_regression")), ["model"], prefix="test_")
     ex = preds.groupBy().agg(F.count_distinct("test_period").alias("n_windows"),
