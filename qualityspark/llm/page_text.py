@@ -28,7 +28,6 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
@@ -45,9 +44,16 @@ CONTAINERS = frozenset("""article aside body dialog div dl fieldset figure foote
 section table ul button""".split())
 BOILER = frozenset("aside dialog footer form header menu nav button head".split())
 MAIN = frozenset(["article", "main"])
-NOISE = re.compile(r"""(?<![a-z])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumbs?|comments?|
-    cookies?|consent|footer|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|popup|promo|
-    promoted|related|share|sharing|sidebar|sidebars|signup|social|sponsor|sponsored|subscribe|toolbar|widget|widgets)(?![a-z])""", re.X)
+#: boiler whatever they hold
+STRICT = BOILER - {"form"}
+NOISE = frozenset("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments
+cookie cookies consent footer header login masthead menu modal nav navbar navigation newsletter notice notices popup promo
+promoted related share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar widget widgets""".split())
+#: words that say where or how, not what: a class or id is noise if it is made of noise words and these only
+NEUTRAL = frozenset("""area bar block bottom box buttons center col column container content global group holder icons inner
+item items left links list main outer overlay page panel post posts primary reader region right row secondary section site slot
+sticky sub top unit user wrap wrapper zone""".split())
+PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 ROLE = re.compile(r"\b(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu)\b")
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -57,6 +63,11 @@ TAG = re.compile(rf"""<!--.*?(?:-->|\Z)
     |<[!?/][^>]*(?:>|\Z)""", re.X | re.S | re.I)
 
 
+def _noise_name(token: str) -> bool:
+    words = [w.lower() for w in PARTS.findall(token)]
+    return any(w in NOISE for w in words) and all(w in NOISE or w in NEUTRAL for w in words)
+
+
 def _is_noise(name: str, attrs: str) -> bool:
     if name in BOILER:
         return True
@@ -65,18 +76,25 @@ def _is_noise(name: str, attrs: str) -> bool:
     if HIDDEN.search(attrs):
         return True
     for key, value in NAMES.findall(attrs):
-        if (ROLE if key.lower() == "role" else NOISE).search(value.lower()):
+        if key.lower() == "role":
+            if ROLE.search(value.lower()):
+                return True
+        elif any(map(_noise_name, value.strip("\"'").split())):
             return True
     return False
 
 
 def blocks(page: str | None) -> list[tuple[str, str]]:
-    """(zone, text) of every non-empty block, in page order."""
-    out: list[tuple[str, str]] = []
+    """(zone, text) of every non-empty block, in page order.  A form, or an element named like boiler, is
+    none if it holds the page's longest article or, on a page without article text, more than four
+    fifths of all text.  Linear in the page."""
+    found: list[tuple[int, str]] = []  # container, text
     if not page:
-        return out
-    stack: list[tuple[str, bool, bool]] = []  # open containers: name, noise, main
-    noise = main = 0
+        return []
+    # containers: 0 is the page
+    up, noise, strict, main, size = [0], [False], [False], [False], [0]
+    stack: list[tuple[str, int]] = [("", 0)]
+    count: dict[str, int] = {}
     held: list[str] = []
 
     def flush():
@@ -85,7 +103,8 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
             held.clear()
             text = " ".join((entities.unescape(text) if "&" in text else text).split())
             if text:
-                out.append(("boiler" if noise else "main" if main else "open", text))
+                found.append((stack[-1][1], text))
+                size[stack[-1][1]] += len(text)
 
     at = 0
     for m in TAG.finditer(page):
@@ -106,49 +125,85 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
             continue
         if not m["end"]:
             if not m["attrs"].endswith("/"):
-                bad = _is_noise(name, m["attrs"])
-                stack.append((name, bad, name in MAIN))
-                noise += bad
-                main += name in MAIN
-        elif any(s[0] == name for s in stack):
+                up.append(stack[-1][1])
+                noise.append(_is_noise(name, m["attrs"]))
+                strict.append(name in STRICT)
+                main.append(name in MAIN)
+                size.append(0)
+                stack.append((name, len(up) - 1))
+                count[name] = count.get(name, 0) + 1
+        elif count.get(name):
             while True:
-                top, bad, good = stack.pop()
-                noise -= bad
-                main -= good
+                top, _ = stack.pop()
+                count[top] -= 1
                 if top == name:
                     break
     if at < len(page):
         held.append(page[at:])
     flush()
-    return out
+    for c in range(len(up) - 1, 0, -1):  # children come after their parent
+        size[up[c]] += size[c]
+    longest = max((c for c in range(len(up)) if main[c] and not noise[c]), key=lambda c: size[c], default=0)
+    bare = not size[longest] or not longest
+    while longest:
+        longest = up[longest]
+        noise[longest] = noise[longest] and strict[longest]
+    for c in range(1, len(up)):
+        page_wide = bare and not strict[c] and 5 * size[c] > 4 * size[0]
+        noise[c] = noise[up[c]] or noise[c] and not page_wide
+        main[c] = main[up[c]] or main[c]
+    return [("boiler" if noise[c] else "main" if main[c] else "open", t) for c, t in found]
 
 
 def common_lines(a: list, b: list) -> list[int]:
-    """Positions in ``a`` of a longest common subsequence with ``b``."""
+    """Positions in ``a`` of a longest common subsequence with ``b``.  Row i of the table of lengths is a
+    whole number with a zero bit wherever the length grows, and comes from the row before by a few
+    operations on whole rows; every ``step``-th row is kept and the others are made again on the way
+    back.  Many equal lines cost no more than different ones."""
     lo = 0
     while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
         lo += 1
     hi = 0
     while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
-    places: dict = {}
-    for j in range(lo, len(b) - hi):
-        places.setdefault(b[j], []).append(j)
-    ends, chain = [], []  # smallest end in b of a chain by length; its node
-    nodes: list[tuple[int, int]] = []
-    for i in range(lo, len(a) - hi):
-        for j in reversed(places.get(a[i], ())):
-            k = bisect_left(ends, j)
-            nodes.append((i, chain[k - 1] if k else -1))
-            if k == len(ends):
-                ends.append(j)
-                chain.append(len(nodes) - 1)
-            else:
-                ends[k], chain[k] = j, len(nodes) - 1
-    middle, at = [], chain[-1] if chain else -1
-    while at >= 0:
-        middle.append(nodes[at][0])
-        at = nodes[at][1]
+    x, y = a[lo:len(a) - hi], b[lo:len(b) - hi]
+    at: dict = {}
+    for j, v in enumerate(y):
+        at.setdefault(v, []).append(j)
+    places = {}
+    for v in set(x) & set(at):
+        bits = bytearray(len(y) // 8 + 1)
+        for j in at[v]:
+            bits[j >> 3] |= 1 << (j & 7)
+        places[v] = int.from_bytes(bits, "little")
+    full = (1 << len(y)) - 1
+
+    def rows(start, row, end):
+        out = [row]
+        for i in range(start, end):
+            p = places.get(x[i], 0)
+            if p:
+                u = row & p
+                row = (row + u | row - u) & full
+            out.append(row)
+        return out
+
+    step = max(1, int(len(x) ** 0.5))
+    kept, row = [], full
+    for s in range(0, len(x), step):
+        kept.append(row)
+        row = rows(s, row, min(s + step, len(x)))[-1]
+    middle, mask = [], full
+    length = (~row & mask).bit_count()
+    for k in range(len(kept) - 1, -1, -1):
+        if not length:
+            break
+        block = rows(k * step, kept[k], min((k + 1) * step, len(x)))
+        for i in range(len(block) - 1, 0, -1):
+            if (~block[i - 1] & mask).bit_count() < length:
+                middle.append(k * step + i - 1 + lo)
+                mask = (1 << (~block[i] & mask).bit_length() - 1) - 1  # what lies before the matched line
+                length -= 1
     return [*range(lo), *reversed(middle), *range(len(a) - hi, len(a))]
 
 

@@ -368,6 +368,36 @@ def test_page_blocks():
     assert page_text.main_text("plain &amp text <p class='x") == "plain & text"
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<div class='layout has-sidebar'><article>body text</article></div>", "body text"),
+    ("<main class='no-comments'>body text</main>", "body text"),
+    ("<div class='page with-nav'><article>body text</article></div>", "body text"),
+    ("<form><nav>m</nav><article>body text</article></form>", "body text"),
+    ("<article>body <div class='share-price'>12 EUR</div></article>", "body 12 EUR"),
+    ("<div class='widget'><article>body text</article><div class='share-box'>tell</div></div><footer>f</footer>", "body text"),
+    ("<div class='content-sidebar'><p>a plain page of one element, longer than the rest</div><div>x</div>", "a plain page of one element, longer than the rest x"),
+    ("<article>a</article><div class='ad-slot-3 x'>a long advert that holds most of the text</div><footer>a long footer, too</footer>", "a"),
+    ("<article>body</article><section id=comments><article class='comment'>reader one</article></section><div class='commentList'>two</div>", "body"),
+    ("<article>body</article><div class='cookie_notice'>ok</div><div id='siteFooter'>f</div><aside><article>card</article></aside>", "body")])
+def test_boiler_names_are_whole_and_hold_no_article(page, text):
+    assert page_text.main_text(page) == text
+
+
+def test_long_pages_take_linear_time():
+    """Equal lines and unmatched end tags cost no more than others."""
+    import time
+
+    def took(f):
+        t = time.time()
+        f()
+        return time.time() - t
+
+    lines = lambda n: page_text.common_lines(["a"] + ["e"] * n + ["b"], ["c"] + ["e"] * (n + 1) + ["d"])
+    assert len(lines(3000)) == 3000 and took(lambda: lines(20_000)) < 5
+    assert took(lambda: page_text.blocks("<div>" * 20_000 + "x</section></table>" * 20_000)) < 5
+    assert page_text.main_text("<article>" + "<p>a line of text</p>" * 100_000) == " ".join(["a line of text"] * 100_000)
+
+
 def test_common_lines_is_longest():
     rng = random.Random(3)
     for _ in range(300):
