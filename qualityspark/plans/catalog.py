@@ -1144,7 +1144,7 @@ def q_monthly_rolling_model(spark, sf):
 
 
 # --------------------------------------------------------------------------- E1 chain: P8, A7, W3, X1 (rows-only)
-def _preprocess(spark, sf):
+def _preprocess(spark, sf, name):
     from qualityspark.plans.preprocess import run_preprocess
     from qualityspark.schema import LOTS
     return run_preprocess(
@@ -1152,29 +1152,29 @@ def _preprocess(spark, sf):
         corr_columns=CORR_COLS, vif_columns=["dobi", "ffa", "mi", "iv", "car_pv"],
         base_features=["ffa", "mi", "iv", "dobi", "car_pv", "target", "log_ffa", "log_target", "time_trend",
                        "missing_transition_phase"],
-        log_columns=["ffa", "target"])
+        log_columns=["ffa", "target"], wanted=[name])[name]
 
 
 @register("processed_full")
 def q_processed_full(spark, sf):
     """Clipped, imputed, log-featured frame with time features (rows-only)."""
-    return _preprocess(spark, sf)["processed_full"]
+    return _preprocess(spark, sf, "processed_full")
 
 
 @register("model_ready")
 def q_model_ready(spark, sf):
     """P8 projection after VIF selection, one-hot categoricals (rows-only)."""
-    return _preprocess(spark, sf)["model_ready"]
+    return _preprocess(spark, sf, "model_ready")
 
 
 @register("run_summary", """
-SELECT CAST(count(*) AS BIGINT) AS rows_before, CAST(count(*) AS BIGINT) AS rows_after,
+SELECT CAST(count(*) AS BIGINT) AS rows_before, CAST(count(*) FILTER (date IS NOT NULL) AS BIGINT) AS rows_after,
        strftime(min(date), '%Y-%m-%d') AS date_min, strftime(max(date), '%Y-%m-%d') AS date_max,
        array_to_string(list_sort(list_distinct(list(CAST(month(date) AS INTEGER)))), ',') AS months_present
 FROM lots_gap""")
 def q_run_summary(spark, sf):
     """A7 over the full preprocessing chain (row counts, date range, months)."""
-    return _preprocess(spark, sf)["summary"]
+    return _preprocess(spark, sf, "summary")
 
 
 # --------------------------------------------------------------------------- F10 / F7 / X1

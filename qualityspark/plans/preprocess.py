@@ -107,9 +107,10 @@ def run_summary(before: DataFrame, after: DataFrame, date_col: str = "date") ->
 
 def run_preprocess(typed: DataFrame, schema: QualitySchema, iqr_columns, transition_columns,
                    corr_columns, vif_columns, base_features, log_columns, vif_threshold: float = 10.0,
-                   profile_columns=None, boxplot_columns=None, encode_columns=None) -> dict:
+                   profile_columns=None, boxplot_columns=None, encode_columns=None, wanted=None) -> dict:
     """The whole first entry point.  ``encode_columns``: categoricals to one-hot
-    encode (all by default).  Returns a dict of DataFrames / small dicts."""
+    encode (all by default).  ``wanted``: names of the results to make (all by default); the jobs
+    of the others are not run.  Returns a dict of DataFrames / small dicts."""
     target = schema.target
     typed = materialize(typed)
     report = transition_report(typed, list(dict.fromkeys(list(transition_columns) + [target])), schema.date)
@@ -119,21 +120,28 @@ def run_preprocess(typed: DataFrame, schema: QualitySchema, iqr_columns, transit
     imputed = handle_missing_values(clipped, schema, list(schema.measures), list(schema.categoricals),
                                     exclude=[target])
     featured = materialize(add_log_features(imputed, log_columns))
-    normality = normality_report(featured, corr_columns)
-    g = gram(featured, vif_columns)
-    vif_before = vif_from_gram(g, vif_columns)
-    selection = select_by_vif(g, vif_columns, vif_threshold)
-    model_ready = build_model_ready(featured, target, base_features, vif_columns, selection["kept_features"],
-                                    encode_columns if encode_columns is not None else list(schema.categoricals))
     prof_cols = profile_columns or list(schema.measures) + [f"log_{c}" for c in log_columns]
-    return {
-        "typed": typed, "transition_report": report, "processed_full": featured, "model_ready": model_ready,
-        "outlier_counts": outliers, "iqr_bounds": bounds,
-        "missing_before": missing_counts(typed), "missing_after": missing_counts(featured),
-        "normality": normality, "correlation_method": primary_method(normality),
-        "pearson": pearson_matrix(featured, corr_columns), "spearman": spearman_matrix(featured, corr_columns),
-        "vif_before": vif_before, "vif_selection": selection,
-        "descriptive": descriptive_stats(featured, [c for c in prof_cols if c in featured.columns]),
-        "monthly_boxplot": monthly_boxplot_stats(featured, boxplot_columns or list(corr_columns)),
-        "summary": run_summary(typed, featured, schema.date),
+    encode = encode_columns if encode_columns is not None else list(schema.categoricals)
+    made: dict = {}
+
+    def once(name, make):
+        if name not in made:
+            made[name] = make()
+        return made[name]
+
+    products = lambda: once("gram", lambda: gram(featured, vif_columns))
+    normality = lambda: once("normality", lambda: normality_report(featured, corr_columns))
+    selection = lambda: once("selection", lambda: select_by_vif(products(), vif_columns, vif_threshold))
+    results = {
+        "typed": lambda: typed, "transition_report": lambda: report, "processed_full": lambda: featured,
+        "model_ready": lambda: build_model_ready(featured, target, base_features, vif_columns, selection()["kept_features"], encode),
+        "outlier_counts": lambda: outliers, "iqr_bounds": lambda: bounds,
+        "missing_before": lambda: missing_counts(typed), "missing_after": lambda: missing_counts(featured),
+        "normality": normality, "correlation_method": lambda: primary_method(normality()),
+        "pearson": lambda: pearson_matrix(featured, corr_columns), "spearman": lambda: spearman_matrix(featured, corr_columns),
+        "vif_before": lambda: vif_from_gram(products(), vif_columns), "vif_selection": selection,
+        "descriptive": lambda: descriptive_stats(featured, [c for c in prof_cols if c in featured.columns]),
+        "monthly_boxplot": lambda: monthly_boxplot_stats(featured, boxplot_columns or list(corr_columns)),
+        "summary": lambda: run_summary(typed, featured, schema.date),
     }
+    return {name: make() for name, make in results.items() if wanted is None or name in wanted}
