@@ -1,21 +1,25 @@
 """Split designs, regression metrics and baselines.
 
-Predictions are one long fact table (``validation, feature_group, model,
+Model predictions are one long fact table (``validation, feature_group, model,
 date, actual, predicted, residual`` + split metadata); every metric is a
 grouped aggregate over it.  Splits are labels on rows, never copies of the
-frame, except the year holdout where a row is scored once per other year
-(that is what the design evaluates); the pair table is tiny (years^2) and
-broadcast.
+frame.  Constant predictors are scored from counts between neighbouring
+constants, and baselines keep each row once per way of scoring it
+(:class:`Sliced`); the fact table is expanded only where it is wanted.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qualityspark.operators.joins import join_keys
 from qualityspark.operators.ranks import quantiles_wide, values_at_ranks
+from qualityspark.session import materialize
 
 R = 6
 
@@ -55,9 +59,12 @@ def metric_rows(train: DataFrame | None, test: DataFrame, keys) -> DataFrame:
         out = out.withColumn("n_train", F.lit(0).cast("long"))
         return out.withColumn("r2_gap_train_minus_test", F.lit(None).cast("double")) \
                   .withColumn("rmse_gap_test_minus_train", F.lit(None).cast("double"))
-    j = train.join(te, keys, "inner")
-    return j.withColumn("r2_gap_train_minus_test", _r(F.col("train_r2") - F.col("test_r2"))) \
-            .withColumn("rmse_gap_test_minus_train", _r(F.col("test_rmse") - F.col("train_rmse")))
+    return with_gaps(train.join(te, keys, "inner"))
+
+
+def with_gaps(metrics: DataFrame) -> DataFrame:
+    return metrics.withColumn("r2_gap_train_minus_test", _r(F.col("train_r2") - F.col("test_r2"))) \
+                  .withColumn("rmse_gap_test_minus_train", _r(F.col("test_rmse") - F.col("train_rmse")))
 
 
 # fixed values: the R^2 below which both sides underfit; (exclusive upper bound of the
@@ -103,38 +110,99 @@ def _const_preds(labelled: DataFrame, split_keys, target: str, models=("mean", "
     return out
 
 
-def _score(labelled: DataFrame, consts: DataFrame, split_keys, target: str) -> DataFrame:
-    """Rows x constant of their split (consts is one row per split and model)."""
-    j = labelled.join(F.broadcast(consts), list(split_keys))
-    return j.withColumn("actual", F.col(target)).withColumn("predicted", F.col("value"))
+def constant_metrics(rows: DataFrame, source_keys, slices: DataFrame, target: str, prefix: str = "") -> DataFrame:
+    """A12 of constant predictions without a row copy per constant.  ``slices``: one row per
+    (slice, ``value``) naming the rows it is scored on by ``source_keys`` (no other name in common
+    with ``rows``).  A row is counted in the one cell of its source between two neighbouring constants;
+    squared and absolute errors of every constant follow from the cells' counts, sums and moments.
+    There are sources x (constants + 1) cells at most, a number set by the validation design.
+    Slices without rows give no row."""
+    src, y = list(source_keys), F.col(target)
+    own = [c for c in slices.columns if c not in src + ["value"]]
+    cuts = slices.groupBy(*src).agg(F.array_sort(F.collect_set("value")).alias("_cuts"))
+    below = F.size(F.filter("_cuts", lambda c: c < F.col("_y")))
+    cells = join_keys(rows.select(*src, y.alias("_y")), F.broadcast(cuts), src).where("_y IS NOT NULL") \
+        .groupBy(*src, below.alias("_cell")).agg(
+            F.count(F.lit(1)).alias("_c"), F.sum("_y").alias("_s"), F.min("_y").alias("_lo"), F.max("_y").alias("_hi"),
+            F.var_pop("_y").alias("_v"), F.avg("_y").alias("_m"))
+    # a cell of equal values has its value as mean, without the rounding of a sum
+    n, m = F.col("_c"), F.col("_m")
+    cells = cells.withColumn("_m", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(m))
+    whole = Window.partitionBy(*src)                                     # the cells of a source
+    cells = cells.withColumn("_mean", F.sum(n * m).over(whole) / F.sum(n).over(whole))
+    place = F.size(F.filter("_cuts", lambda c: c < F.col("value")))
+    j = join_keys(join_keys(slices, F.broadcast(cuts), src).withColumn("_place", place).drop("_cuts"), cells, src)
+    c, s, within = F.col("value"), F.col("_s"), F.col("_c") * F.col("_v")
+    around = lambda v: F.sum(within + n * (m - v) * (m - v))
+    agg = j.groupBy(*src, *own, "value").agg(
+        F.sum(n).alias("_n"), around(c).alias("_sse"), around(F.col("_mean")).alias("_sst"),
+        F.min("_lo").alias("_least"), F.max("_hi").alias("_most"),
+        F.sum(F.when(F.col("_cell") <= F.col("_place"), n * c - s).otherwise(s - n * c)).alias("_abs"))
+    n, sse, sst = F.col("_n"), F.col("_sse"), F.col("_sst")
+    r2 = F.when(F.col("_least") == F.col("_most"), (sse == 0).cast("double")).otherwise(1 - sse / sst)
+    name = f"n_{prefix.rstrip('_')}" if prefix else "n"
+    return agg.select(*src, *own, "value", _r(r2).alias(f"{prefix}r2"), _r(F.sqrt(sse / n)).alias(f"{prefix}rmse"),
+                      _r(F.greatest(F.col("_abs"), F.lit(0.0)) / n).alias(f"{prefix}mae"), n.cast("long").alias(name))
+
+
+@dataclass
+class Sliced:
+    """Test predictions of baselines, each row once per way of scoring it.  ``sources``: rows
+    (``keys``, ``date``, ``actual``, ``predicted``, the id), ``predicted`` NULL where slices bring a
+    constant (``scorer`` = constant).  ``slices``: one row per prediction slice with the ``keys`` of its
+    source and the constant in ``value``; their number is set by the validation design."""
+    sources: DataFrame
+    slices: DataFrame
+    keys: list
+
+    def rows(self) -> DataFrame:
+        """The prediction fact table: the rows of every slice."""
+        j = join_keys(self.sources, F.broadcast(self.slices), self.keys)
+        return j.withColumn("predicted", F.when(F.col("scorer") == "constant", F.col("value"))
+                            .otherwise(F.col("predicted"))).drop("scorer", "value")
+
+
+def union_sliced(parts) -> Sliced:
+    """U2 of sliced predictions: columns that a design lacks are NULL."""
+    parts = list(parts)
+    keys = list(dict.fromkeys(k for p in parts for k in p.keys))
+    one = lambda frames: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return Sliced(one([p.sources for p in parts]), one([p.slices for p in parts]), keys)
+
+
+def _ids(df: DataFrame) -> list[str]:
+    return ["lot_id"] if "lot_id" in df.columns else []
 
 
 def constant_and_previous_baselines(labelled: DataFrame, split_keys, target: str, lag_col: str | None,
                                     validation: str, min_lag_rows: int = 2):
     """V6 + V7 on a frame labelled with ``split`` (train/test) and split keys.
-    Returns (metrics, test predictions)."""
+    Returns (metrics, test predictions as :class:`Sliced`)."""
     split_keys = list(split_keys)
-    consts = _const_preds(labelled, split_keys, target)
-    scored = _score(labelled, consts, split_keys, target).select(
-        *split_keys, "model", "split", "date", "actual", "predicted", *(["lot_id"] if "lot_id" in labelled.columns else []))
-    if lag_col:
-        lagged = labelled.where(F.col(lag_col).isNotNull())
-        cnt = lagged.groupBy(*split_keys).agg(
-            F.count_if(F.col("split") == "train").alias("_ntr"), F.count_if(F.col("split") == "test").alias("_nte"))
-        ok = cnt.where((F.col("_ntr") >= min_lag_rows) & (F.col("_nte") >= min_lag_rows)).select(*split_keys)
-        prev = lagged.join(F.broadcast(ok), split_keys, "left_semi").select(
-            *split_keys, F.lit("previous_value").alias("model"), "split", "date",
-            F.col(target).alias("actual"), F.col(lag_col).alias("predicted"),
-            *(["lot_id"] if "lot_id" in labelled.columns else []))
-        scored = scored.unionByName(prev)
     keys = split_keys + ["model"]
-    tr = regression_metrics(scored.where(F.col("split") == "train"), keys, prefix="train_")
-    te = regression_metrics(scored.where(F.col("split") == "test"), keys, prefix="test_")
-    metrics = metric_rows(tr, te, keys).withColumn("validation", F.lit(validation)) \
-        .withColumn("feature_group", F.lit("baseline"))
-    preds = scored.where(F.col("split") == "test").drop("split").withColumn("validation", F.lit(validation)) \
-        .withColumn("feature_group", F.lit("baseline"))
-    return metrics, preds
+    tag = {"validation": F.lit(validation), "feature_group": F.lit("baseline")}
+    consts = materialize(_const_preds(labelled, split_keys, target))      # one row per split and model
+    sides = consts.withColumn("split", F.explode(F.array(F.lit("train"), F.lit("test"))))
+    scores = constant_metrics(labelled, split_keys + ["split"], sides, target).drop("value")
+    test = F.col("split") == "test"
+    base = [*split_keys, "date", F.col(target).alias("actual"), *_ids(labelled)]
+    sources = labelled.where(test).select(*base, F.lit("constant").alias("scorer"), F.lit(None).cast("double").alias("predicted"))
+    slices = consts.withColumn("scorer", F.lit("constant"))
+    if lag_col:
+        prev = labelled.where(F.col(lag_col).isNotNull()).withColumn("model", F.lit("previous_value"))
+        own = regression_metrics(prev, keys + ["split"], target, lag_col)
+        ok = own.groupBy(*keys).agg(F.min("n").alias("_least"), F.count(F.lit(1)).alias("_sides")).where(
+            (F.col("_least") >= min_lag_rows) & (F.col("_sides") == 2)).select(*keys)
+        scores = scores.unionByName(join_keys(own, F.broadcast(ok), keys, "left_semi"))
+        sources = sources.unionByName(prev.where(test).select(
+            *base, F.lit("previous_value").alias("scorer"), F.col(lag_col).cast("double").alias("predicted")))
+        slices = slices.unionByName(ok.withColumns({"value": F.lit(None).cast("double"), "scorer": F.lit("previous_value")}))
+    side = lambda name, c: F.max(F.when(F.col("split") == name, F.col(c)))
+    wide = scores.groupBy(*keys).agg(
+        *[side(s, c).alias(f"{s}_{c}") for s in ("train", "test") for c in ("r2", "rmse", "mae")],
+        *[side(s, "n").alias(f"n_{s}") for s in ("train", "test")]).where("n_train IS NOT NULL AND n_test IS NOT NULL")
+    return with_gaps(wide).withColumns(tag), Sliced(sources.withColumns(tag), slices.withColumns(tag),
+                                                    ["validation", "feature_group", *split_keys, "scorer"])
 
 
 def year_pairs(df: DataFrame, year_col: str = "year", min_rows: int = 20) -> DataFrame:
@@ -149,46 +217,41 @@ def year_holdout_baselines(df: DataFrame, target: str, lag_col: str | None, year
                            min_rows: int = 20, min_lag_rows: int = 2):
     """V2 + V6 + V7 for every ordered year pair.
 
-    Train-side numbers depend on the train year only and are computed once
-    per year; the previous-value model does not depend on the training set
-    at all, so its test numbers are computed once per test year.  Only the
-    constant models score test rows once per other year (what the design
-    asks for); the pair table is broadcast, rows are never shuffled."""
-    pairs = year_pairs(df, year_col, min_rows)
-    y = F.col(year_col)
-    base = df.withColumn("_yr", y)
-    consts = _const_preds(base.withColumn("split", F.lit("train")), ["_yr"], target)
-    own = base.join(F.broadcast(consts), "_yr").withColumn("actual", F.col(target)) \
-              .withColumn("predicted", F.col("value"))
-    train_m = regression_metrics(own, ["_yr", "model"], prefix="train_").withColumnRenamed("_yr", "train_year")
-    pc = F.broadcast(pairs.join(consts.withColumnRenamed("_yr", "train_year"), "train_year"))
-    test_rows = base.join(pc, base["_yr"] == pc["test_year"]).select(
-        "train_year", "test_year", "model", "date", F.col(target).alias("actual"),
-        F.col("value").alias("predicted"), *(["lot_id"] if "lot_id" in df.columns else []))
-    test_m = regression_metrics(test_rows, ["train_year", "test_year", "model"], prefix="test_")
-    metrics = metric_rows(train_m, test_m, ["train_year", "model"])
-    preds = test_rows
-    if lag_col:
-        lg = base.where(F.col(lag_col).isNotNull()).withColumn("actual", F.col(target)) \
-                 .withColumn("predicted", F.col(lag_col)).withColumn("model", F.lit("previous_value"))
-        per_year = regression_metrics(lg, ["_yr", "model"], prefix="x_")
-        ok = per_year.where(F.col("n_x") >= min_lag_rows).select("_yr")
-        tr = per_year.select(F.col("_yr").alias("train_year"), "model",
-                             *[F.col(f"x_{m}").alias(f"train_{m}") for m in ("r2", "rmse", "mae")],
-                             F.col("n_x").alias("n_train"))
-        te = per_year.select(F.col("_yr").alias("test_year"), "model",
-                             *[F.col(f"x_{m}").alias(f"test_{m}") for m in ("r2", "rmse", "mae")],
-                             F.col("n_x").alias("n_test"))
-        okp = pairs.join(ok.withColumnRenamed("_yr", "train_year"), "train_year", "left_semi") \
-                   .join(ok.withColumnRenamed("_yr", "test_year"), "test_year", "left_semi")
-        pm = metric_rows(okp.join(tr, "train_year"), te, ["test_year", "model"])
-        metrics = metrics.unionByName(pm)
-        lp = lg.join(F.broadcast(okp), lg["_yr"] == okp["test_year"]).select(
-            "train_year", "test_year", "model", "date", "actual", "predicted",
-            *(["lot_id"] if "lot_id" in df.columns else []))
-        preds = preds.unionByName(lp)
+    No row is scored once per other year: the constants of all years are scored from cell
+    counts of each year (its own constants give the train side), and the previous-value
+    model does not depend on the training set, so it is scored once per year.  Returns
+    (metrics, test predictions as :class:`Sliced`, one source per test year)."""
     tag = {"validation": F.lit("year_holdout"), "feature_group": F.lit("baseline")}
-    return metrics.withColumns(tag), preds.withColumns(tag)
+    base = df.withColumn("test_year", F.col(year_col))
+    pairs = materialize(year_pairs(df, year_col, min_rows))               # years x years
+    consts = _const_preds(base.withColumn("split", F.lit("train")), ["test_year"], target)
+    consts = materialize(consts.withColumnRenamed("test_year", "train_year"))
+    both = pairs.unionByName(pairs.select("train_year", F.col("train_year").alias("test_year")).distinct())
+    scores = materialize(constant_metrics(base, ["test_year"], both.join(consts, "train_year"), target).drop("value"))
+    same = F.col("train_year") == F.col("test_year")
+    metrics = metric_rows(_sided(scores.where(same).drop("test_year"), "train"), _sided(scores.where(~same), "test"),
+                          ["train_year", "model"])
+    rows = [F.col(target).alias("actual"), "test_year", "date", *_ids(df)]
+    sources = base.select(*rows, F.lit("constant").alias("scorer"), F.lit(None).cast("double").alias("predicted"))
+    slices = pairs.join(consts, "train_year").withColumn("scorer", F.lit("constant"))
+    if lag_col:
+        lg = base.where(F.col(lag_col).isNotNull())
+        per_year = materialize(regression_metrics(lg, ["test_year"], target, lag_col).where(F.col("n") >= min_lag_rows))
+        okp = pairs.join(per_year.select("test_year"), "test_year", "left_semi").join(
+            per_year.select(F.col("test_year").alias("train_year")), "train_year", "left_semi")
+        tr = _sided(per_year.withColumnRenamed("test_year", "train_year"), "train")
+        pm = metric_rows(okp.join(tr, "train_year"), _sided(per_year, "test"), ["test_year"])
+        metrics = metrics.unionByName(pm.withColumn("model", F.lit("previous_value")))
+        sources = sources.unionByName(lg.select(
+            *rows, F.lit("previous_value").alias("scorer"), F.col(lag_col).cast("double").alias("predicted")))
+        slices = slices.unionByName(okp.withColumns({"model": F.lit("previous_value"), "scorer": F.lit("previous_value"),
+                                                     "value": F.lit(None).cast("double")}))
+    return metrics.withColumns(tag), Sliced(sources.withColumns(tag), slices.withColumns(tag),
+                                            ["validation", "feature_group", "test_year", "scorer"])
+
+
+def _sided(metrics: DataFrame, side: str) -> DataFrame:
+    return metrics.withColumnsRenamed({c: f"{side}_{c}" for c in ("r2", "rmse", "mae")} | {"n": f"n_{side}"})
 
 
 def blocked_labelled(ordered, train_fraction: float = 0.8, min_rows: int = 20) -> DataFrame:
@@ -223,7 +286,7 @@ def monthly_rolling_baselines(df: DataFrame, target: str, lag_col: str | None, d
     per-month value-count table is joined to every later month (months are
     few, and the join is on value counts, not rows) and the exact rank engine
     finds the median per test month.
-    Returns (metrics pooled per model, predictions)."""
+    Returns (metrics pooled per model, test predictions as :class:`Sliced`)."""
     d = df.withColumn("_period", F.date_trunc("month", F.col(date_col)))
     months = d.groupBy("_period").agg(F.count(F.lit(1)).alias("_cnt"), F.sum(target).alias("_sum"))
     wm = Window.orderBy("_period")   # month table: one row per calendar month
@@ -264,7 +327,12 @@ def monthly_rolling_baselines(df: DataFrame, target: str, lag_col: str | None, d
         F.min("test_period").alias("test_period_start"), F.max("test_period").alias("test_period_end"))
     metrics = metric_rows(None, te.join(extra, "model"), ["model"]) \
         .withColumn("validation", F.lit("monthly_rolling")).withColumn("feature_group", F.lit("baseline"))
-    return metrics, preds
+    # the constants change by month, so a slice's rows carry their prediction
+    slices = preds.sparkSession.createDataFrame([(m, m, None) for m in ("mean", "median", "previous_value")],
+                                                "model string, scorer string, value double")
+    tag = {"validation": F.lit("monthly_rolling"), "feature_group": F.lit("baseline")}
+    return metrics, Sliced(preds.withColumnRenamed("model", "scorer"), slices.withColumns(tag),
+                           ["validation", "feature_group", "scorer"])
 
 
 def with_residual(preds: DataFrame) -> DataFrame:

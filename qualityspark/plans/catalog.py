@@ -409,7 +409,8 @@ SELECT 'random_split' AS validation, 'baseline' AS feature_group, model, train_r
 FROM tr JOIN te USING (model) WHERE model <> 'previous_value' OR (n_train >= 2 AND n_test >= 2)""")
 def q_baseline_random(spark, sf):
     from qualityspark.operators.validation import constant_and_previous_baselines, random_split
-    lab = random_split(model_frame(spark, sf), key=_rk()).withColumn("_all", F.lit(0))
+    from qualityspark.session import materialize
+    lab = random_split(materialize(model_frame(spark, sf)), key=_rk()).withColumn("_all", F.lit(0))
     m, _ = constant_and_previous_baselines(lab, ["_all"], "target", "target_lag1", "random_split")
     return m.select(*_METRIC_COLS)
 
@@ -439,7 +440,8 @@ SELECT 'year_holdout' AS validation, 'baseline' AS feature_group, model, train_y
 FROM te JOIN tr USING (train_year, model)""")
 def q_baseline_year(spark, sf):
     from qualityspark.operators.validation import year_holdout_baselines
-    m, _ = year_holdout_baselines(model_frame(spark, sf), "target", "target_lag1")
+    from qualityspark.session import materialize
+    m, _ = year_holdout_baselines(materialize(model_frame(spark, sf)), "target", "target_lag1")
     return m.select(*_METRIC_COLS[:3], "train_year", "test_year", *_METRIC_COLS[3:])
 
 
@@ -591,11 +593,9 @@ _TOPK_COLS = [f"top_{p}pct_{m}" for p in (5, 10, 20) for m in ("alert_count", "p
 
 
 def baseline_tables(spark, sf):
-    """(model frame, metrics of all designs, test predictions of all designs)."""
-    from qualityspark.operators.ordered import Ordered
-    from qualityspark.operators.validation import (blocked_labelled, constant_and_previous_baselines,
-                                                   monthly_rolling_baselines, random_split,
-                                                   year_holdout_baselines)
+    """(model frame, metrics of all designs, test predictions of all designs as ``Sliced``)."""
+    from qualityspark.operators.validation import (constant_and_previous_baselines, monthly_rolling_baselines,
+                                                   random_split, union_sliced, year_holdout_baselines)
     from qualityspark.session import materialize
     mf = materialize(model_frame(spark, sf))
     lab_r = random_split(mf, key=_rk()).withColumn("_all", F.lit(0))
@@ -606,12 +606,8 @@ def baseline_tables(spark, sf):
     m_m, p_m = monthly_rolling_baselines(mf, "target", "target_lag1")
     metrics = m_r.drop("_all").unionByName(m_y, allowMissingColumns=True) \
         .unionByName(m_b.drop("_all"), allowMissingColumns=True).unionByName(m_m, allowMissingColumns=True)
-    preds = p_r.drop("_all").unionByName(p_y, allowMissingColumns=True) \
-        .unionByName(p_b.drop("_all"), allowMissingColumns=True).unionByName(p_m, allowMissingColumns=True)
-    # metric rows are read by several report branches: write them once.  The
-    # prediction fact table is returned lazily; readers that scan it more than
-    # once (top-k) write it themselves.
-    return mf, materialize(metrics), preds
+    # metric rows are read by several report branches: write them once
+    return mf, materialize(metrics), union_sliced([p_r, p_y, p_b, p_m])
 
 
 @register("risk_thresholds", f"WITH {_MF_SQL.strip()},{_TH_SQL}\n"
@@ -624,19 +620,19 @@ def q_risk_thresholds(spark, sf):
 
 @register("risk_metrics", _ALL_PRED_CTES + "," + _CONF_SQL.strip() + "\nSELECT " + ", ".join(_RISK_COLS) + " FROM risk")
 def q_risk_metrics(spark, sf):
-    from qualityspark.operators.risk import alert_metrics, risk_thresholds
+    from qualityspark.operators.risk import risk_thresholds, sliced_alert_metrics
     mf, _, preds = baseline_tables(spark, sf)
-    return alert_metrics(preds, risk_thresholds(mf, "target"), _RK, fractions=()).select(*_RISK_COLS)
+    return sliced_alert_metrics(preds, risk_thresholds(mf, "target"), _RK, fractions=()).select(*_RISK_COLS)
 
 
 @register("risk_topk", _ALL_PRED_CTES + "," + _CONF_SQL.strip() + "\nSELECT "
           + ", ".join(_RISK_COLS[:6] + _TOPK_COLS) + " FROM risk")
 def q_risk_topk(spark, sf):
-    from qualityspark.operators.risk import alert_metrics, risk_thresholds
+    from qualityspark.operators.risk import risk_thresholds, sliced_alert_metrics
     from qualityspark.session import materialize
     mf, _, preds = baseline_tables(spark, sf)
-    preds = materialize(preds)            # scanned by the confusion, rank and tie steps
-    return alert_metrics(preds, risk_thresholds(mf, "target"), _RK).select(*(_RISK_COLS[:6] + _TOPK_COLS))
+    preds.sources = materialize(preds.sources)            # scanned by the confusion, rank and tie steps
+    return sliced_alert_metrics(preds, risk_thresholds(mf, "target"), _RK).select(*(_RISK_COLS[:6] + _TOPK_COLS))
 
 
 def _baseline_comparison(metrics):
@@ -711,10 +707,10 @@ FROM (SELECT 1) LEFT JOIN qsig ON TRUE, lg, sr, ar"""
 
 @register("decision_table", _ALL_PRED_CTES + "," + _CONF_SQL.strip() + "," + _GROUP_SQL + "," + _DEC_SQL)
 def q_decision_table(spark, sf):
-    from qualityspark.operators.risk import alert_metrics, decision_summary, risk_thresholds, summarize_feature_groups
+    from qualityspark.operators.risk import decision_summary, risk_thresholds, sliced_alert_metrics, summarize_feature_groups
     mf, metrics, preds = baseline_tables(spark, sf)
     from qualityspark.session import materialize
-    risk = materialize(alert_metrics(preds, risk_thresholds(mf, "target"), _RK, fractions=()))
+    risk = materialize(sliced_alert_metrics(preds, risk_thresholds(mf, "target"), _RK, fractions=()))
     risk = risk.withColumn("feature_group", F.col("model"))
     cmp = _baseline_comparison(metrics)
     year_all = metrics.where(F.col("validation") == "year_holdout").withColumn("feature_group", F.col("model"))

@@ -90,3 +90,55 @@ def test_alert_metrics_small_tie_bins(spark, preds, monkeypatch):
     from qualityspark.operators import risk
     monkeypatch.setattr(risk, "TIE_BIN", 3)
     test_alert_metrics_brute_force(spark, preds)
+
+
+def _sliced(spark):
+    """Two sources, constants of three slices on each, and a scored slice on one."""
+    from qualityspark.operators.validation import Sliced
+    rng = np.random.default_rng(21)
+    rows = []
+    for year, n in [(1, 120), (2, 33)]:
+        a = np.round(rng.normal(11, 3, n), 1)
+        rows += [(year, "constant", int(i * 37 % 997), float(v), None) for i, v in enumerate(a)]
+        rows += [(year, "previous_value", int(i * 37 % 997), float(v), float(np.round(v + rng.normal(0, 2))))
+                 for i, v in enumerate(a) if i % 3]
+    sources = spark.createDataFrame(rows, "test_year int, scorer string, lot_id long, actual double, predicted double")
+    consts = [(7, y, "mean", "constant", v) for y in (1, 2) for v in (12.5,)]
+    consts += [(8, y, "median", "constant", v) for y in (1, 2) for v in (9.0,)]
+    consts += [(9, 1, "mean", "constant", 30.0), (9, 2, "mean", "constant", math.nan), (7, 1, "previous_value", "previous_value", None)]
+    slices = spark.createDataFrame(consts, "train_year int, test_year int, model string, scorer string, value double")
+    return Sliced(sources, slices, ["test_year", "scorer"]), pd.DataFrame(rows, columns=sources.columns), consts
+
+
+def test_sliced_alerts_equal_row_alerts(spark):
+    """Counts by source equal the metrics over the expanded fact table and brute force."""
+    from qualityspark.operators.risk import sliced_alert_metrics
+    sliced, _, _ = _sliced(spark)
+    th = spark.createDataFrame([("p75", 0.75, 11.0), ("p80", 0.8, 12.5), ("p90", 0.9, 14.0)],
+                               "threshold_name string, quantile double, threshold_ppm double")
+    keys = ["train_year", "test_year", "model"]
+    got = sliced_alert_metrics(sliced, th, keys).toPandas()
+    want = alert_metrics(sliced.rows(), th, keys).toPandas()
+    order = keys + ["threshold_name"]
+    assert len(got) == 3 * 6                         # the NaN constant gives no rows
+    pd.testing.assert_frame_equal(got.sort_values(order).reset_index(drop=True),
+                                  want.sort_values(order).reset_index(drop=True)[got.columns], check_dtype=False)
+
+
+def test_constant_metrics_brute_force(spark):
+    """R2, RMSE and MAE of constants from cell counts; a constant target; a slice without rows."""
+    from qualityspark.operators.validation import constant_metrics
+    rng = np.random.default_rng(5)
+    y = {1: np.round(rng.normal(1e5, 3, 400), 2), 2: np.full(7, 0.1), 3: np.array([4.0])}
+    rows = spark.createDataFrame([(k, float(v)) for k, a in y.items() for v in a] + [(1, None)], "src int, y double")
+    consts = [(k, m, v) for k in (1, 2, 3, 4) for m, v in (("a", 0.1), ("b", 1e5), ("c", float(y[1][0])), ("d", 4.0))]
+    got = constant_metrics(rows, ["src"], spark.createDataFrame(consts, "src int, m string, value double"), "y").toPandas()
+    assert set(got.src) == {1, 2, 3} and len(got) == 12
+    for r in got.itertuples():
+        a, c = y[r.src], r.value
+        sse, sst = float(((a - c) ** 2).sum()), float(((a - a.mean()) ** 2).sum())
+        flat = a.min() == a.max()
+        r2 = (1.0 if (a == c).all() else 0.0) if flat else 1 - sse / sst
+        assert r.n == len(a) and r.r2 == pytest.approx(r2, rel=1e-9, abs=1e-6)
+        assert r.rmse == pytest.approx(math.sqrt(sse / len(a)), rel=1e-9, abs=1e-6)
+        assert r.mae == pytest.approx(float(np.abs(a - c).mean()), rel=1e-9, abs=1e-6)
