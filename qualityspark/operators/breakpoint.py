@@ -9,37 +9,22 @@ jump needs a relative change >= 0.2 and either effect >= 1 or p < 0.01; the
 transition dummy applies to jump years that have no September.
 
 One grouped aggregate per level (year table, then year x feature); the
-p-value is a pandas UDF over the years x features result only.
+p-value is a column expression over the years x features result.
 """
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from qualityspark.functions.numeric import t_two_sided
 from qualityspark.operators.outliers import to_long
-from qualityspark.operators.tails import t_sf2
 
 EFFECT_THRESHOLD = 1.0
 REL_CHANGE_THRESHOLD = 0.2
 P_THRESHOLD = 0.01
 
 
-@F.pandas_udf(DoubleType())
-def welch_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    out = []
-    for a, b in zip(t, df):
-        if a is None or b is None or (isinstance(a, float) and math.isnan(a)):
-            out.append(None)
-        else:
-            out.append(t_sf2(float(a), float(b)))
-    return pd.Series(out, dtype="float64")
-
-
 def year_windows(df: DataFrame, date_col: str = "date") -> DataFrame:
     """One row per year with month flags and window choice."""
     d = F.col(date_col)
@@ -107,8 +92,7 @@ def breakpoint_stats(df: DataFrame, columns, date_col: str = "date", with_p: boo
         F.when(tested & big, t).alias("t_stat"),
         F.when(tested & big, F.coalesce(dfw, F.col("pre_n") + F.col("post_n") - 2.0)).alias("welch_df"))
     if with_p:
-        out = out.withColumn("ttest_pvalue", F.when(F.col("t_stat").isNotNull(),
-                                                    welch_p(F.col("t_stat"), F.col("welch_df"))))
+        out = out.withColumn("ttest_pvalue", t_two_sided(F.col("t_stat"), F.col("welch_df")))
         p_rule = F.coalesce(F.col("ttest_pvalue") < P_THRESHOLD, F.lit(False))
     else:
         p_rule = F.lit(False)

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualityspark.functions.numeric import round6
 from qualityspark.operators import outliers
-from qualityspark.plans.sqlgen import clip_sql, r6, unpivot
+from qualityspark.plans.sqlgen import clip_sql, r6, t_two_sided_sql, unpivot
 from qualityspark.sources.tables import lots, lots_gap, lots_raw, with_lots
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -598,12 +599,17 @@ def baseline_tables(spark, sf):
                                                    random_split, union_sliced, year_holdout_baselines)
     from qualityspark.session import materialize
     mf = materialize(model_frame(spark, sf))
-    lab_r = random_split(mf, key=_rk()).withColumn("_all", F.lit(0))
-    m_r, p_r = constant_and_previous_baselines(lab_r, ["_all"], "target", "target_lag1", "random_split")
-    m_y, p_y = year_holdout_baselines(mf, "target", "target_lag1")
-    lab_b = _blocked(mf).withColumn("_all", F.lit(0))
-    m_b, p_b = constant_and_previous_baselines(lab_b, ["_all"], "target", "target_lag1", "blocked_time_holdout")
-    m_m, p_m = monthly_rolling_baselines(mf, "target", "target_lag1")
+
+    def const(labelled, name):
+        return constant_and_previous_baselines(labelled.withColumn("_all", F.lit(0)), ["_all"], "target", "target_lag1", name)
+
+    # the designs do not depend on one another: their jobs run at the same time
+    designs = [lambda: const(random_split(mf, key=_rk()), "random_split"),
+               lambda: year_holdout_baselines(mf, "target", "target_lag1"),
+               lambda: const(_blocked(mf), "blocked_time_holdout"),
+               lambda: monthly_rolling_baselines(mf, "target", "target_lag1")]
+    with ThreadPoolExecutor(max_workers=len(designs)) as pool:
+        (m_r, p_r), (m_y, p_y), (m_b, p_b), (m_m, p_m) = pool.map(lambda d: d(), designs)
     metrics = m_r.drop("_all").unionByName(m_y, allowMissingColumns=True) \
         .unionByName(m_b.drop("_all"), allowMissingColumns=True).unionByName(m_m, allowMissingColumns=True)
     # metric rows are read by several report branches: write them once
@@ -757,6 +763,29 @@ bp AS (
               WHEN m2 - m1 <> 0 THEN CAST('inf' AS DOUBLE) ELSE 0.0 END AS effect,
          v1 / pre_n + v2 / post_n AS se2, v1, v2
   FROM st
+),
+bt AS (
+  SELECT *, CASE WHEN tested AND big AND se2 > 0 THEN (m1 - m2) / sqrt(se2) END AS t_stat,
+         CASE WHEN tested AND big AND se2 > 0 THEN se2 * se2 / (power(v1 / pre_n, 2) / (pre_n - 1)
+             + power(v2 / post_n, 2) / (post_n - 1)) END AS welch_df
+  FROM bp
+),
+bj AS (
+  SELECT *, coalesce(tested AND rel >= 0.2 AND (effect >= 1 OR coalesce(ttest_pvalue < 0.01, FALSE)), FALSE) AS jump_flag
+  FROM (SELECT *, {t_two_sided_sql("t_stat", "welch_df")} AS ttest_pvalue FROM bt)
+),
+ym AS (
+  SELECT CAST(year(date) AS INTEGER) AS year, array_to_string(list_sort(list(DISTINCT month(date))), ',') AS months_present,
+         count_if((month(date) = 7 AND day(date) >= 22) OR (month(date) = 8 AND day(date) <= 15)) AS npre,
+         count_if(month(date) = 10 AND day(date) <= 10) AS npost, count_if(month(date) = 8) AS naug, count_if(month(date) = 10) AS noct
+  FROM lots_gap GROUP BY 1
+),
+rep AS (
+  SELECT year, months_present, has_aug, has_sep, has_oct, NOT has_sep AS has_missing_sep,
+         CASE WHEN NOT (has_aug AND has_oct) THEN 0 WHEN npre < 6 THEN naug ELSE npre END AS pre_window_rows,
+         CASE WHEN NOT (has_aug AND has_oct) THEN 0 WHEN npost < 6 THEN noct ELSE npost END AS post_window_rows,
+         coalesce(j, FALSE) AS jump_detected, NOT has_sep AND coalesce(j, FALSE) AS apply_transition_dummy
+  FROM yw JOIN ym USING (year) LEFT JOIN (SELECT year, bool_or(jump_flag) AS j FROM bj GROUP BY year) USING (year)
 )"""
 
 
@@ -766,30 +795,31 @@ SELECT year, feature, pre_n, post_n,
        round(CASE WHEN tested THEN diff END, 6) + 0.0 AS mean_diff_post_minus_pre,
        round(CASE WHEN tested THEN rel END, 6) AS relative_change,
        round(CASE WHEN tested THEN effect END, 6) AS effect_size_like,
-       round(CASE WHEN tested AND big AND se2 > 0 THEN (m1 - m2) / sqrt(se2) END, 6) + 0.0 AS t_stat,
-       round(CASE WHEN tested AND big AND se2 > 0 THEN se2 * se2 / (power(v1 / pre_n, 2) / (pre_n - 1)
-             + power(v2 / post_n, 2) / (post_n - 1)) END, 6) AS welch_df
-FROM bp""")
+       round(t_stat, 6) + 0.0 AS t_stat, round(welch_df, 6) AS welch_df, round(ttest_pvalue, 6) AS ttest_pvalue, jump_flag
+FROM bj""")
 def q_breakpoint_stats(spark, sf):
     from qualityspark.operators.breakpoint import breakpoint_stats
-    st = breakpoint_stats(_gap_lots(spark, sf), _BP_COLS, with_p=False)
+    st = breakpoint_stats(_gap_lots(spark, sf), _BP_COLS)
     return st.select("year", "feature", "pre_n", "post_n",
                      *[round6(c).alias(c) for c in ("pre_mean", "post_mean", "mean_diff_post_minus_pre",
-                                                    "relative_change", "effect_size_like", "t_stat", "welch_df")])
+                                                    "relative_change", "effect_size_like", "t_stat", "welch_df",
+                                                    "ttest_pvalue")], "jump_flag")
 
 
-@register("transition_flag")
+@register("transition_flag", f"WITH {_BP_SQL.strip()}" + """
+SELECT lot_id, CAST(CASE WHEN month(date) >= 10 AND year(date) IN (SELECT year FROM rep WHERE apply_transition_dummy)
+                         THEN 1 ELSE 0 END AS INTEGER) AS missing_transition_phase FROM lots_gap""")
 def q_transition_flag(spark, sf):
-    """O4 (rows-only: the jump rule uses a Welch t-test p-value)."""
+    """The jump rule uses the Welch t-test p-value."""
     from qualityspark.operators.breakpoint import apply_transition_flag, transition_report
     df = _gap_lots(spark, sf)
     rep = transition_report(df, _BP_COLS)
     return apply_transition_flag(df, rep).select("lot_id", "missing_transition_phase")
 
 
-@register("transition_report")
+@register("transition_report", f"WITH {_BP_SQL.strip()}\nSELECT * FROM rep")
 def q_transition_report(spark, sf):
-    """O3 year level with p-values (rows-only)."""
+    """O3 year level with p-values."""
     from qualityspark.operators.breakpoint import transition_report
     return transition_report(_gap_lots(spark, sf), _BP_COLS).withColumn(
         "months_present", F.array_join("months_present", ","))

@@ -65,3 +65,20 @@ def test_report_and_flag(df):
     assert rep[2021]["jump_detected"] and not rep[2022]["jump_detected"]
     flagged = apply_transition_flag(df, transition_report(df, ["x"])).where("missing_transition_phase = 1")
     assert sorted(r["date"].month for r in flagged.collect()) == [10] * 10 + [11]
+
+
+def test_t_two_sided_column(spark):
+    """The p-value expression against the continued fraction, and its edges."""
+    from pyspark.sql import functions as F
+
+    from qualityspark.functions.numeric import t_two_sided
+    from qualityspark.operators.tails import norm_sf, t_sf2
+    cases = [(t, d) for t in (0.0, 0.3, -1.7, 2.6, 5.0, -12.0, 40.0) for d in (1.0, 2.5, 7.0, 14.3, 120.0, 5e4)]
+    near_normal = [(t, 1e7) for t in (0.3, -1.7, 5.0)]          # lgamma loses digits there
+    edges = [(float("inf"), 9.0), (None, 3.0), (float("nan"), 3.0), (1.0, None), (1.0, 0.0)]
+    df = spark.createDataFrame(list(enumerate(cases + edges + near_normal)), "i int, c struct<t:double,d:double>")
+    got = [r[0] for r in df.orderBy("i").select(t_two_sided(F.col("c.t"), F.col("c.d"))).collect()]
+    for (t, d), p in zip(cases, got):
+        assert p == pytest.approx(t_sf2(t, d), rel=1e-8, abs=1e-12), (t, d)
+    assert got[len(cases):-3] == [0.0, None, None, None, None]
+    assert got[-3:] == pytest.approx([2 * norm_sf(abs(t)) for t, _ in near_normal], rel=1e-4)
