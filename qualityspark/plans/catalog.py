@@ -1109,10 +1109,10 @@ def q_feature_importance(spark, sf):
 
 @register("combo_ranking")
 def q_combo_ranking(spark, sf):
-    """M10 + M11 + T4: feature combinations ranked by CV RMSE, the best three."""
+    """M10 + M11 + T4: all 47 feature combinations ranked by CV RMSE of least squares, the best ten."""
     from qualityspark.operators.models import combination_search, feature_combinations
-    return combination_search(ml_frame(spark, sf), feature_combinations([("ffa", "log_ffa")], ["mi"]),
-                              _specs()["linear_regression"], "target", ML_QUALITY, top=3)
+    combos = feature_combinations([("ffa", "log_ffa")], ["dobi", "iv", "car_pv", "mi"])
+    return combination_search(ml_frame(spark, sf), combos, _specs()["linear_regression"], "target", ML_QUALITY, top=10)
 
 
 @register("feed_report_decision")
