@@ -2,23 +2,29 @@
 
 A monthly block is a delimited text file (one file per sheet): four lead
 rows, an unused first column, then the 20 positional columns of
-``schema.RAW_COLUMNS``.  Each file is read whole (a month of one plant is
-small), split into lines with their position, and parsed with ``from_csv``;
-file discovery is Spark's own (glob filter, lock files excluded), so the
+``schema.RAW_COLUMNS``.  Files are read by line in byte ranges (splits), so one large
+file is many tasks.  Lines are written once with an ascending number; a table of one row per
+range (lines, first number) then gives every range its place in the file, and a line's
+position is the lines before its range plus its place there.  Rows are not shuffled.
+File discovery is Spark's own (glob filter, lock files excluded), so the
 listing also works on a cluster file system.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from qualityspark.functions.text import normalize_category, normalize_numeric_text, parse_date
 from qualityspark.operators.profile import filter_years, ingest_metadata, parse_year_filter
 from qualityspark.schema import CATEGORICAL_COLUMNS, NUMERIC_COLUMNS, RAW_COLUMNS
+from qualityspark.session import materialize
 
 LEAD_ROWS = 4
+SUFFIXES = (".csv", ".txt", ".tsv")
 SUFFIX_GLOB = "*.{csv,txt,tsv}"
 # date spellings tried in order when the default ISO parse fails (fixed values)
 DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy", "d/M/yyyy", "dd-MM-yyyy", "yyyy/MM/dd"]
@@ -38,24 +44,41 @@ def _line_schema(n_cols: int) -> StructType:
     return StructType([StructField(f"c{i}", StringType()) for i in range(n_cols)])
 
 
+def _lines(spark: SparkSession, paths) -> DataFrame:
+    """(_input, _path, _start, _line, source_file, value): the lines of the files in ``paths``, with
+    the byte range they were read in and a number that ascends inside it."""
+    plain = [p for p in paths if p.endswith(SUFFIXES) and not any(c in p for c in "*?[{")]
+    # different files cannot overlap; a folder or a pattern may name a file again
+    inputs = ([plain] if plain else []) + [[p] for p in paths if p not in set(plain)]
+    frames = [spark.read.option("pathGlobFilter", SUFFIX_GLOB).option("lineSep", "\n").text(files).select(
+        F.lit(i).alias("_input"), F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_start"), F.col("_metadata.file_name").alias("source_file"),
+        F.monotonically_increasing_id().alias("_line"), F.regexp_replace("value", r"\r$", "").alias("value"))
+        for i, files in enumerate(inputs)]
+    return reduce(DataFrame.unionAll, frames)
+
+
 def read_blocks(spark: SparkSession, paths, sep: str = ",", lead_rows: int = LEAD_ROWS) -> DataFrame:
-    """Raw text cells of every block, plus sheet_name, source_file, row_pos."""
-    raw = (spark.read.option("pathGlobFilter", SUFFIX_GLOB)
-           .text(resolve_inputs(paths), wholetext=True)
-           .select("value", F.col("_metadata.file_name").alias("source_file"),
-                   F.col("_metadata.file_path").alias("_path")))
-    raw = raw.where(~F.col("source_file").startswith("~$"))
-    lines = raw.select("source_file", "_path",
-                       F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("row_pos", "line"))
-    lines = lines.where((F.col("row_pos") >= lead_rows) & (F.trim(F.col("line")) != ""))
+    """Raw text cells of every block, plus sheet_name, source_file, row_pos (0-based
+    line of the file).  A file that several inputs name is read from the first of them."""
+    lines = materialize(_lines(spark, resolve_inputs(paths)))
+    lines = lines.where(~F.col("source_file").startswith("~$"))
+    ranges = lines.groupBy("_input", "_path", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_line").alias("_first"))
+    file = Window.partitionBy("_path")
+    before = Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_from", F.min("_input").over(file)).where("_input = _from").withColumn(
+        "_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    # one row per byte range of some 100 MB: AQE broadcasts it by its measured size
+    placed = lines.join(ranges.select("_input", "_path", "_start", "_first", "_before"), ["_input", "_path", "_start"])
+    placed = placed.withColumn("row_pos", F.col("_before") + F.col("_line") - F.col("_first"))
+    placed = placed.where((F.col("row_pos") >= lead_rows) & (F.trim("value") != ""))
     n = len(RAW_COLUMNS) + 1
-    parsed = lines.select(
-        "source_file", "_path", F.col("row_pos").cast("long"),
-        F.from_csv(F.col("line"), _line_schema(n).simpleString(), {"sep": sep}).alias("r"))
+    parsed = placed.select(
+        "source_file", F.col("row_pos").cast("long"),
+        F.from_csv(F.col("value"), _line_schema(n).simpleString(), {"sep": sep}).alias("r"))
     cols = [F.col(f"r.c{i + 1}").alias(name) for i, name in enumerate(RAW_COLUMNS)]
     sheet = F.regexp_replace(F.col("source_file"), r"\.[^.]*$", "")
-    return parsed.select(*cols, sheet.alias("sheet_name"), "source_file", "row_pos", "_path") \
-                 .dropDuplicates(["_path", "row_pos"]).drop("_path")
+    return parsed.select(*cols, sheet.alias("sheet_name"), "source_file", "row_pos")
 
 
 def _date(c):

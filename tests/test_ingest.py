@@ -56,6 +56,34 @@ def test_read_and_type(spark, folder):
     assert set(model_source(typed).columns) == set(RAW_COLUMNS) | {"source_file"}
 
 
+def test_positions_do_not_depend_on_byte_ranges(spark, tmp_path):
+    """One file in many ranges, with blank lines, carriage returns and no last line end, beside a small one."""
+    lines = ["lead"] * 4 + ["" if i % 17 == 3 else _row(f"2023-01-{i % 28 + 1:02d}", feed_p_ppm=str(i)) for i in range(4, 900)]
+    (tmp_path / "big.csv").write_bytes("\r\n".join(lines).encode())
+    (tmp_path / "small.csv").write_text("\n".join(lines[:40]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        # the folder, a file of it and a pattern that names the other: each line once
+        got = read_blocks(spark, [str(tmp_path), str(tmp_path / "big.csv"), str(tmp_path / "s*.csv")]).select(
+            "source_file", "row_pos", "feed_p_ppm").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [("big.csv", i, str(i)) for i in range(4, 900) if i % 17 != 3] + [("small.csv", i, str(i)) for i in range(4, 40) if i % 17 != 3]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_one_file_is_many_tasks(spark, tmp_path):
+    from qualityspark.sources.monthly import _lines
+    (tmp_path / "big.csv").write_text(_block([_row("2023-01-01", feed_p_ppm=str(i)) for i in range(2000)]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        assert _lines(spark, [str(tmp_path)]).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_year_filter(spark, folder):
     typed, meta = load_raw_inputs(spark, [str(folder)], year_filter="2024")
     assert typed.count() == 2
