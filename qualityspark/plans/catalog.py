@@ -232,12 +232,16 @@ def q_trend_rownum(spark, sf):
 _INTERP_COLS = ["dobi", "iv"]
 
 
-def _interp_sql(c):
-    return f"""
-    round(CASE WHEN {c} IS NOT NULL THEN {c}
+def _interp_expr(c):
+    return f"""CASE WHEN {c} IS NOT NULL THEN {c}
          WHEN pi_{c} IS NOT NULL AND ni_{c} IS NOT NULL
               THEN (nv_{c} - pv_{c}) / (ni_{c} - pi_{c}) * (idx - pi_{c}) + pv_{c}
-         WHEN pi_{c} IS NOT NULL THEN pv_{c} ELSE nv_{c} END, 6) AS {c}"""
+         WHEN pi_{c} IS NOT NULL THEN pv_{c} ELSE nv_{c} END"""
+
+
+def _interp_sql(c):
+    return f"""
+    round({_interp_expr(c)}, 6) AS {c}"""
 
 
 def _nb_sql(c):
@@ -1181,10 +1185,57 @@ def _preprocess(spark, sf, name):
         log_columns=["ffa", "target"], wanted=[name])[name]
 
 
-@register("processed_full")
+_CHAIN_SQL = f"""
+t AS (
+  SELECT *, CAST(month(date) AS INTEGER) AS month, CAST(row_number() OVER (ORDER BY date, lot_id) AS BIGINT) AS time_trend,
+         CAST(CASE WHEN month(date) >= 10 AND year(date) IN (SELECT year FROM rep WHERE apply_transition_dummy)
+                   THEN 1 ELSE 0 END AS INTEGER) AS missing_transition_phase
+  FROM lots_gap
+),
+cl AS ({unpivot("t", CLIP_COLS, ids=["month"])}),
+cq AS (
+  SELECT feature, month, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
+  FROM cl WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY feature, month
+),
+bounds AS (
+  SELECT feature, month, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper FROM cq WHERE n >= 4 AND q3 - q1 <> 0
+),
+x AS (
+  SELECT l.* REPLACE ({", ".join(clip_sql(f"l.{c}", f"b_{c}.lower", f"b_{c}.upper") + f" AS {c}" for c in CLIP_COLS)}),
+         l.time_trend AS idx
+  FROM t l {_clip_joins}
+),
+nb AS (SELECT *, {", ".join(_nb_sql(c) for c in CLIP_COLS)} FROM x),
+ip AS (SELECT * REPLACE ({", ".join(_interp_expr(c) + f" AS {c}" for c in CLIP_COLS)}) FROM nb),
+md AS (SELECT {", ".join(f"median({c}) AS md_{c}" for c in CLIP_COLS)},
+  {", ".join(f"(SELECT {c} FROM x WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS md_{c}" for c in ("tank", "type"))}
+  FROM ip),
+fl AS (
+  SELECT ip.* REPLACE ({", ".join(f"coalesce({c}, md_{c}) AS {c}" for c in CLIP_COLS)}, {", ".join(
+      f"coalesce({c}, last_value({c} IGNORE NULLS) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
+      f"first_value({c} IGNORE NULLS) OVER (ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), md_{c}, 'UNKNOWN') AS {c}"
+      for c in ("tank", "type"))})
+  FROM ip CROSS JOIN md
+)"""
+_CHAIN_DOUBLES = [*CLIP_COLS, "target"]
+
+
+@register("processed_full", f"WITH {_BP_SQL.strip()}, {_CHAIN_SQL.strip()}" + f"""
+SELECT lot_id, date, yr, tank, type, month, missing_transition_phase, time_trend,
+       {", ".join(f"CAST(CASE WHEN month = {k} THEN 1 ELSE 0 END AS INTEGER) AS month_{k}" for k in range(1, 13))},
+       {", ".join(r6(c) + f" AS {c}" for c in _CHAIN_DOUBLES)},
+       {", ".join(r6(f"ln(1 + greatest({c}, 0))") + f" AS log_{c}" for c in ("ffa", "target"))}
+FROM fl""")
 def q_processed_full(spark, sf):
-    """Clipped, imputed, log-featured frame with time features (rows-only)."""
-    return _preprocess(spark, sf, "processed_full")
+    """Clipped, imputed, log-featured frame with time features."""
+    return _preprocess(spark, sf, "processed_full").withColumns(
+        {c: round6(c) for c in [*_CHAIN_DOUBLES, "log_ffa", "log_target"]})
+
+
+@register("run_summary_sections")
+def q_run_summary_sections(spark, sf):
+    """A7 with all its parts: rows, missing values, clipped outliers, transition years, normality, VIF (rows-only)."""
+    return _preprocess(spark, sf, "summary_sections")
 
 
 @register("model_ready")

@@ -10,9 +10,12 @@ from qualityspark.operators.gram import best_subset, gram, non_constant, ols_fro
 from qualityspark.operators.ordered import Ordered
 from qualityspark.schema import target_safe
 from qualityspark.session import materialize
+from qualityspark.sources.sinks import publish
 
 
-def run_ols(model_ready: DataFrame, target: str, candidates, fixed, date_col: str = "date", tie=()) -> dict:
+def run_ols(model_ready: DataFrame, target: str, candidates, fixed, date_col: str = "date", tie=(),
+            publish_to: tuple[str, str] | None = None) -> dict:
+    """``publish_to``: (folder, run id) to write the results to."""
     df = materialize(model_ready.where(F.col(target).isNotNull()))
     cands = [c for c in target_safe(candidates, target) if c in df.columns]
     if not cands:
@@ -27,5 +30,8 @@ def run_ols(model_ready: DataFrame, target: str, candidates, fixed, date_col: st
     lag_fit = ols_from_gram(gram(lagged, [target] + feats), target, feats)
     diag = residual_diagnostics(lagged, lag_fit, ordered=lambda f: Ordered(f, date_col, tie))
     acf = Ordered(lagged, date_col, tie).acf(target, 40)
-    return {"base": base, "best": best, "subset_log": log, "lag_frame": lagged, "lag_fit": lag_fit,
-            "lag_diagnostics": diag, "acf": acf}
+    out = {"base": base, "best": best, "subset_log": log, "lag_frame": lagged, "lag_fit": lag_fit,
+           "lag_diagnostics": diag, "acf": acf}
+    if publish_to is not None:
+        publish(df.sparkSession, *publish_to, out, ("lag_frame",), date_col)
+    return out

@@ -3,8 +3,8 @@
 typed frame -> transition breakpoint (on unclipped data) -> time features ->
 month-wise IQR clip -> missing-value handling -> log features -> normality,
 correlations, VIF selection -> model-ready projection; plus the run summary.
-Every step is a DataFrame operator; outputs are DataFrames (and optional
-Parquet / JSON sinks).
+Every step is a DataFrame operator; outputs are DataFrames, and published as one run
+(``sources.sinks.publish``) where an output folder is given.
 """
 
 from __future__ import annotations
@@ -22,9 +22,12 @@ from qualityspark.operators.outliers import iqr_clip_by_month
 from qualityspark.operators.profile import descriptive_stats, missing_counts, monthly_boxplot_stats
 from qualityspark.operators.ranks import quantiles_wide
 from qualityspark.operators.outliers import to_long
-from qualityspark.schema import QualitySchema
+from qualityspark.schema import RAW_COLUMNS, QualitySchema
 from qualityspark.session import materialize
+from qualityspark.sources.sinks import json_safe, publish
 
+#: results that are written as datasets, the others as reports
+DATASETS = ("typed", "processed_full", "model_ready", "model_source")
 
 #: a column per category is only made for so many of them; more is an error, not a cut
 MAX_LEVELS = 2000
@@ -105,12 +108,49 @@ def run_summary(before: DataFrame, after: DataFrame, date_col: str = "date") ->
     return b.crossJoin(a)
 
 
+def summary_sections(parts: dict) -> DataFrame:
+    """A7 in full, from the results of ``run_preprocess``: (section, item, value), value a JSON object.
+    Non-finite numbers are left out.  Every section is of result size."""
+    spark = parts["summary"].sparkSession
+
+    def section(name, df, item=None):
+        rest = [c for c in df.columns if c != item]
+        return json_safe(df).select(F.lit(name).alias("section"), (F.col(item).cast("string") if item else F.lit("all")).alias("item"),
+                                    F.to_json(F.struct(*rest)).alias("value"))
+
+    def factors(rows):
+        return spark.createDataFrame([(f, float(v)) for f, v in rows], "feature string, vif double")
+
+    chosen = parts["vif_selection"]
+    history = [(h["removed_feature"], i + 1, float(h["vif_at_removal"])) for i, h in enumerate(chosen["removal_history"])]
+    kept = [(f, "kept") for f in chosen["kept_features"]] + [(f, "removed") for f in chosen["removed_features"]]
+    tables = [
+        section("rows", parts["summary"]),
+        section("missing_before", parts["missing_before"], "feature"), section("missing_after", parts["missing_after"], "feature"),
+        section("outliers_clipped", parts["outlier_counts"], "feature"),
+        section("transition", parts["transition_report"], "year"),
+        section("correlation", parts["correlation_method"]),
+        section("normality", parts["normality"], "feature"),
+        section("vif_before", factors(parts["vif_before"]), "feature"), section("vif_after", factors(chosen["final_vif"]), "feature"),
+        section("vif_selection", spark.createDataFrame(kept, "feature string, decision string"), "feature"),
+        section("vif_removals", spark.createDataFrame(history, "feature string, step int, vif_at_removal double"), "feature"),
+    ]
+    if "input_metadata" in parts:
+        tables.append(section("input", parts["input_metadata"]))
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def run_preprocess(typed: DataFrame, schema: QualitySchema, iqr_columns, transition_columns,
                    corr_columns, vif_columns, base_features, log_columns, vif_threshold: float = 10.0,
-                   profile_columns=None, boxplot_columns=None, encode_columns=None, wanted=None) -> dict:
+                   profile_columns=None, boxplot_columns=None, encode_columns=None, wanted=None,
+                   input_metadata: DataFrame | None = None, publish_to: tuple[str, str] | None = None) -> dict:
     """The whole first entry point.  ``encode_columns``: categoricals to one-hot
     encode (all by default).  ``wanted``: names of the results to make (all by default); the jobs
-    of the others are not run.  Returns a dict of DataFrames / small dicts."""
+    of the others are not run.  ``input_metadata``: the reader's one-row table, for the summary.
+    ``publish_to``: (folder, run id) to write the results to.  Returns a dict of DataFrames / small dicts."""
     target = schema.target
     typed = materialize(typed)
     report = transition_report(typed, list(dict.fromkeys(list(transition_columns) + [target])), schema.date)
@@ -130,18 +170,26 @@ def run_preprocess(typed: DataFrame, schema: QualitySchema, iqr_columns, transit
         return made[name]
 
     products = lambda: once("gram", lambda: gram(featured, vif_columns))
-    normality = lambda: once("normality", lambda: normality_report(featured, corr_columns))
-    selection = lambda: once("selection", lambda: select_by_vif(products(), vif_columns, vif_threshold))
+    part = lambda name: once(name, results[name])
+    in_summary = ("summary", "missing_before", "missing_after", "outlier_counts", "transition_report", "correlation_method",
+                  "normality", "vif_before", "vif_selection")
+    whole_summary = lambda: summary_sections({n: part(n) for n in in_summary} | (
+        {} if input_metadata is None else {"input_metadata": input_metadata}))
     results = {
         "typed": lambda: typed, "transition_report": lambda: report, "processed_full": lambda: featured,
-        "model_ready": lambda: build_model_ready(featured, target, base_features, vif_columns, selection()["kept_features"], encode),
+        "model_ready": lambda: build_model_ready(featured, target, base_features, vif_columns, part("vif_selection")["kept_features"], encode),
         "outlier_counts": lambda: outliers, "iqr_bounds": lambda: bounds,
         "missing_before": lambda: missing_counts(typed), "missing_after": lambda: missing_counts(featured),
-        "normality": normality, "correlation_method": lambda: primary_method(normality()),
+        "normality": lambda: materialize(normality_report(featured, corr_columns)),
+        "correlation_method": lambda: primary_method(part("normality")),
         "pearson": lambda: pearson_matrix(featured, corr_columns), "spearman": lambda: spearman_matrix(featured, corr_columns),
-        "vif_before": lambda: vif_from_gram(products(), vif_columns), "vif_selection": selection,
+        "vif_before": lambda: vif_from_gram(products(), vif_columns), "vif_selection": lambda: select_by_vif(products(), vif_columns, vif_threshold),
         "descriptive": lambda: descriptive_stats(featured, [c for c in prof_cols if c in featured.columns]),
         "monthly_boxplot": lambda: monthly_boxplot_stats(featured, boxplot_columns or list(corr_columns)),
-        "summary": lambda: run_summary(typed, featured, schema.date),
+        "model_source": lambda: typed.select(*[c for c in [*RAW_COLUMNS, "source_file"] if c in typed.columns]),
+        "summary": lambda: run_summary(typed, featured, schema.date), "summary_sections": whole_summary,
     }
-    return {name: make() for name, make in results.items() if wanted is None or name in wanted}
+    out = {name: part(name) for name in results if wanted is None or name in wanted}
+    if publish_to is not None:
+        publish(typed.sparkSession, *publish_to, out, DATASETS, schema.date)
+    return out
