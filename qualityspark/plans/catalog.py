@@ -1094,6 +1094,29 @@ def q_rf_cv(spark, sf):
                                  "params string, mean_test_rmse double, std_test_rmse double")
 
 
+#: a small grid of the forest reports' queries; the whole one is ``forest_report.FOREST_GRID``
+_FOREST_QUERY_GRID = {"trees": [20], "depth": [5, 10], "leaf_rows": [4], "features": ["sqrt"]}
+
+
+def _forest_report(spark, sf, group):
+    from qualityspark.plans.forest_report import run_forest_report
+    return run_forest_report(ml_frame(spark, sf), "target", group, ML_QUALITY, _FOREST_QUERY_GRID)
+
+
+@register("rf_full_report")
+def q_rf_full_report(spark, sf):
+    """The full forest report's row (log, trend, category and month features) over a grid of two points."""
+    from qualityspark.operators.features import FeatureGroup
+    numeric = ("log_ffa", "mi", "iv", "dobi", "car_pv", "time_trend")
+    return _forest_report(spark, sf, FeatureGroup("full", numeric, tuple(ML_CATS), True))["report"]
+
+
+@register("rf_core_report")
+def q_rf_core_report(spark, sf):
+    """Ranked importances of the core forest report (quality measures only) over a grid of two points."""
+    return _forest_report(spark, sf, _groups()["quality_only"])["importance"]
+
+
 @register("tree_ensembles_cv")
 def q_tree_ensembles_cv(spark, sf):
     """M6/M7: extremely-randomised-trees stand-in and gradient boosting."""
