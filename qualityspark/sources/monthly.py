@@ -5,7 +5,8 @@ rows, an unused first column, then the 20 positional columns of
 ``schema.RAW_COLUMNS``.  Files are read by line in byte ranges (splits), so one large
 file is many tasks.  Lines are written once with an ascending number; a table of one row per
 range (lines, first number) then gives every range its place in the file, and a line's
-position is the lines before its range plus its place there.  Rows are not shuffled.
+position is the lines before its range plus its place there.  Rows are not shuffled
+as long as that table is small enough for Spark to broadcast it.
 File discovery is Spark's own (glob filter, lock files excluded), so the
 listing also works on a cluster file system.
 """
