@@ -26,3 +26,22 @@ def test_spearman_holds_a_row_and_feature_once(spark, monkeypatch):
     want = pdf.corr(method="spearman")
     assert len(got) == 25 and all(got[x, y] == pytest.approx(want.loc[x, y], abs=1e-9) for x, y in got)
     assert sum(f.count() for f in sizes) <= 5 * n                     # not once more per null signature
+
+
+def test_missing_values_place_the_rows_once(spark, monkeypatch):
+    from qualityspark.operators import ordered
+    from qualityspark.plans.preprocess import handle_missing_values
+    from qualityspark.schema import QualitySchema
+    n = 60
+    x = [None if i % 4 == 1 else float(i * i) for i in range(n)]
+    k = [None if i < 3 or i % 5 == 0 else "ab"[i % 2] for i in range(n)]
+    rows = [(i, dt.datetime(2021, 1, 1) + dt.timedelta(days=i), x[i], None, k[i], None) for i in range(n)]
+    df = spark.createDataFrame(rows[::-1], "id long, date timestamp, x double, z double, k string, u string")
+    calls, place = [], ordered.place
+    monkeypatch.setattr(ordered, "place", lambda *a, **b: calls.append(1) or place(*a, **b))
+    schema = QualitySchema(date="date", target="y", measures=("x", "z"), categoricals=("k", "u"), tie=("id",))
+    out = handle_missing_values(df, schema, ["x", "z"], ["k", "u"]).toPandas().sort_values("id")
+    assert out.x.tolist() == pytest.approx(pd.Series(x, dtype=float).interpolate(limit_direction="both").tolist())
+    assert out.k.tolist() == pd.Series(k).ffill().bfill().tolist()
+    assert out.z.isna().all() and (out.u == "UNKNOWN").all() and list(out.columns) == df.columns
+    assert len(calls) == 1
