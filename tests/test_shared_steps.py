@@ -45,3 +45,28 @@ def test_missing_values_place_the_rows_once(spark, monkeypatch):
     assert out.k.tolist() == pd.Series(k).ffill().bfill().tolist()
     assert out.z.isna().all() and (out.u == "UNKNOWN").all() and list(out.columns) == df.columns
     assert len(calls) == 1
+
+
+def test_year_models_share_what_columns_learn(spark, monkeypatch):
+    from qualityspark.operators import features, models
+    rng = np.random.default_rng(8)
+    n = 240
+    rows = [(i, dt.datetime(2020 + i % 3, 1 + i % 12, 1 + i % 28), 2020 + i % 3, None if i % 9 == 0 else float(a), float(b),
+             None if i % 10 == 0 else "xyz"[i % 3], float(2 * a + b + e)) for i, (a, b, e) in enumerate(rng.normal(size=(n, 3)))]
+    df = spark.createDataFrame(rows, "lot_id long, date timestamp, year int, a double, b double, tank string, target double")
+    groups = [features.FeatureGroup("one", ("a",), (), False), features.FeatureGroup("two", ("a", "b", "time_trend"), ("tank",), True)]
+    spec = {s.name: s for s in models.model_specs()}["linear_regression"]
+    key = ["train_year", "test_year"]
+    want = {g.name: models.year_holdout_models(df, models.pipeline_for(g, spec, "target", ["a"]), "target")[0].orderBy(*key).toPandas()
+            for g in groups}
+    fits, fit = [], features.ExactImputer._fit
+    monkeypatch.setattr(features.ExactImputer, "_fit", lambda self, d: fits.append(1) or fit(self, d))
+    got = models.year_holdout_all(df, [(g, spec, {}) for g in groups], "target", ["a"]).toPandas()
+    assert len(fits) == 3                                             # years, not years x configurations
+    for g in groups:
+        mine = got[got.feature_group == g.name].sort_values(key)
+        for c in want[g.name].columns:
+            assert mine[c].tolist() == pytest.approx(want[g.name][c].tolist(), abs=2e-6)
+    again = models.year_holdout_all(df, [(groups[0], spec, {})], "target", ["a"], done={("one", spec.name): df.select("lot_id")},
+                                    store=object())
+    assert again.columns == ["lot_id", "feature_group", "model"] and len(fits) == 3
