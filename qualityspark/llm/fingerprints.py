@@ -12,8 +12,10 @@ the window minimum is a plain minimum.  Minima over windows double in width
 (1, 2, 4, ...), and long texts go through in pieces of ``PIECE`` windows that overlap, so
 no array is longer than a piece but the kept ones.
 
-The edited text differs from the text in its second half only, so windows inside the
-first half are kept from the text and only those behind are made anew.
+A text's windows are gone through once, on the scan; the places of its kept hashes move with
+it, and where they are wanted only the bytes at these places are hashed again.
+The edited text differs from the text in its second half only, so what the text keeps of the
+windows inside the first half holds for both, and only those behind are made anew.
 
 Scale: equal rows are combined before the one shuffle of texts.  The neighbour
 table holds an id, a hash and a length per document; it is placed in total order
@@ -50,11 +52,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _mark(data: Column, i: Column, end: Column, k: int) -> Column:
+    return F.xxhash64(F.substring(data, i + 1, F.lit(k))).bitwiseAND(F.lit(HASH_BITS)).bitwiseOR(end - i)
+
+
 def _marks(data: Column, at: Column, count: Column, k: int) -> Column:
     """Hash and position of the first ``count`` k-grams of ``data``, which begins at byte ``at``."""
     end = F.lit(LAST) - at
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(F.substring(data, i + 1, F.lit(k)))
-                       .bitwiseAND(F.lit(HASH_BITS)).bitwiseOR(end - i))
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: _mark(data, i, end, k))
 
 
 def _strides(window: int) -> list[list[int]]:
@@ -110,6 +115,24 @@ def selected(data: Column, size: Column, k: int = K, window: int = WINDOW, piece
     return F.when(grams < window, _few(data, grams, k)).otherwise(rest)
 
 
+def places(marks: Column) -> Column:
+    """The byte positions of marks."""
+    return F.transform(marks, lambda m: (F.lit(LAST) - m.bitwiseAND(F.lit(LAST))).cast("int"))
+
+
+def marks_at(data: Column, at: Column, k: int = K) -> Column:
+    """The marks of binary ``data`` whose places are known."""
+    return let(data, lambda d: F.transform(at, lambda i: _mark(d, i, F.lit(LAST), k)))
+
+
+def leading(marks: Column, data: Column, lead: Column, k: int = K, window: int = WINDOW, piece: int = PIECE) -> Column:
+    """Those of the selected ``marks`` of ``data`` that are minima of its first ``lead`` windows.  The
+    places of minima never go back, so they are the marks up to the minimum of the last such window."""
+    last = F.when(lead > 0, F.get(minima(data, lead - 1, lead - 1, k, window, piece), F.lit(0)))
+    # a later place is a smaller number; none are kept where there is no such window
+    return let(last.bitwiseAND(F.lit(LAST)), lambda to: F.filter(marks, lambda m: m.bitwiseAND(F.lit(LAST)) >= to))
+
+
 def hashes(marks: Column) -> Column:
     """The distinct hashes of marks, as ints (less 2**31)."""
     return F.array_distinct(F.transform(marks, lambda m: (F.shiftright(m, 31) - F.lit(LAST + 1)).cast("int")))
@@ -163,21 +186,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (hash and position as longs)."""
     rows = _documents(docs, id_col, text_col)
     near = neighbours(rows)
-    texts = rows.groupBy(*KEY).agg(F.first("text").alias("text")).join(near, KEY)
-    data = texts.withColumn("data", F.encode("text", "UTF-8")).withColumn("size", F.octet_length("data"))
     cut = (k, window, piece)
+    kept = rows.withColumn("at", places(selected(F.encode("text", "UTF-8"), F.octet_length("text"), *cut)))
+    texts = kept.groupBy(*KEY).agg(F.first("text").alias("text"), F.first("at").alias("at")).join(near, KEY)
+    data = texts.withColumn("data", F.encode("text", "UTF-8"))
     sent = data.select(*[F.col(f"p_{c}").alias(c) for c in KEY], F.expr("substring(text, 1, p_kn div 2)").alias("start"),
-                       hashes(selected(F.col("data"), F.col("size"), *cut)).alias("next_hashes"))
-    j = data.select(*KEY, "text", "data", "size", "m").join(sent, KEY)
+                       hashes(marks_at(F.col("data"), F.col("at"), k)).alias("next_hashes"))
+    j = data.select(*KEY, "text", "data", "at", "m").join(sent, KEY)
     j = j.withColumn("half", F.expr("substring(text, 1, kn - kn div 2)"))
     j = j.withColumn("edited", F.encode(F.concat("half", "start"), "UTF-8"))
     # windows that end inside the first half
     j = j.withColumn("lead", F.greatest(F.lit(0), F.octet_length("half") - F.lit(k + window - 2)))
-    j = j.withColumn("head", minima(F.col("data"), F.lit(0), F.col("lead") - 1, *cut)).select(
-        *KEY, "m", "data", "size", "edited", "lead", "head", "next_hashes")
-    known = (F.col("lead"), F.col("head"))
-    j = (j.withColumn("marks", selected(F.col("data"), F.col("size"), *cut, known))
-         .withColumn("edited_marks", selected(F.col("edited"), F.octet_length("edited"), *cut, known)))
+    j = j.select(*KEY, "m", "data", "edited", "lead", "next_hashes", marks_at(F.col("data"), F.col("at"), k).alias("marks"))
+    j = j.withColumn("head", leading(F.col("marks"), F.col("data"), F.col("lead"), *cut))
+    j = j.withColumn("edited_marks", selected(F.col("edited"), F.octet_length("edited"), *cut, (F.col("lead"), F.col("head"))))
     j = j.select(*KEY, "m", "marks", "edited_marks", "next_hashes", F.sha2("edited", 256).alias("edited_sha256"),
                  hashes(F.col("marks")).alias("own_hashes"), hashes(F.col("edited_marks")).alias("edited_hashes"))
     j = j.select(F.when(~F.col("kz"), F.col("kd")).alias("doc_id"), F.col("kn").cast("long").alias("n_chars"), "edited_sha256",

@@ -95,3 +95,26 @@ def test_texts_move_once(spark):
     out = fp.fingerprints(frame)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_windows_of_a_text_are_made_once(spark, monkeypatch):
+    """One pass over the windows of a whole text; beside it the last leading window and the edited tail."""
+    calls, minima = [], fp.minima
+    monkeypatch.setattr(fp, "minima", lambda data, first, last, *cut: calls.append((str(first), str(last))) or minima(data, first, last, *cut))
+    frame = spark.createDataFrame([(i, "some text %d " % i * 20, 1, "x") for i in range(5)], SCHEMA)
+    fp.fingerprints(frame)
+    whole = [c for c in calls if c[0] == "Column<'0'>"]
+    assert len(whole) == 1 and len(calls) == 3
+
+
+def test_leading_marks_are_those_of_the_first_windows(spark):
+    rng = random.Random(2)
+    rows = [("".join(rng.choice("ab") for _ in range(rng.choice([0, 3, 20, 60, 200]))), lead) for lead in (0, 1, 2, 9, 40) for _ in range(8)]
+    k, window = 3, 4
+    rows = [(t, min(lead, max(0, len(t) - k - window + 2))) for t, lead in rows]
+    frame = spark.createDataFrame(rows, "t string, lead int").withColumn("d", F.encode("t", "UTF-8"))
+    frame = frame.withColumn("marks", fp.selected(F.col("d"), F.octet_length("d"), k, window))
+    got = frame.select("marks", fp.marks_at(F.col("d"), fp.places(F.col("marks")), k).alias("again"),
+                       fp.leading(F.col("marks"), F.col("d"), F.col("lead"), k, window).alias("head"),
+                       fp.minima(F.col("d"), F.lit(0), F.col("lead") - 1, k, window).alias("expected")).collect()
+    assert all(r.again == r.marks and r["head"] == r.expected for r in got)
