@@ -142,3 +142,43 @@ def test_constant_metrics_brute_force(spark):
         assert r.n == len(a) and r.r2 == pytest.approx(r2, rel=1e-9, abs=1e-6)
         assert r.rmse == pytest.approx(math.sqrt(sse / len(a)), rel=1e-9, abs=1e-6)
         assert r.mae == pytest.approx(float(np.abs(a - c).mean()), rel=1e-9, abs=1e-6)
+
+
+@pytest.mark.parametrize("kind", ["double", "long"])
+def test_values_of_ranks(spark, kind):
+    """Ranks that differ by group, in groups that are bracketed and groups that are not; close ids beyond 2**53."""
+    from qualityspark.operators.ranks import values_of_ranks
+    rng = np.random.default_rng(3)
+    groups = {1: np.round(rng.normal(0, 50, 12000), 1), 2: np.array([4.0]), None: np.repeat([1.0, 2.0], [9000, 5])}
+    if kind == "long":
+        groups = {k: a.astype(np.int64) + 2 ** 60 for k, a in groups.items()}
+    groups = {k: a.tolist() for k, a in groups.items()}
+    sdf = spark.createDataFrame([(k, v) for k, a in groups.items() for v in [*a, None]], f"g int, v {kind}")
+    ranks = {1: [0, 1, 9, 3000, 7777, 11999, 12000], 2: [0, 1], None: [-1, 8999, 9000]}
+    tg = spark.createDataFrame([(k, r) for k, rs in ranks.items() for r in rs], "g int, _r long")
+    got = {(r.g, r._r): r.v for r in values_of_ranks(sdf, ["g"], "v", tg, accuracy=2000).collect()}
+    assert got == {(k, r): sorted(groups[k])[r] for k, rs in ranks.items() for r in rs if 0 <= r < len(groups[k])}
+
+
+def test_top_k_places_no_rows(spark, preds, monkeypatch):
+    """Scores and tied ids are not put in order as a whole; NULL ids come first."""
+    from qualityspark.operators import ranks
+
+    def no_place(*_, **__):
+        raise AssertionError("rows were placed in total order")
+
+    monkeypatch.setattr(ranks, "place", no_place)
+    test_alert_metrics_brute_force(spark, preds)
+    rows = [("a", None, 20.0, 1.0), ("a", 1, 1.0, 1.0), ("a", 2, 20.0, 1.0), ("a", 2, 20.0, 1.0)]
+    th = spark.createDataFrame([("p75", 0.75, 11.0)], "threshold_name string, quantile double, threshold_ppm double")
+    got = alert_metrics(spark.createDataFrame(rows, "sl string, lot_id long, actual double, predicted double"), th, ["sl"],
+                        qs=[0.75], fractions=[0.25, 0.5, 0.75]).first()
+    assert (got.top_25pct_precision, got.top_50pct_precision, got.top_75pct_recall) == (1.0, 0.5, 1.0)
+
+
+def test_alert_metrics_ids_that_are_no_numbers(spark, preds):
+    pdf, sdf = preds
+    th = spark.createDataFrame([("p75", 0.75, 11.0)], "threshold_name string, quantile double, threshold_ppm double")
+    text = sdf.withColumn("lot_id", sdf.lot_id.cast("decimal(20,0)"))
+    one, two = (alert_metrics(d, th, ["sl"], qs=[0.75]).toPandas().sort_values("sl").reset_index(drop=True) for d in (sdf, text))
+    pd.testing.assert_frame_equal(one, two)
